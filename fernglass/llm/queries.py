@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fernglass.llm.common import table
+from fernglass.llm.media import document_media
 from fernglass.llm.mixing import MIX_SQL, mix_sources
+from fernglass.llm.urls import judge_urls
+from fernglass.llm.warc import WARC_SQL, read_archives, write_archives
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_mixing": op3_mixing}
-SQL = {"op3_mixing": MIX_SQL}
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_media(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archives(write_archives(table(spark, sf_dir, "pages")))
+
+
+QUERIES = {"op3_mixing": op3_mixing, "op6_urls": op6_urls, "op7_media": op7_media, "op8_warc": op8_warc}
+SQL = {"op3_mixing": MIX_SQL, "op8_warc": WARC_SQL}
