@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fernglass.llm.common import table
+from fernglass.llm.common import crc_mod, table
+from fernglass.llm.langid import fit_languages, identify_languages
 from fernglass.llm.media import document_media
 from fernglass.llm.mixing import MIX_SQL, mix_sources
+from fernglass.llm.toxicity import fit_toxicity
 from fernglass.llm.urls import judge_urls
 from fernglass.llm.warc import WARC_SQL, read_archives, write_archives
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs, docs.filter(crc_mod("doc_id", 4) != 2).select("doc_id", "lang"))
+    out = identify_languages(docs, model)
+    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -27,5 +37,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op6_urls": op6_urls, "op7_media": op7_media, "op8_warc": op8_warc}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 5) != 0)
+    out = fit_toxicity(docs, labels).score(docs)
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
+QUERIES = {"op2_langid": op2_langid, "op3_mixing": op3_mixing, "op6_urls": op6_urls, "op7_media": op7_media, "op8_warc": op8_warc, "op10_toxicity": op10_toxicity}
 SQL = {"op3_mixing": MIX_SQL, "op8_warc": WARC_SQL}
