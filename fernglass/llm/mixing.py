@@ -24,6 +24,8 @@ from fernglass.llm.common import stored
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rank buckets per source: the cut is found among their sums, then inside one bucket.
 BUCKETS = 1 << 16
+#: A source's rows meet its plan in so many groups, so that one source with most rows isn't one task.
+SALTS = 64
 
 
 def word_count(text: str = "text") -> Column:
@@ -67,7 +69,9 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
     odds = F.when(part > 0, (u / (1 - u)) / (part / (1 - part))).otherwise(F.lit(float("inf")))
 
     def ranked(plan: DataFrame) -> DataFrame:
-        out = sizes.alias("d").join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        spread = plan.withColumnRenamed("source", "s").withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = sizes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        out = salted.join(spread, F.col("source").eqNullSafe(F.col("s")) & (F.col("salt") == F.col("p_salt"))).drop("s", "salt", "p_salt")
         out = out.withColumn("rank", odds)
         return out.withColumn("bucket", F.when(F.col("rank") == float("inf"), buckets).otherwise(F.floor(F.col("rank") / (1 + F.col("rank")) * buckets)).cast("int"))
 
