@@ -9,6 +9,7 @@ from fernglass.llm.common import crc_mod, table
 from fernglass.llm.langid import fit_languages, identify_languages
 from fernglass.llm.media import document_media
 from fernglass.llm.mixing import MIX_SQL, mix_sources
+from fernglass.llm.neighbours import search
 from fernglass.llm.toxicity import fit_toxicity
 from fernglass.llm.urls import judge_urls
 from fernglass.llm.warc import WARC_SQL, read_archives, write_archives
@@ -25,6 +26,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -44,5 +49,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
-QUERIES = {"op2_langid": op2_langid, "op3_mixing": op3_mixing, "op6_urls": op6_urls, "op7_media": op7_media, "op8_warc": op8_warc, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_langid": op2_langid, "op3_mixing": op3_mixing, "op5_neighbours": op5_neighbours, "op6_urls": op6_urls, "op7_media": op7_media, "op8_warc": op8_warc, "op10_toxicity": op10_toxicity}
 SQL = {"op3_mixing": MIX_SQL, "op8_warc": WARC_SQL}
