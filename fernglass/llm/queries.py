@@ -10,12 +10,17 @@ from fernglass.llm.langid import fit_languages, identify_languages
 from fernglass.llm.media import document_media
 from fernglass.llm.mixing import MIX_SQL, mix_sources
 from fernglass.llm.neighbours import search
+from fernglass.llm.shingles import link_documents
 from fernglass.llm.suffixes import remove_repeats
 from fernglass.llm.toxicity import fit_toxicity
 from fernglass.llm.urls import judge_urls
 from fernglass.llm.warc import WARC_SQL, read_archives, write_archives
 
 
+def op1_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_languages(docs, docs.filter(crc_mod("doc_id", 4) != 2).select("doc_id", "lang"))
@@ -54,5 +59,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
-QUERIES = {"op2_langid": op2_langid, "op3_mixing": op3_mixing, "op5_neighbours": op5_neighbours, "op6_urls": op6_urls, "op7_media": op7_media, "op8_warc": op8_warc, "op9_suffixes": op9_suffixes, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_shingles": op1_shingles, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op5_neighbours": op5_neighbours, "op6_urls": op6_urls, "op7_media": op7_media, "op8_warc": op8_warc, "op9_suffixes": op9_suffixes, "op10_toxicity": op10_toxicity}
 SQL = {"op3_mixing": MIX_SQL, "op8_warc": WARC_SQL}
