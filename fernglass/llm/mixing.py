@@ -23,7 +23,7 @@ from fernglass.llm.common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rank buckets per source: the cut is found among their sums, then inside one bucket.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 12
 #: A source's rows meet its plan in so many groups, so that one source with most rows isn't one task.
 SALTS = 64
 
