@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernglass.llm.common import LOWER, Rolling, texts, words
+from fernglass.llm.common import LOWER, SLICE_BYTES, Rolling, texts, words
 from fernglass.llm.training import sampled
 
-MAX_TRAIN = 3000
+MAX_TRAIN = 2000
 MAX_TRAIN_CHARS = 50_000
+#: Tokens of the training documents that the field's weights are fitted on; all of them count for the log ratios
+#: and for the documents' scores.
+LEARN_TOKENS = 250_000
 TABLE = 1 << 18
 BEGINNINGS = (4, 5)
 RUN = 64
@@ -137,6 +140,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30)
     return w
 
 
+def packed(rows: list[tuple[str, int]], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of (text, label) rows, as texts() gives them."""
+    lo = 0
+    while lo < len(rows):
+        raw: list[bytes] = []
+        size = 0
+        while lo + len(raw) < len(rows) and size < limit:
+            raw.append((rows[lo + len(raw)][0] or "").encode())
+            size += len(raw[-1])
+        yield lo, lo + len(raw), np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
+        lo += len(raw)
+
+
 class ToxicityModel:
     """fit() learns from (text, toxic) pairs; scores() and spans need bytes and offsets as texts() yields them."""
 
@@ -152,23 +168,32 @@ class ToxicityModel:
             self.prior = float(y.mean()) if len(y) else 0.0
             return self
         self.prior = None
-        raw = [(t or "").encode() for t, _ in rows]
-        off = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
-        _, _, row, places = tokens(np.frombuffer(b"".join(raw), np.uint8), off)
-        df = np.zeros((2, TABLE))
-        for j in range(places.shape[1]):
-            seen = np.unique(row * TABLE + places[:, j])
-            for c in (0, 1):
-                df[c] += np.bincount((seen % TABLE)[y[seen // TABLE] == c], minlength=TABLE)
-        n = np.array([(y == 0).sum(), (y == 1).sum()])
+        df, n = np.zeros((2, TABLE)), np.array([(y == 0).sum(), (y == 1).sum()])
+        for lo, hi, data, off in packed(rows):
+            _, _, row, places = tokens(data, off)
+            for j in range(places.shape[1]):
+                seen = np.unique(row * TABLE + places[:, j])
+                for c in (0, 1):
+                    df[c] += np.bincount((seen % TABLE)[y[lo:hi][seen // TABLE] == c], minlength=TABLE)
         ratio = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
         error = np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
         self.ratios = (np.maximum(0, ratio - 2 * error) - np.maximum(0, -ratio - 2 * error)).astype(np.float32)
-        x = self.ratios[places].astype(float)
-        told = (x.max(1) > 1.0) & (y[row] == 1)
-        self.learn(x, told.astype(float), row, len(rows))
-        p = Field(self.trans).marginals(self.emission(x), row, len(rows))
-        self.final = logistic(summary(p, row, len(rows)), y)
+        held, size = [], 0
+        for lo, hi, data, off in packed(rows, 1 << 18):
+            _, _, row, places = tokens(data, off)
+            x = self.ratios[places].astype(float)
+            held.append((x, ((x.max(1) > 1.0) & (y[lo:hi][row] == 1)).astype(float), row + lo))
+            size += len(row)
+            if size >= LEARN_TOKENS:
+                break
+        x, told, row = (np.concatenate(v) for v in zip(*held, strict=True))
+        self.learn(x, told, row, len(rows))
+        parts = []
+        for lo, hi, data, off in packed(rows):
+            _, _, row, places = tokens(data, off)
+            p = Field(self.trans).marginals(self.emission(self.ratios[places].astype(float)), row, hi - lo)
+            parts.append(summary(p, row, hi - lo))
+        self.final = logistic(np.concatenate(parts), y)
         return self
 
     def emission(self, x: np.ndarray) -> np.ndarray:
@@ -229,4 +254,5 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     ids = sampled(told, "id", "y", max_train)
     # at most max_train rows a class: small enough to be sent to every task
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").filter((F.length("text") <= MAX_TRAIN_CHARS))
-    return ToxicityModel.fit(sorted((r.text, r.y) for r in rows.select("text", "y").collect()))
+    found = rows.select(F.md5("text").alias("m"), "text", "y").collect()  # in the order of a hash, so classes and languages mix
+    return ToxicityModel.fit([(r.text, r.y) for r in sorted(found, key=lambda r: (r.m, r.y))])
