@@ -1 +1 @@
-
+"""Column functions and vector codecs."""

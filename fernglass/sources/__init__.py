@@ -1 +1 @@
-
+"""Markdown folders, frontmatter, blocks, chunks and stored vectors."""

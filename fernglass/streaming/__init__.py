@@ -1 +1 @@
-
+"""Continuous ingestion, an extension."""
