@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -40,10 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/fernglass/{name}-{uuid.uuid4().hex}"
+    """Write df as Parquet below the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The driver's garbage is collected then, as Spark keeps the shuffle files of finished steps until that happens."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/fernglass/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    for _ in range(2):  # what the first round frees lets go of the rest
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+    return spark.read.schema(schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "text_sha256")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,24 @@
 """Removal of passages that an earlier document holds: every byte covered by a string of LENGTH bytes that also
 starts in a document with a smaller id.
 
-1. Each string has an anchor, the least hash among the GRAM-byte grams in it; equal strings have equal anchors.
-   Anchors are dealt to parts by value; those found in two documents mark the candidates. A task first settles what
-   it sees itself, so an anchor that a third of all documents hold is sent once per task.
-2. Runs of candidate strings with one anchor are cut out as contexts (LENGTH to LENGTH + GRAMS - 1 bytes). Equal
-   contexts are one, with their smallest id, before they are dealt to shards by anchor, so all occurrences of a
-   string meet in one shard.
-3. A shard builds a suffix array of its contexts by Larsson and Sadakane's refinement (ranks of doubled length,
-   only groups that are still unsorted), common prefixes by Kasai's rule that the next suffix shares at least one
-   byte less, and takes the smallest id of each run of suffixes that share LENGTH bytes.
-4. An anchor with more than SPLIT contexts is dealt over several shards. Each of those gives out its strings in
-   suffix order; classes of them are merged by binary search, so no task holds a whole hot anchor.
-
-Ids of null come after all others. Rows that repeat an id don't remove each other's text. Defined results: null
-text is empty; texts shorter than LENGTH bytes lose nothing; ties don't arise, as only smaller ids count; very
-long texts are handled one at a time; an empty table gives an empty result.
+1. Each string has an anchor, the least hash among the GRAM-byte grams in it; equal strings have equal anchors. A run
+   of neighbouring strings with one anchor is a context, LENGTH to LENGTH + GRAMS - 1 bytes long.
+2. Anchors are dealt to parts by value, with a hash of their context. Where all documents with an anchor have it in
+   the same context, there is nothing to compare: the context goes from all but the smallest id. The others are
+   contested. A task first settles what it sees itself, so an anchor that a third of all documents hold is sent once
+   per task.
+3. Texts are dealt to chunks of about CHUNK_BYTES. Contested contexts are cut out there; equal ones of a chunk are one,
+   with their smallest id, before they are dealt to shards by anchor, so all occurrences of a string meet in one shard.
+   A shard builds a suffix array of its distinct contexts by Larsson and Sadakane's refinement (ranks of doubled
+   length, only groups that are still unsorted), common prefixes by Kasai's rule that the next suffix shares at least
+   one byte less, and takes the smallest id of each run of suffixes that share LENGTH bytes. It answers each chunk.
+4. An anchor that more than SPLIT documents hold is dealt over several shards. Each of those gives out its strings
+   in suffix order; classes of them are merged by binary search, so no task holds a whole hot anchor.
+
+All rows between tasks are blobs of a chunk and a part or shard. Ids of null come after all others. Rows that repeat
+an id don't remove each other's text. Defined results: null text is empty; texts shorter than LENGTH bytes lose
+nothing; ties don't arise, as only smaller ids count; very long texts are handled one at a time; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,9 +37,11 @@ from fernglass.llm.common import Rolling, blob_rows, mix, stored, texts
 LENGTH = 50
 GRAM = 20
 GRAMS = LENGTH - GRAM + 1
-#: Bytes of text per part of the anchors, bytes of contexts per shard, contexts of one anchor per shard.
+#: Bytes of text per part of the anchors, per chunk, and (as contested contexts are a part of it) per shard.
 PART_BYTES = 32 << 20
-SHARD_BYTES = 4 << 20
+CHUNK_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
+#: Documents with one anchor from which on it is dealt over several shards.
 SPLIT = 50_000
 LAST = 2**63 - 1
 SEPARATOR = 0xFF  # no byte of UTF-8
@@ -141,7 +146,7 @@ def least_ids(contexts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.nd
     text = np.frombuffer(b"".join(c + bytes([SEPARATOR]) for c in contexts), np.uint8)
     order = suffix_array(text)
     shared = common_prefixes(text, order, start, start + size)
-    context = np.searchsorted(start, order, side="right") - 1
+    context = np.repeat(np.arange(len(size)), size + 1)[order]
     place = order - start[context]
     whole = place + LENGTH <= size[context]
     kind = np.cumsum(shared < LENGTH)[whole]
@@ -182,104 +187,220 @@ def merged(strings: list[np.ndarray], ids: list[np.ndarray]) -> list[np.ndarray]
 # -- the operator ----------------------------------------------------------------------------------------------
 
 
+def _blobs(group: pa.Table, column: str, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in group.column(column).to_pylist()]
+
+
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of a sorted key."""
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return cut, np.diff(np.concatenate((cut, [len(key)])))
+
+
+GONE, CONTESTED = 1, 2
+
+
 def _anchors_of(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, kind, anchor, id): kind 0 asks whether another task has the anchor, kind 1 is known to be shared."""
+    """Per task and part: anchors with a hash of their context, a row that holds them and the number of ids that do;
+    and rows with anchors that several ids of the task hold, dealt by id. Rows are places in a list of (id, chunk)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("k").to_numpy()
-            found, owner = [], []
+            ids, chunks = batch.column("k").to_numpy(), batch.column("chunk").to_numpy()
+            found: list[list] = [[], [], []]
             for lo, _, data, off in texts(batch, "text"):
                 anchor, ok = anchors(data, off)
-                start, _, row = runs(anchor, ok, off)
-                found.append(anchor[start])
-                owner.append(ids[lo + row])
-            if not found:
+                start, stop, row = runs(anchor, ok, off)
+                for col, v in zip(found, (anchor[start], Rolling(data).ranges(start, stop + LENGTH - 1) if len(start) else anchor[:0], lo + row), strict=True):
+                    col.append(v)
+            if not found[0] or not sum(map(len, found[0])):
                 continue
-            h, k = np.concatenate(found), np.concatenate(owner)
+            h, code, row = (np.concatenate(x) for x in found)
+            k = ids[row]
             by = np.lexsort((k, h))
-            h, k = h[by], k[by]
-            new_h = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-            new = new_h | np.concatenate(([True], k[1:] != k[:-1])) if len(h) else new_h
-            h, k, new_h = h[new], k[new], new_h[new]
-            if not len(h):
-                continue
-            many = np.diff(np.concatenate((np.flatnonzero(new_h), [len(h)]))) > 1
-            shared = many[np.cumsum(new_h) - 1]
-            for kind, which, part in ((0, new_h, h[new_h] % np.uint64(parts)), (1, shared, mix(k[shared].view(np.uint64)) % np.uint64(parts))):
-                own, (hs, ks) = blob_rows(part.astype(np.int64), parts, h[which], k[which])
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.full(len(own), kind), pa.int32()), pa.array(hs, pa.binary()), pa.array(ks, pa.binary())], ["part", "kind", "anchor", "id"])
-
-    return docs.mapInArrow(run, "part int, kind int, anchor binary, id binary")
-
-
-def _shared(group: pa.Table) -> pa.Table:
-    kind = group.column("kind").to_numpy()
-    hs, ks = (group.column(c).to_pylist() for c in ("anchor", "id"))
-    join = lambda x, w, t: np.frombuffer(b"".join(v for v, kd in zip(x, kind, strict=True) if kd == w), t)
-    h, k = join(hs, 0, np.uint64), join(ks, 0, np.int64)
-    by = np.argsort(h, kind="stable")
-    h, k = h[by], k[by]
-    if len(h):
-        cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        several = np.minimum.reduceat(k, cut) != np.maximum.reduceat(k, cut)
-        several = np.repeat(several, np.diff(np.concatenate((cut, [len(h)]))))
-        h, k = h[several], k[several]
-    h, k = np.concatenate((h, join(hs, 1, np.uint64))), np.concatenate((k, join(ks, 1, np.int64)))
-    return pa.table({"k": pa.array(k, pa.int64()), "anchor": pa.array(h.view(np.int64), pa.int64())})
-
-
-def _contexts(rows: DataFrame) -> DataFrame:
-    """(anchor, code, context, k, t, at): the runs of candidate strings of each text; code is a hash of the context."""
+            h, k, code, row = h[by], k[by], code[by], row[by]
+            cut, n = _grouped(h)
+            # an id that holds an anchor in two contexts contests it, too
+            alone = (np.minimum.reduceat(k, cut) == np.maximum.reduceat(k, cut)) & (np.minimum.reduceat(code, cut) == np.maximum.reduceat(code, cut))
+            many = np.where(alone, 1, n)
+            shared = np.repeat(~alone, n)
+            parts_of = lambda x: (mix(x) % np.uint64(parts)).astype(np.int64)
+            out = {}
+            for name, part, cols in (("asked", parts_of(h[cut]), (h[cut], code[cut], row[cut].astype(np.int32), many.astype(np.int32))), ("known", parts_of(k[shared].view(np.uint64)), (h[shared], row[shared].astype(np.int32)))):
+                own, blobs = blob_rows(part, parts, *cols)
+                out[name] = dict(zip(own.tolist(), zip(*blobs, strict=True), strict=True))
+            at = sorted(out["asked"].keys() | out["known"].keys())
+            table = np.stack([ids, chunks.astype(np.int64)], 1)
+            rows = []
+            for p in at:
+                asked, known = out["asked"].get(p, (b"",) * 4), out["known"].get(p, (b"",) * 2)
+                own = np.unique(np.frombuffer(asked[2] + known[1], np.int32))
+                place = lambda x, own=own: np.searchsorted(own, np.frombuffer(x, np.int32)).astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes()
+                rows.append((p, 2 if len(ids) < 65536 else 4, asked[0], asked[1], place(asked[2]), asked[3], known[0], place(known[1]), table[own].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *(pa.binary(),) * 7), strict=True)], ["part", "wide", "anchor", "code", "row", "n", "known", "holder", "rows"])
+
+    return docs.mapInArrow(run, "part int, wide int, anchor binary, code binary, row binary, n binary, known binary, holder binary, rows binary")
+
+
+def _judged(split: int):
+    """A part: per chunk, which anchors of which ids are contested or go. Anchors above split come with the number of
+    shards that they are dealt over."""
+
+    def run(group: pa.Table) -> pa.Table:
+        tables = [x.reshape(-1, 2) for x in _blobs(group, "rows", np.int64)]
+        base = np.cumsum([0] + [len(x) for x in tables])
+        rows = np.concatenate(tables)
+        wide = group.column("wide").to_pylist()
+
+        def places(column: str) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x, f"u{w}").astype(np.int64) + b for x, w, b in zip(group.column(column).to_pylist(), wide, base, strict=False)])
+
+        h, code, n = (np.concatenate(_blobs(group, c, t)) for c, t in (("anchor", np.uint64), ("code", np.uint64), ("n", np.int32)))
+        row = places("row")
+        by = np.argsort(h, kind="stable")
+        h, code, n, row = h[by], code[by], n[by], row[by]
+        k, (cut, m) = rows[row, 0], _grouped(h)
+        crowded, shares = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        verdict = np.zeros(len(h), np.uint8)
+        if len(h):
+            least, most = np.minimum.reduceat(k, cut), np.maximum.reduceat(k, cut)
+            held_alike = (np.minimum.reduceat(code, cut) == np.maximum.reduceat(code, cut)) & (np.maximum.reduceat(n, cut) == 1)
+            total = np.add.reduceat(n.astype(np.int64), cut)
+            contested = ~held_alike & ((least != most) | (np.maximum.reduceat(n, cut) > 1))
+            verdict[np.repeat(contested, m) & (n == 1)] = CONTESTED
+            verdict[np.repeat(held_alike, m) & (k > np.repeat(least, m))] = GONE
+            crowded, shares = h[cut][total > split], -(-total[total > split] // split)
+        told = verdict > 0
+        h = np.concatenate([h[told], *_blobs(group, "known", np.uint64)])
+        row = np.concatenate([row[told], places("holder")])
+        verdict = np.concatenate([verdict[told], np.full(len(row) - told.sum(), CONTESTED, np.uint8)])
+        k, chunk = rows[row].T if len(row) else np.zeros((2, 0), np.int64)
+        by = np.argsort(chunk, kind="stable")
+        cut, m = _grouped(chunk[by])
+        out = [[v[by[a : a + c]].tobytes() for a, c in zip(cut.tolist(), m.tolist(), strict=True)] for v in (k, h, verdict)]
+        return pa.table({"chunk": pa.array(np.concatenate((chunk[by][cut], crowded.view(np.int64)))), "k": pa.array(out[0] + [None] * len(crowded), pa.binary()), "anchor": pa.array(out[1] + [None] * len(crowded), pa.binary()), "verdict": pa.array(out[2] + [None] * len(crowded), pa.binary()), "shares": pa.array(np.concatenate((np.zeros(len(cut), np.int64), shares)).astype(np.int32))})
+
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, t = batch.column("k").to_numpy(), batch.column("t").to_numpy()
-            lists = batch.column("anchors")
-            cut, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-            for lo, hi, data, off in texts(batch, "text"):
-                anchor, ok = anchors(data, off)
-                start, stop, row = runs(anchor, ok, off)
-                salt = lambda r: mix(r.astype(np.uint64) + np.uint64(1))
-                want = flat[cut[lo] : cut[hi]] ^ salt(np.repeat(np.arange(hi - lo), np.diff(cut[lo : hi + 1])))
-                hit = np.isin(anchor[start] ^ salt(row), want)
-                start, stop, row = start[hit], stop[hit], row[hit]
-                code = Rolling(data).ranges(start, stop + LENGTH - 1)
-                raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[start].view(np.int64)), pa.array(code.view(np.int64)), pa.array([raw[a : b + LENGTH - 1] for a, b in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary()), pa.array(ids[lo + row]), pa.array(t[lo + row]), pa.array(start - off[row]), pa.array((stop - start).astype(np.int32))],
-                    ["anchor", "code", "context", "k", "t", "at", "n"],
-                )
 
-    return rows.select("k", "t", "text", "anchors").mapInArrow(run, "anchor long, code long, context binary, k long, t long, at long, n int")
+def _runs_of(texts_: pa.Table, told: pa.Table) -> Iterator[tuple]:
+    """Slices of a chunk's texts with those of their runs that something was told about: first row, end row, bytes,
+    offsets, then of each run its anchor, a hash of its context, start, end, row, id and verdict."""
+    k, h = (np.concatenate([np.zeros(0, t), *_blobs(told, c, t)]) for c, t in (("k", np.int64), ("anchor", np.uint64)))
+    verdict = np.concatenate([np.zeros(0, np.uint8), *_blobs(told, "verdict", np.uint8)])
+    name = mix(k.view(np.uint64)) ^ h
+    by = np.lexsort((verdict, name))
+    name, verdict = name[by], verdict[by]
+    last = np.concatenate((name[1:] != name[:-1], [True])) if len(name) else np.zeros(0, bool)
+    name, verdict = name[last], verdict[last]
+    for batch in texts_.combine_chunks().to_batches():
+        ids = batch.column("k").to_numpy()
+        for lo, hi, data, off in texts(batch, "text"):
+            anchor, ok = anchors(data, off)
+            start, stop, row = runs(anchor, ok, off)
+            k = ids[lo + row]
+            own = mix(k.view(np.uint64)) ^ anchor[start]
+            at = np.minimum(np.searchsorted(name, own), max(0, len(name) - 1))
+            hit = np.flatnonzero(name[at] == own) if len(name) else np.zeros(0, np.int64)
+            start, stop, row, at = start[hit], stop[hit], row[hit], at[hit]
+            code = Rolling(data).ranges(start, stop + LENGTH - 1) if len(start) else np.zeros(0, np.uint64)
+            yield batch, lo, hi, data, off, anchor[start], code, start, stop, row, k[hit], verdict[at]
+
+
+CONTEXTS = "shard int, hot boolean, chunk long, anchor binary, code binary, id binary, size binary, context binary"
+
+
+def _contexts(shards: int, crowded: dict[int, int]):
+    """A chunk: per shard its distinct contested contexts with their smallest ids. A crowded anchor's shard depends on
+    the context, too, and is marked."""
+    hot = np.sort(np.array(list(crowded), np.int64).view(np.uint64))
+    shares = np.array([crowded[int(x)] for x in hot.view(np.int64)], np.uint64)
+    schema = pa.schema([("shard", pa.int32()), ("hot", pa.bool_()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("anchor", "code", "id", "size", "context"))])
+
+    def run(texts_: pa.Table, told: pa.Table) -> pa.Table:
+        cols: list[list] = [[] for _ in range(5)]
+        for _, _, _, data, _, anchor, code, start, stop, _, k, verdict in _runs_of(texts_, told):
+            raw = data.tobytes()
+            size = stop - start + LENGTH - 1
+            own = np.flatnonzero(verdict == CONTESTED)
+            own = own[np.lexsort((k[own], code[own], anchor[own]))]
+            # equal contexts of a slice are cut out once
+            own = own[np.concatenate(([True], (np.diff(anchor[own]) != 0) | (np.diff(code[own]) != 0)))] if len(own) else own
+            for col, v in zip(cols, (anchor[own], code[own], k[own], size[own]), strict=False):
+                col.append(v)
+            cols[4] += [raw[p : p + n] for p, n in zip(start[own].tolist(), size[own].tolist(), strict=True)]
+        if not cols[4]:
+            return schema.empty_table()
+        anchor, code, k, size = (np.concatenate(c) for c in cols[:4])
+        deal = np.zeros(len(anchor), np.uint64)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+            deal = np.where(hot[at] == anchor, code % shares[at] + np.uint64(1), np.uint64(0))
+        shard = (mix(anchor + deal * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64)
+        by = np.lexsort((k, code, anchor, deal > 0, shard))
+        by = by[np.concatenate(([True], (np.diff(anchor[by]) != 0) | (np.diff(code[by]) != 0)))]
+        cut = np.flatnonzero(np.concatenate(([True], (np.diff(shard[by]) != 0) | (np.diff((deal[by] > 0).astype(int)) != 0))))
+        chunk, out = texts_.column("chunk")[0].as_py(), []
+        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(by)], strict=True):
+            x = by[a:z]
+            out.append((int(shard[x[0]]), bool(deal[x[0]] > 0), chunk, anchor[x].tobytes(), code[x].tobytes(), k[x].tobytes(), size[x].astype(np.int32).tobytes(), b"".join([cols[4][i] for i in x.tolist()])))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+class _Shard:
+    """The distinct contexts of a shard with their smallest ids, and which chunks ask for which."""
+
+    def __init__(self, group: pa.Table):
+        anchors_, codes = _blobs(group, "anchor", np.uint64), _blobs(group, "code", np.uint64)
+        anchor, code, k, size = (np.concatenate(x) for x in (anchors_, codes, _blobs(group, "id", np.int64), _blobs(group, "size", np.int32)))
+        self.asker = np.repeat(group.column("chunk").to_numpy(), [len(x) for x in anchors_])
+        by = np.lexsort((k, code, anchor))
+        a, c = anchor[by], code[by]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
+        self.which = np.empty(len(by), np.int64)
+        self.which[by] = np.cumsum(new) - 1
+        own = by[new]
+        self.anchor, self.code, self.least = anchor[own], code[own], k[own]
+        at = np.cumsum(size, dtype=np.int64) - size
+        raw = b"".join(group.column("context").to_pylist())
+        self.contexts = [raw[p : p + n] for p, n in zip(at[own].tolist(), size[own].tolist(), strict=True)]
+
+    def answers(self, mask: np.ndarray) -> pa.Table:
+        """A row for each chunk that asked."""
+        by = np.argsort(self.asker, kind="stable")
+        cut, n = _grouped(self.asker[by])
+        own = [self.which[by[a : a + m]] for a, m in zip(cut.tolist(), n.tolist(), strict=True)]
+        return pa.table({"chunk": pa.array(self.asker[by][cut]), **{c: pa.array([v[x].tobytes() for x in own], pa.binary()) for c, v in (("anchor", self.anchor), ("code", self.code), ("least", self.least), ("mask", mask))}})
+
+
+ANSWER = "chunk long, anchor binary, code binary, least binary, mask binary"
 
 
 def _settled(group: pa.Table) -> pa.Table:
-    """A shard: per context the strings that go; of split anchors, their strings for the merge."""
-    contexts, ids = group.column("context").to_pylist(), group.column("least").to_numpy()
-    context, place, _, least = least_ids(contexts, ids)
-    mask = masks(context, place, least < ids[context], len(contexts))
-    return pa.table({"anchor": group.column("anchor"), "code": group.column("code"), "least": group.column("least"), "mask": pa.array(mask, pa.int64())})
+    s = _Shard(group)
+    context, place, _, least = least_ids(s.contexts, s.least)
+    return s.answers(masks(context, place, least < s.least[context], len(s.contexts)))
 
 
 def _strings(shares: int):
-    """Of a shard with split anchors: a row per anchor and class, with the class's strings in suffix order."""
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        contexts, ids = group.column("context").to_pylist(), group.column("least").to_numpy()
-        anchor, code = group.column("anchor").to_numpy(), group.column("code").to_numpy()
-        context, place, _, least = least_ids(contexts, ids)
-        strings = np.array([contexts[c][p : p + LENGTH] for c, p in zip(context, place, strict=True)], f"S{LENGTH}")
-        class_ = np.array([int.from_bytes(hashlib.blake2b(s, digest_size=4).digest(), "little") % shares for s in strings.tolist()], np.int64)
-        by = np.lexsort((np.arange(len(strings)), class_, anchor[context]))
-        cut = np.flatnonzero(np.concatenate(([True], (np.diff(anchor[context][by]) != 0) | (np.diff(class_[by]) != 0)))) if len(by) else np.zeros(0, int)
+    """Of a shard of crowded anchors: a row per anchor and class, with the class's strings in suffix order and the
+    contexts and chunks that they are from."""
+
+    def run(group: pa.Table) -> pa.Table:
+        s = _Shard(group)
+        context, place, _, least = least_ids(s.contexts, s.least)
+        strings = np.array([s.contexts[c][p : p + LENGTH] for c, p in zip(context.tolist(), place.tolist(), strict=True)], f"S{LENGTH}")
+        class_ = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "little") % shares for x in strings.tolist()], np.int64)
+        by = np.lexsort((np.arange(len(strings)), class_, s.anchor[context]))
+        cut = np.flatnonzero(np.concatenate(([True], (np.diff(s.anchor[context][by].view(np.int64)) != 0) | (np.diff(class_[by]) != 0)))) if len(by) else np.zeros(0, int)
         out: dict[str, list] = {c: [] for c in ("anchor", "class", "strings", "least", "own", "code", "place")}
         for a, z in zip(cut, [*cut[1:], len(by)], strict=True):
             x = by[a:z]
-            for name, v in (("strings", strings[x]), ("least", least[x]), ("own", ids[context[x]]), ("code", code[context[x]]), ("place", place[x])):
+            for name, v in (("strings", strings[x]), ("least", least[x]), ("own", s.least[context[x]]), ("code", s.code[context[x]]), ("place", place[x])):
                 out[name].append(v.tobytes())
-            out["anchor"].append(int(anchor[context[x[0]]]))
+            out["anchor"].append(int(s.anchor[context[x[0]]].view(np.int64)))
             out["class"].append(int(class_[x[0]]))
         return pa.table(out, schema=pa.schema([("anchor", pa.int64()), ("class", pa.int32()), *((c, pa.binary()) for c in ("strings", "least", "own", "code", "place"))]))
 
@@ -288,89 +409,92 @@ def _strings(shares: int):
 
 def _merge(group: pa.Table) -> pa.Table:
     """The runs of one anchor and class: per context the strings that go."""
-    read = lambda c, t: [np.frombuffer(x, t) for x in group.column(c).to_pylist()]
-    found = merged(read("strings", f"S{LENGTH}"), read("least", np.int64))
-    least, own, code, place = (np.concatenate(x) for x in (found, read("own", np.int64), read("code", np.int64), read("place", np.int64)))
+    found = merged(_blobs(group, "strings", f"S{LENGTH}"), _blobs(group, "least", np.int64))
+    least, own, code, place = (np.concatenate(x) for x in (found, _blobs(group, "own", np.int64), _blobs(group, "code", np.int64), _blobs(group, "place", np.int64)))
     codes, which = np.unique(code, return_inverse=True)
-    ids = np.zeros(len(codes), np.int64)
-    ids[which] = own
-    return pa.table({"anchor": pa.array(np.full(len(codes), group.column("anchor")[0].as_py()), pa.int64()), "code": pa.array(codes), "least": pa.array(ids), "mask": pa.array(masks(which, place, least < own, len(codes)))})
+    return pa.table({"anchor": pa.array(np.full(len(codes), group.column("anchor")[0].as_py()), pa.int64()), "code": pa.array(codes), "mask": pa.array(masks(which, place, least < own, len(codes)))})
+
+
+def _asked(group: pa.Table) -> pa.Table:
+    """The contexts of a shard of crowded anchors, and who asks for them."""
+    s = _Shard(group)
+    return pa.table({"chunk": pa.array(s.asker), "anchor": pa.array(s.anchor[s.which].view(np.int64)), "code": pa.array(s.code[s.which].view(np.int64)), "least": pa.array(s.least[s.which])})
+
+
+def _packed(group: pa.Table) -> pa.Table:
+    return pa.table({"chunk": group.column("chunk").slice(0, 1), **{c: pa.array([group.column(c).to_numpy().tobytes()], pa.binary()) for c in ("anchor", "code", "least", "mask")}})
+
+
+RESULT = pa.schema([("k", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+
+
+def _cut(texts_: pa.Table, told: pa.Table) -> pa.Table:
+    """A chunk's texts, the verdicts on their anchors and the answers to their contexts: what goes from each text."""
+    if not texts_.num_rows:
+        return RESULT.empty_table()
+    answers = told.filter(pc.is_null(told.column("k")))
+    anchor, code = (np.concatenate([np.zeros(0, np.uint64), *_blobs(answers, c, np.uint64)]) for c in ("anchor", "code"))
+    least, mask = (np.concatenate([np.zeros(0, np.int64), *_blobs(answers, c, np.int64)]) for c in ("least", "mask"))
+    name = mix(anchor) ^ code
+    by = np.argsort(name, kind="stable")
+    name, least, mask = name[by], least[by], mask[by]
+    out: list[tuple] = []
+    for batch, lo, hi, data, off, anchor, code, start, stop, _, k, verdict in _runs_of(texts_, told.filter(pc.is_valid(told.column("k")))):
+        asked = np.flatnonzero(verdict == CONTESTED)
+        own = mix(anchor[asked]) ^ code[asked]
+        at = np.searchsorted(name, own)
+        if len(at) and not (len(name) and (name[np.minimum(at, len(name) - 1)] == own).all()):
+            raise ValueError("a context has no answer")
+        # where the smallest id has a context its mask says what goes; elsewhere all of it does
+        bits = (np.int64(1) << (stop - start)) - 1
+        if len(at):
+            bits[asked] = np.where(k[asked] > least[at], bits[asked], mask[at])
+        marks = np.zeros(len(data) + 1, np.int32)
+        for j in range(GRAMS):
+            w = start[(bits >> j & 1) == 1] + j
+            np.add.at(marks, w, 1)
+            np.add.at(marks, w + LENGTH, -1)
+        covered = np.cumsum(marks[:-1]) > 0
+        ids = batch.column("k").slice(lo, hi - lo).to_pylist()
+        for i in range(hi - lo):
+            c, text = covered[off[i] : off[i + 1]], data[off[i] : off[i + 1]]
+            sha = hashlib.sha256(text).hexdigest()
+            if not c.any():
+                out.append((ids[i], len(text), 0, 0, sha, sha, []))
+                continue
+            spans = np.flatnonzero(np.diff(np.concatenate(([0], c.view(np.int8), [0])))).reshape(-1, 2)
+            out.append((ids[i], len(text), int(c.sum()), len(spans), hashlib.sha256(text[~c]).hexdigest(), sha, [{"start": a, "end": z} for a, z in spans.tolist()]))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), RESULT, strict=True)], schema=RESULT)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, part_bytes: int = PART_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and the removed spans in bytes."""
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, part_bytes: int = PART_BYTES, shard_bytes: int = SHARD_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, text_sha256 (before), and the removed spans in bytes."""
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
-
-    marked = _anchors_of(rows, parts).groupBy("part").applyInArrow(_shared, "k long, anchor long")
-    wanted = marked.groupBy("k").agg(F.collect_set("anchor").alias("anchors"))
-
-    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sha, n = [], []
-            for lo, hi, data, off in texts(batch, "text"):
-                for i in range(hi - lo):
-                    sha.append(hashlib.sha256(data[off[i] : off[i + 1]]).digest())
-                n.append(np.diff(off))
-            t = np.frombuffer(b"".join(x[:8] for x in sha), np.int64)
-            has = pc.is_valid(batch.column("anchors"))
-            text = pc.if_else(has, batch.column("text"), pa.scalar(None, batch.column("text").type))
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(t, pa.int64()), pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array([x.hex() for x in sha], pa.string()), text, batch.column("anchors")], ["k", "t", "n_bytes", "sha", "text", "anchors"])
-
-    held = stored(rows.join(wanted, "k", "left").select("k", "text", "anchors").mapInArrow(digested, "k long, t long, n_bytes long, sha string, text string, anchors array<long>"), "repeats-held")
-    open_ = held.filter("anchors is not null")
-
-    seen = _contexts(open_)
-    distinct = stored(seen.groupBy("anchor", "code", "context").agg(F.min("k").alias("least")), "repeats-contexts")
-    size = distinct.agg(F.sum(F.octet_length("context"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    crowded = distinct.groupBy("anchor").count().filter(F.col("count") > split).select("anchor", F.ceil(F.col("count") / split).cast("int").alias("shares"))
-    shard = F.pmod("anchor", F.lit(shards)).cast("int")
-    if most := crowded.agg(F.max("shares")).first()[0]:
-        calm = distinct.join(crowded, "anchor", "left_anti")
-        busy = distinct.join(crowded, "anchor").withColumn("shard", F.pmod(F.xxhash64("anchor", F.pmod("code", F.col("shares"))), F.lit(max(shards, most))).cast("int"))
-        split_runs = busy.select("shard", "anchor", "code", "context", "least").groupBy("shard").applyInArrow(_strings(most), "anchor long, class int, strings binary, least binary, own binary, code binary, place binary")
-        extra = split_runs.groupBy("anchor", "class").applyInArrow(_merge, "anchor long, code long, least long, mask long").groupBy("anchor", "code").agg(F.min("least").alias("least"), F.bit_or("mask").alias("mask"))
-    else:
-        calm, extra = distinct, None
-    out = calm.withColumn("shard", shard).groupBy("shard").applyInArrow(_settled, "anchor long, code long, least long, mask long")
-    out = out if extra is None else out.unionByName(extra)
-
-    # where the smallest id has a context its mask says what goes; elsewhere all of it does
-    places = seen.select("anchor", "code", "k", "t", "at", "n").join(out, ["anchor", "code"])
-    full = F.expr("shiftleft(1L, n) - 1")
-    gone = places.withColumn("bits", F.when(F.col("k") > F.col("least"), full).otherwise(F.col("mask"))).filter("bits != 0")
-    by_text = gone.groupBy("k", "t").agg(F.collect_list(F.struct("at", "bits")).alias("gone"))
-
-    shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            result: list[tuple] = []
-            lists = batch.column("gone")
-            bounds, at, bits = lists.offsets.to_numpy(), lists.values.field("at").to_numpy(), lists.values.field("bits").to_numpy()
-            for lo, hi, data, off in texts(batch, "text"):
-                for i in range(hi - lo):
-                    text = data[off[i] : off[i + 1]]
-                    a, b = at[bounds[lo + i] : bounds[lo + i + 1]], bits[bounds[lo + i] : bounds[lo + i + 1]]
-                    marks = np.zeros(len(text) + 1, np.int64)
-                    for j in range(GRAMS):
-                        w = a[(b >> j & 1) == 1] + j
-                        np.add.at(marks, w, 1)
-                        np.add.at(marks, w + LENGTH, -1)
-                    covered = np.concatenate(([False], np.cumsum(marks[:-1]) > 0, [False]))
-                    edge = np.flatnonzero(covered[1:] != covered[:-1])
-                    spans = edge.reshape(-1, 2)
-                    result.append((int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(text[~covered[1:-1]]).hexdigest(), [{"start": int(x), "end": int(y)} for x, y in spans]))
-            cols = list(zip(*result, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), shape), strict=True))], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-    schema = f"k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {SPANS}"
-    none = F.lit(0).cast("long")
-    found = open_.drop("anchors").join(by_text, ["k", "t"], "left")
-    whole = [F.col("k"), F.col("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.array().cast(SPANS).alias("spans")]
-    done = found.filter("gone is not null").select("k", "n_bytes", "text", "gone").mapInArrow(cut, schema)
-    out = held.filter("anchors is null").select(*whole).unionByName(found.filter("gone is null").select(*whole)).unionByName(done)
-    return out.select(F.when(F.col("k") != LAST, F.col("k")).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    parts, shards, chunks = (max(1, -(-total // n)) for n in (part_bytes, shard_bytes, chunk_bytes))
+    split = max(split, total >> 24)  # so crowded anchors stay below a million at any size
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("k", "text"), F.lit(chunks)))
+
+    judged = _anchors_of(rows, parts).groupBy("part").applyInArrow(_judged(split), "chunk long, k binary, anchor binary, verdict binary, shares int")
+    judged = stored(judged, "repeats-judged")
+    crowded = {r.chunk: r.shares for r in judged.filter("shares > 0").collect()}
+    told = judged.filter("shares = 0").drop("shares")
+
+    # both steps below deal the texts to chunks in the same way, so Spark does it once
+    by_chunk = rows.groupBy("chunk")
+    asked = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_contexts(shards, crowded), CONTEXTS)
+    if crowded:
+        asked = stored(asked, "repeats-contexts")
+    answers = asked.filter("not hot").groupBy("shard").applyInArrow(_settled, ANSWER)
+    if crowded:
+        hot = asked.filter("hot").groupBy("shard")
+        strings = hot.applyInArrow(_strings(max(crowded.values())), "anchor long, class int, strings binary, least binary, own binary, code binary, place binary")
+        mask = strings.groupBy("anchor", "class").applyInArrow(_merge, "anchor long, code long, mask long").groupBy("anchor", "code").agg(F.bit_or("mask").alias("mask"))
+        ids = hot.applyInArrow(_asked, "chunk long, anchor long, code long, least long")
+        least = ids.groupBy("anchor", "code").agg(F.min("least").alias("least"))
+        answers = answers.unionByName(ids.drop("least").join(least, ["anchor", "code"]).join(mask, ["anchor", "code"]).groupBy("chunk").applyInArrow(_packed, ANSWER))
+
+    known = told.unionByName(answers, allowMissingColumns=True)
+    done = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(_cut, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_sha256 string, spans " + SPANS)
+    return done.select(F.when(F.col("k") != LAST, F.col("k")).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_sha256", "spans")
