@@ -157,9 +157,9 @@ def meta_fields(spark, sf):
     return table(spark, sf, "events").select("event_id", F.element_at(meta, F.get(F.json_object_keys("props"), F.lit(0))).alias("first_value"), F.array_join(F.array_sort(F.json_object_keys("props")), ",").alias("keys"))
 
 
-@query("SELECT o_orderkey, printf('%.3f', o_totalprice::INT) AS score, CASE WHEN regexp_matches(o_orderpriority, '^[0-9]+$') THEN o_orderpriority::DOUBLE END AS plain FROM orders")
+@query("SELECT o_orderkey, printf('%.3f', floor(o_totalprice)) AS score, CASE WHEN regexp_matches(o_orderpriority, '^[0-9]+$') THEN o_orderpriority::DOUBLE END AS plain FROM orders")
 def formatted_numbers(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", text.three_decimals(F.round("o_totalprice").cast("int").cast("double")).alias("score"), text.plain_number(F.col("o_orderpriority")).alias("plain"))
+    return table(spark, sf, "orders").select("o_orderkey", text.three_decimals(F.floor("o_totalprice").cast("double")).alias("score"), text.plain_number(F.col("o_orderpriority")).alias("plain"))
 
 
 # -- candidates ------------------------------------------------------------------------------------------------
