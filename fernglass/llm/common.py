@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step handles at once; a longer text is handled alone.
 SLICE_BYTES = 1 << 20
+#: Bytes of text whose tokens or anchors a step gathers before it passes them on.
+PORTION_BYTES = 8 << 20
 #: What the operators call white space: fixed by the word definition [^\x20\x09-\x0D]+.
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -41,18 +43,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back: cuts lineage, survives lost executors.
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: it does when the driver's garbage is collected."""
+    for _ in range(2):  # what the first round frees lets go of the rest
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
 
-    The driver's garbage is collected then, as Spark keeps the shuffle files of finished steps until that happens."""
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet below the shared folder and read it back: cuts lineage, survives lost executors."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/fernglass/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
-    for _ in range(2):  # what the first round frees lets go of the rest
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -87,6 +92,14 @@ def texts(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Itera
         lo = hi
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str, limit: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches again, none with much more than limit bytes of text: what a step gathers stays bounded."""
+    for batch in batches:
+        for lo, hi, _, _ in texts(batch, column, limit):
+            yield batch.slice(lo, hi - lo)
+        pa.default_memory_pool().release_unused()
+
+
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 

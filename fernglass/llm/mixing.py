@@ -93,9 +93,9 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
 
 def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents of a mix, each as often as it was taken; rows that repeat an id count alike."""
-    taken = mixed.filter("copies > 0").groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_n"))
-    rows = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_id")))
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    taken = mixed.filter("copies > 0").groupBy(F.col(id_col).alias("__fg_id")).agg(F.max("copies").alias("__fg_n"))
+    rows = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__fg_id")))
+    return rows.withColumn("__fg_k", F.explode(F.sequence(F.lit(1), F.col("__fg_n")))).select(*docs.columns)
 
 
 MIX_SQL = r"""

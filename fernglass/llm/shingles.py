@@ -7,9 +7,10 @@ it. Trees give the pairs that the bound allows; the sets of those are then compa
 1. Equal sets are one vertex, labelled by a hash of the set.
 2. Sets that overlap by the threshold share one of the first tokens of each, in any order that holds for all sets
    (prefix filtering). The order puts tokens first that are rare in a count sketch of fixed size over all documents,
-   so that a passage which many documents hold seldom brings them together. Sets without a shared first token are done.
-3. In each bucket of a first token a tree joins the sets that the bound allows. Only a spanning forest of a part's
-   pairs leaves it; its connected components hold every link.
+   so that a passage which many documents hold seldom brings them together. A first token counts as shared if sets
+   of fitting sizes have it; sets without one are done.
+3. In each bucket of a shared first token a tree joins the sets that the bound allows. Only a spanning forest of a
+   part's pairs leaves it; its connected components hold every link.
 4. Each such component is joined exactly, again by a tree, where pairs that are connected already are not compared.
    A component above LIMIT sets is dealt in blocks, every two of which meet in one task.
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernglass.llm.common import LOWER, Rolling, blob_rows, mix, stored, texts, words
+from fernglass.llm.common import LOWER, Rolling, blob_rows, mix, portions, release, stored, texts, words
 from fernglass.llm.components import components
 
 SKETCH = 1 << 18
@@ -35,8 +36,8 @@ SEGMENT = 1 << 12
 GROUPS = 64
 LEAF = 32
 #: Bytes of text per part of the first tokens; sets of a component, or of a bucket, that one task joins.
-PART_BYTES = 32 << 20
-LIMIT = 8192
+PART_BYTES = 16 << 20
+LIMIT = 2048
 #: Sets of one bucket that a task sends on; more are known to be candidates of each other.
 CROWD = 256
 LAST = 2**63 - 1
@@ -238,71 +239,95 @@ def _sketch_of(scan: DataFrame) -> np.ndarray:
 
 
 def _first_tokens(docs: DataFrame, n: int, percent: int, rarity: np.ndarray, parts: int) -> DataFrame:
-    """(part, kind, key, code): kind 0 asks for others with the key, kind 1 has met one in its own task."""
+    """Per task and part: keys with a set that has them, its size, and whether several sets of the task do; and the
+    (key, set) pairs of the latter, dealt by set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, codes = [], []
+        for batch in portions(batches, "text"):
+            found: list[list] = [[], [], []]
             for _, _, data, off in texts(batch, "text"):
                 s = Sets(data, off, n)
                 key, row = first_tokens(s.token, s.row, s.size, rarity, percent)
-                keys.append(key)
-                codes.append(s.code[row])
-            if not keys:
+                for col, v in zip(found, (key, s.code[row], s.size[row]), strict=True):
+                    col.append(v)
+            if not found[0] or not sum(map(len, found[0])):
                 continue
-            key, code = np.concatenate(keys), np.concatenate(codes)
+            key, code, size = (np.concatenate(x) for x in found)
             by = np.lexsort((code, key))
-            key, code = key[by], code[by]
-            if not len(key):
-                continue
+            key, code, size = key[by], code[by], size[by]
             new_key = np.concatenate(([True], key[1:] != key[:-1]))
             new = new_key | np.concatenate(([True], code[1:] != code[:-1]))
-            key, code, new_key = key[new], code[new], new_key[new]
-            many = np.diff(np.concatenate((np.flatnonzero(new_key), [len(key)]))) > 1
-            met = np.unique(code[many[np.cumsum(new_key) - 1]])
-            for kind, k, c, part in ((0, key[new_key], code[new_key], mix(key[new_key]) % np.uint64(parts)), (1, met.view(np.uint64), met, mix(met.view(np.uint64)) % np.uint64(parts))):
-                own, (ks, cs) = blob_rows(part.astype(np.int64), parts, k, c)
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.full(len(own), kind), pa.int32()), pa.array(ks, pa.binary()), pa.array(cs, pa.binary())], ["part", "kind", "key", "code"])
-
-    return docs.mapInArrow(run, "part int, kind int, key binary, code binary")
-
-
-def _met(group: pa.Table) -> pa.Table:
-    """Codes of a part that share a key with another."""
-    kind = group.column("kind").to_numpy()
-    ks, cs = (group.column(c).to_pylist() for c in ("key", "code"))
-    join = lambda x, w, t: np.frombuffer(b"".join(v for v, kd in zip(x, kind, strict=True) if kd == w), t)
-    key, code = join(ks, 0, np.uint64), join(cs, 0, np.int64)
-    by = np.argsort(key, kind="stable")
-    key, code = key[by], code[by]
-    out = join(cs, 1, np.int64)
-    if len(key):
-        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        several = np.minimum.reduceat(code, cut) != np.maximum.reduceat(code, cut)
-        out = np.concatenate((out, code[np.repeat(several, np.diff(np.concatenate((cut, [len(key)]))))]))
-    return pa.table({"code": pa.array(np.unique(out), pa.int64())})
+            key, code, size, new_key = key[new], code[new], size[new], new_key[new]
+            cut = np.flatnonzero(new_key)
+            many = np.diff(np.concatenate((cut, [len(key)]))) > 1
+            met = many[np.cumsum(new_key) - 1]
+            parts_of = lambda x: (mix(x) % np.uint64(parts)).astype(np.int64)
+            out = {}
+            for name, part, cols in (("asked", parts_of(key[cut]), (key[cut], code[cut], size[cut].astype(np.int32), many)), ("known", parts_of(code[met].view(np.uint64)), (key[met], code[met]))):
+                own, blobs = blob_rows(part, parts, *cols)
+                out[name] = dict(zip(own.tolist(), zip(*blobs, strict=True), strict=True))
+            rows = [(p, *out["asked"].get(p, (b"",) * 4), *out["known"].get(p, (b"",) * 2)) for p in sorted(out["asked"].keys() | out["known"].keys())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *(pa.binary(),) * 6), strict=True)], ["part", "key", "code", "size", "many", "known", "holder"])
+
+    return docs.mapInArrow(run, "part int, key binary, code binary, size binary, many binary, known binary, holder binary")
+
+
+def _met(percent: int):
+    """A part: sets with those of their keys that a set of a fitting size has as well."""
+
+    def run(group: pa.Table) -> pa.Table:
+        read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()])
+        key, code, size, many = read("key", np.uint64), read("code", np.int64), read("size", np.int32).astype(np.int64), read("many", np.bool_)
+        by = np.lexsort((~many, code, size, key))
+        key, code, size, many = key[by], code[by], size[by], many[by]
+        if len(key):
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (code[1:] != code[:-1])))
+            key, code, size, many = key[new], code[new], size[new], many[new]
+            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            n = np.diff(np.concatenate((cut, [len(key)])))
+            # sizes rise within a key, so a set fits one of the others if it fits a neighbour
+            near = (key[1:] == key[:-1]) & (100 * size[:-1] >= percent * size[1:])
+            fits = np.concatenate((near, [False])) | np.concatenate(([False], near)) | np.repeat(np.logical_or.reduceat(many, cut) & (n > 1), n)
+            fits &= ~many  # those are known already
+            key, code = key[fits], code[fits]
+        key, code = np.concatenate((key, read("known", np.uint64))), np.concatenate((code, read("holder", np.int64)))
+        by = np.argsort(code, kind="stable")
+        key, code = key[by], code[by]
+        cut = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+        blobs = [key[a:z].tobytes() for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(code)], strict=True)] if len(cut) else []
+        return pa.table({"code": pa.array(code[cut], pa.int64()), "keys": pa.array(blobs, pa.binary())})
+
+    return run
 
 
-def _buckets(rows: DataFrame, percent: int, rarity: np.ndarray, parts: int) -> DataFrame:
-    """Per part: the sets that a task has for it (code, size, counts) and their keys; and pairs of crowded buckets."""
+def _buckets(rows: DataFrame, n: int, parts: int) -> DataFrame:
+    """rows: (text, code, keys). Per task and part: its sets (code, size, counts) and which keys they have; and pairs
+    of sets in crowded buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+        for batch in portions(batches, "text"):
+            want = batch.column("code").to_numpy()
+            lists = batch.column("keys")
+            found: list[list] = [[] for _ in range(5)]
+            seen = 0
+            for lo, hi, data, off in texts(batch, "text"):
+                s = Sets(data, off, n)
+                rows_ = np.flatnonzero(s.code == want[lo:hi])  # an id may be repeated with another text
+                counts = count_vectors(s.token, s.row, hi - lo, GROUPS).astype(np.uint16)
+                own = [np.frombuffer(b"".join(lists[lo + int(i)].as_py()), np.uint64) for i in rows_]
+                for col, v in zip(found, (s.code[rows_], s.size[rows_].astype(np.int64), counts[rows_], np.concatenate(own) if own else np.zeros(0, np.uint64), np.repeat(np.arange(seen, seen + len(rows_)), [len(x) for x in own])), strict=True):
+                    col.append(v)
+                seen += len(rows_)
+            if not seen:
                 continue
-            code, size = batch.column("code").to_numpy(), batch.column("size").to_numpy()
-            flat = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint64)
-            row = np.repeat(np.arange(len(size)), size)
-            counts = count_vectors(flat, row, len(size), GROUPS).astype(np.uint16)
-            key, row = first_tokens(flat, row, size, rarity, percent)
-            by = np.argsort(key, kind="stable")
+            code, size, counts, key, row = (np.concatenate(c) for c in found)
+            by = np.lexsort((row, key))
             key, row = key[by], row[by]
             cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            n = np.diff(np.concatenate((cut, [len(key)])))
-            crowded, place = np.repeat(n > CROWD, n), np.arange(len(key)) - np.repeat(cut, n)
+            m = np.diff(np.concatenate((cut, [len(key)])))
+            crowded, place = np.repeat(m > CROWD, m), np.arange(len(key)) - np.repeat(cut, m)
             follow = crowded & (place > 0)
-            pairs = np.unique(np.stack([code[row[np.repeat(cut, n)[follow]]], code[row[follow]]], 1), axis=0) if follow.any() else np.zeros((0, 2), np.int64)
+            pairs = np.unique(np.stack([code[row[np.repeat(cut, m)[follow]]], code[row[follow]]], 1), axis=0) if follow.any() else np.zeros((0, 2), np.int64)
             key, row = key[~follow], row[~follow]
             part = (mix(key) % np.uint64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
@@ -315,13 +340,13 @@ def _buckets(rows: DataFrame, percent: int, rarity: np.ndarray, parts: int) -> D
                 if a == z and not len(extra):
                     continue
                 own, at = np.unique(row[a:z], return_inverse=True)
-                for c, v in (("code", code[own]), ("size", size[own].astype(np.int64)), ("counts", counts[own]), ("key", key[a:z]), ("own", at.astype(np.int32)), ("pairs", extra)):
+                for c, v in (("code", code[own]), ("size", size[own]), ("counts", counts[own]), ("key", key[a:z]), ("own", at.astype(np.int32)), ("pairs", extra)):
                     out[c].append(v.tobytes())
                 out["part"].append(p)
             if out["part"]:
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("code", "size", "counts", "key", "own", "pairs"))]))
 
-    return rows.select("code", "size", "tokens").mapInArrow(run, "part int, code binary, size binary, counts binary, key binary, own binary, pairs binary")
+    return rows.select("text", "code", "keys").mapInArrow(run, "part int, code binary, size binary, counts binary, key binary, own binary, pairs binary")
 
 
 def _joined(percent: int):
@@ -406,31 +431,30 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     parts = max(1, -(-total // part_bytes))
 
     vertices = sets.filter("size > 0").groupBy("code", "size").agg(F.min("k").alias("least"))
-    met = _first_tokens(rows, n, percent, rarity, parts).groupBy("part").applyInArrow(_met, "code long").distinct()
-    open_ = vertices.join(met, "code")
+    met = _first_tokens(rows, n, percent, rarity, parts).groupBy("part").applyInArrow(_met(percent), "code long, keys binary")
+    open_ = met.groupBy("code").agg(F.collect_list("keys").alias("keys")).join(vertices.select("code", "least"), "code")
+    chosen = rows.join(open_.withColumnRenamed("least", "k"), "k")
+    pairs = stored(_buckets(chosen, n, parts).groupBy("part").applyInArrow(_joined(percent), "a long, b long"), "shingle-pairs")
+    near = components(pairs)
+    release(rows.sparkSession)
+
+    # exact join of each candidate component; large ones in blocks, each with itself and each two of them
+    blocks = near.groupBy("label").count().select("label", F.ceil(F.col("count") / limit).cast("int").alias("blocks"))
+    members = near.withColumnRenamed("node", "code").join(blocks, "label").join(vertices.select("code", F.col("least").alias("k")), "code")
+    members = members.withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             want = batch.column("code").to_numpy()
-            least = batch.column("least")
             for lo, hi, data, off in texts(batch, "text"):
                 s = Sets(data, off, n)
-                own = np.flatnonzero(s.code == want[lo:hi])  # an id may be repeated with another text
-                yield pa.RecordBatch.from_arrays([pa.array(s.code[own]), pa.array(s.size[own].astype(np.int64)), least.take(pa.array(lo + own)), pa.array([s.token[s.at[i] : s.at[i + 1]].tobytes() for i in own], pa.binary())], ["code", "size", "least", "tokens"])
-
-    chosen = rows.join(open_.select(F.col("least").alias("k"), "least", "code"), "k").select("text", "code", "least")
-    held = stored(chosen.mapInArrow(tokens, "code long, size long, least long, tokens binary"), "shingle-held")
-    size = held.agg(F.sum("size")).first()[0] or 0
-    groups = max(1, -(-size * 8 // part_bytes))
-    pairs = _buckets(held, percent, rarity, groups).groupBy("part").applyInArrow(_joined(percent), "a long, b long")
-    near = components(pairs)
+                own = np.flatnonzero(s.code == want[lo:hi])
+                at = pa.array(lo + own)
+                yield pa.RecordBatch.from_arrays([pa.array(s.code[own]), *(batch.column(c).take(at) for c in ("label", "block", "blocks")), pa.array([s.token[s.at[i] : s.at[i + 1]].tobytes() for i in own], pa.binary())], ["code", "label", "block", "blocks", "tokens"])
 
-    # exact join of each candidate component; large ones in blocks, each with itself and each two of them
-    members = held.join(near.withColumnRenamed("node", "code"), "code").dropDuplicates(["code"])
-    blocks = near.groupBy("label").count().select("label", F.ceil(F.col("count") / limit).cast("int").alias("blocks"))
-    members = members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+    held = rows.join(members, "k").select("text", "code", "label", "block", "blocks").mapInArrow(tokens, "code long, label long, block int, blocks int, tokens binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.withColumn("other", other).select("label", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"), "code", "tokens")
+    dealt = held.withColumn("other", other).select("label", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"), "code", "tokens")
     links = stored(dealt.groupBy("label", "x", "y").applyInArrow(_linked(percent), "a long, b long"), "shingle-links")
     label = components(links).withColumnRenamed("node", "code")
 

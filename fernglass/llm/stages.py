@@ -29,11 +29,11 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5,
 def without_near_copies(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component of similar documents, the one with the smallest id (of rows that repeat it, one)."""
     found = link_documents(docs, id_col=id_col, text_col=text_col, n=n, percent=percent)
-    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"))
+    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__fg_id")).agg(F.count("*").alias("__fg_n"))
     # text stays where it is: one join on the id; only ids that several rows have need their texts compared
-    rows = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_id")))
-    one = F.when(F.col("_n") > 1, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return rows.withColumn("_t", F.coalesce(one, F.lit(""))).dropDuplicates([id_col, "_t"]).select(*docs.columns)
+    rows = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__fg_id")))
+    one = F.when(F.col("__fg_n") > 1, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return rows.withColumn("__fg_t", F.coalesce(one, F.lit(""))).dropDuplicates([id_col, "__fg_t"]).select(*docs.columns)
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
@@ -53,15 +53,15 @@ def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """Documents without the passages that earlier ones hold; those of which no word is left go. size_col follows."""
     found = remove_repeats(docs, id_col=id_col, text_col=text_col).filter("n_removed > 0")
-    spans = found.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_t"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_t"])
-    rows = docs.withColumn("_own", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    rows = rows.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_t")), "left")
+    spans = found.select(F.col(id_col).alias("__fg_id"), F.col("text_sha256").alias("__fg_t"), F.col("spans").alias("__fg_spans")).dropDuplicates(["__fg_id", "__fg_t"])
+    rows = docs.withColumn("__fg_own", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    rows = rows.join(spans, F.col(id_col).eqNullSafe(F.col("__fg_id")) & (F.col("__fg_own") == F.col("__fg_t")), "left")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(text_col).to_pylist()
-            spans = batch.column("_spans").to_pylist()
+            spans = batch.column("__fg_spans").to_pylist()
             new = [t if not s else cut_text(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans, strict=True)]
             stay = pa.array([not s or bool(t.strip()) for t, s in zip(new, spans, strict=True)], pa.bool_())
             cols = {c: batch.column(c) for c in names}
@@ -71,4 +71,4 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 cols[size_col] = pa.array([v if not s else len(t) for v, t, s in zip(size, new, spans, strict=True)], cols[size_col].type)
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names).filter(stay)
 
-    return rows.select(*names, "_spans").mapInArrow(run, docs.schema)
+    return rows.select(*names, "__fg_spans").mapInArrow(run, docs.schema)

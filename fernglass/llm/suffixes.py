@@ -32,15 +32,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernglass.llm.common import Rolling, blob_rows, mix, stored, texts
+from fernglass.llm.common import Rolling, blob_rows, mix, portions, stored, texts
 
 LENGTH = 50
 GRAM = 20
 GRAMS = LENGTH - GRAM + 1
 #: Bytes of text per part of the anchors, per chunk, and (as contested contexts are a part of it) per shard.
-PART_BYTES = 32 << 20
-CHUNK_BYTES = 4 << 20
-SHARD_BYTES = 8 << 20
+PART_BYTES = 16 << 20
+CHUNK_BYTES = 2 << 20
+SHARD_BYTES = 4 << 20
 #: Documents with one anchor from which on it is dealt over several shards.
 SPLIT = 50_000
 LAST = 2**63 - 1
@@ -205,7 +205,7 @@ def _anchors_of(docs: DataFrame, parts: int) -> DataFrame:
     and rows with anchors that several ids of the task hold, dealt by id. Rows are places in a list of (id, chunk)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             ids, chunks = batch.column("k").to_numpy(), batch.column("chunk").to_numpy()
             found: list[list] = [[], [], []]
             for lo, _, data, off in texts(batch, "text"):
