@@ -1,7 +1,8 @@
 """Toxic spans by a linear-chain conditional random field with two states, and document scores from its marginals.
 
 Labels are given by document, so tokens are labelled first: in a toxic training document those words, or word
-beginnings, that toxic documents hold far more often than clean ones (a lower confidence bound of the log ratio).
+beginnings, that toxic documents hold far more often than clean ones (a log ratio above TOLD that can't be chance), counted by the different
+words that they follow, so that copies and shared passages say no more than one document.
 The field has emission weights for a word's and its beginnings' log ratios and a weight for each pair of
 neighbouring states, fitted by gradient ascent of the conditional likelihood. Forward-backward gives each token's
 probability; their sum, maximum and density make the document's score by logistic regression; runs of tokens of
@@ -32,6 +33,8 @@ MAX_TRAIN_CHARS = 50_000
 LEARN_TOKENS = 250_000
 TABLE = 1 << 18
 BEGINNINGS = (4, 5)
+#: Log ratio from which on a word of a toxic training document is labelled toxic.
+TOLD = 2.0
 RUN = 64
 SPAN = "array<struct<start:int,end:int,probability:double>>"
 
@@ -130,8 +133,8 @@ def summary(p: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
-    """Newton's method; classes count alike."""
-    weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    """Newton's method."""
+    weight = np.ones(len(y))
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -168,21 +171,30 @@ class ToxicityModel:
             self.prior = float(y.mean()) if len(y) else 0.0
             return self
         self.prior = None
-        df, n = np.zeros((2, TABLE)), np.array([(y == 0).sum(), (y == 1).sum()])
+        # how often a place occurs after different words: copies and passages that documents share count once
+        met: list[list[np.ndarray]] = [[], []]
         for lo, hi, data, off in packed(rows):
             _, _, row, places = tokens(data, off)
-            for j in range(places.shape[1]):
-                seen = np.unique(row * TABLE + places[:, j])
-                for c in (0, 1):
-                    df[c] += np.bincount((seen % TABLE)[y[lo:hi][seen // TABLE] == c], minlength=TABLE)
-        ratio = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
-        error = np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
-        self.ratios = (np.maximum(0, ratio - 2 * error) - np.maximum(0, -ratio - 2 * error)).astype(np.float32)
+            if not len(row):
+                continue
+            same = np.concatenate(([False], row[1:] == row[:-1]))
+            before = np.where(same, np.concatenate(([0], places[:-1, 0])), TABLE)
+            for c in (0, 1):
+                own = y[lo:hi][row] == c
+                met[c].append(np.unique((places[own] * (TABLE + 1) + before[own, None]).reshape(-1)))
+        df = np.stack([np.bincount(np.unique(np.concatenate([np.zeros(0, np.int64), *m])) // (TABLE + 1), minlength=TABLE) for m in met]).astype(float)
+        n = np.maximum(df.sum(1), 1)
+        ratio = np.log((df[1] + 0.5) / n[1]) - np.log((df[0] + 0.5) / n[0])
+        # only what can't be chance among as many places counts: the log-likelihood ratio's bound grows with their number
+        both = df.sum(0)
+        expected = both * (n[:, None] / n.sum())
+        gain = 2 * (df * np.log(np.maximum(df, 1e-9) / np.maximum(expected, 1e-9))).sum(0)
+        self.ratios = np.where(gain > 2 * np.log(max(2, (both > 0).sum())), ratio, 0).astype(np.float32)
         held, size = [], 0
         for lo, hi, data, off in packed(rows, 1 << 18):
             _, _, row, places = tokens(data, off)
             x = self.ratios[places].astype(float)
-            held.append((x, ((x.max(1) > 1.0) & (y[lo:hi][row] == 1)).astype(float), row + lo))
+            held.append((x, ((x.max(1) > TOLD) & (y[lo:hi][row] == 1)).astype(float), row + lo))
             size += len(row)
             if size >= LEARN_TOKENS:
                 break
