@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from fernglass.llm.common import checkpointed
 
 
+#: Edges to a file of a round's checkpoint.
+FILE_EDGES = 1 << 20
+
+
+def _kept(edges: DataFrame, n: int | None) -> DataFrame:
+    """A checkpoint in as few files as n edges need: rounds are many, and every file costs a task's start and commit."""
+    return checkpointed(edges if n is None else edges.coalesce(max(1, -(-n // FILE_EDGES))))
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b") % 1_000_003)).first())
 
@@ -18,7 +27,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round joins edges with the smallest neighbour of one end, so a node with very many edges is an ordinary
     skewed join and never gathered; rounds grow with the logarithm of the longest path.
     """
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    now = _kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), edges.count())
     mark = _mark(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,7 +36,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # every edge now leads down; the small star joins a node's lower neighbours to the lowest of them
         lowest = large.filter("a <> b").groupBy("a").agg(F.min("b").alias("m"))
         small = large.filter("a <> b").join(lowest, "a")
-        now = checkpointed(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        now = _kept(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), mark[0])
         last, mark = mark, _mark(now)
         if mark == last:
             break

@@ -33,11 +33,12 @@ from fernglass.llm.components import components
 
 SKETCH = 1 << 18
 SEGMENT = 1 << 12
-GROUPS = 64
 LEAF = 32
-#: Bytes of text per part of the first tokens; sets of a component, or of a bucket, that one task joins.
+#: Bytes of text per part of the first tokens; sets of a component, or of a bucket, and their tokens, that one task
+#: joins.
 PART_BYTES = 16 << 20
 LIMIT = 2048
+LIMIT_TOKENS = 1 << 20
 #: Sets of one bucket that a task sends on; more are known to be candidates of each other.
 CROWD = 256
 LAST = 2**63 - 1
@@ -148,11 +149,21 @@ def count_vectors(token: np.ndarray, row: np.ndarray, rows: int, groups: int) ->
     return np.bincount(row * groups + (token & np.uint64(groups - 1)).astype(np.int64), minlength=rows * groups).reshape(rows, groups)
 
 
+def groups_of(size: np.ndarray) -> np.ndarray:
+    """How many groups a set of a size is counted in, so that a group holds about a dozen tokens: a power of two."""
+    return (2 ** np.clip(np.ceil(np.log2(np.maximum(size, 1) / 12)), 4, 10)).astype(np.int64)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Rows of counts in fewer groups."""
+    return counts.reshape(len(counts), -1, groups).sum(1)
+
+
 def forest(sets: list[np.ndarray], percent: int, block: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of sets that link, as few as connect all that linked pairs connect. block: with two blocks, only pairs
     of one from each are looked for."""
     size = np.array([len(s) for s in sets], np.int64)
-    groups = int(np.clip(2 ** np.ceil(np.log2(max(16, size.max(initial=1) / 12))), 16, 1024))
+    groups = int(groups_of(size.max(initial=1)))
     row = np.repeat(np.arange(len(sets)), size)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     at = np.concatenate(([0], np.cumsum(size)))
@@ -313,9 +324,12 @@ def _buckets(rows: DataFrame, n: int, parts: int) -> DataFrame:
             for lo, hi, data, off in texts(batch, "text"):
                 s = Sets(data, off, n)
                 rows_ = np.flatnonzero(s.code == want[lo:hi])  # an id may be repeated with another text
-                counts = count_vectors(s.token, s.row, hi - lo, GROUPS).astype(np.uint16)
+                width = groups_of(s.size)
+                at = np.cumsum(width) - width
+                every = np.bincount(at[s.row] + (s.token & (width[s.row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(width.sum())).astype(np.uint16)
+                counts = [every[at[i] : at[i] + width[i]].tobytes() for i in rows_]
                 own = [np.frombuffer(b"".join(lists[lo + int(i)].as_py()), np.uint64) for i in rows_]
-                for col, v in zip(found, (s.code[rows_], s.size[rows_].astype(np.int64), counts[rows_], np.concatenate(own) if own else np.zeros(0, np.uint64), np.repeat(np.arange(seen, seen + len(rows_)), [len(x) for x in own])), strict=True):
+                for col, v in zip(found, (s.code[rows_], s.size[rows_].astype(np.int64), np.array(counts, object), np.concatenate(own) if own else np.zeros(0, np.uint64), np.repeat(np.arange(seen, seen + len(rows_)), [len(x) for x in own])), strict=True):
                     col.append(v)
                 seen += len(rows_)
             if not seen:
@@ -340,8 +354,9 @@ def _buckets(rows: DataFrame, n: int, parts: int) -> DataFrame:
                 if a == z and not len(extra):
                     continue
                 own, at = np.unique(row[a:z], return_inverse=True)
-                for c, v in (("code", code[own]), ("size", size[own]), ("counts", counts[own]), ("key", key[a:z]), ("own", at.astype(np.int32)), ("pairs", extra)):
+                for c, v in (("code", code[own]), ("size", size[own]), ("key", key[a:z]), ("own", at.astype(np.int32)), ("pairs", extra)):
                     out[c].append(v.tobytes())
+                out["counts"].append(b"".join(counts[own]))
                 out["part"].append(p)
             if out["part"]:
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("code", "size", "counts", "key", "own", "pairs"))]))
@@ -359,9 +374,20 @@ def _joined(percent: int):
         code = np.concatenate(codes)
         own = np.concatenate([x + b for x, b in zip(owns, base, strict=False)]).astype(np.int64)
         size, key = np.concatenate(read("size", np.int64)), np.concatenate(read("key", np.uint64))
-        counts = np.concatenate(read("counts", np.uint16)).reshape(-1, GROUPS).astype(np.int32)
+        counts = np.concatenate(read("counts", np.uint16))
+        begin = np.cumsum(groups_of(size)) - groups_of(size)
         code, first, at = np.unique(code, return_index=True, return_inverse=True)
-        size, counts, own = size[first], counts[first], at[own]
+        size, begin, own = size[first], begin[first], at[own]
+        width = groups_of(size)
+
+        def vectors(which: np.ndarray, groups: int) -> np.ndarray:
+            """Counts of some sets, all in so many groups."""
+            out = np.zeros((len(which), groups), np.int32)
+            for w in np.unique(width[which]):
+                same = np.flatnonzero(width[which] == w)
+                out[same] = folded(counts[begin[which[same], None] + np.arange(w)].astype(np.int32), groups)
+            return out
+
         by = np.lexsort((own, key))
         key, own = key[by], own[by]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (own[1:] != own[:-1]))) if len(key) else np.zeros(0, bool)
@@ -381,11 +407,17 @@ def _joined(percent: int):
         two = cut[n == 2]
         pairs = np.unique(own[two] * len(code) + own[two + 1])
         a, b = pairs // max(1, len(code)), pairs % max(1, len(code))
-        for lo in range(0, len(a), 1 << 16):
-            i, j = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
-            ok = enough(np.minimum(counts[i], counts[j]).sum(1), size[i], size[j], percent)
-            for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                join(x, y)
+        sized = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+        a, b = a[sized], b[sized]
+        level = np.minimum(width[a], width[b])
+        for groups in np.unique(level).tolist():
+            at_level = np.flatnonzero(level == groups)
+            step = (4 << 20) // groups
+            for lo in range(0, len(at_level), step):
+                i, j = a[at_level[lo : lo + step]], b[at_level[lo : lo + step]]
+                ok = enough(np.minimum(vectors(i, groups), vectors(j, groups)).sum(1), size[i], size[j], percent)
+                for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                    join(x, y)
         for start, m in zip(cut[n > 2].tolist(), n[n > 2].tolist(), strict=True):
             member = own[start : start + m]
             roots = np.array([union.root(x) for x in member.tolist()])
@@ -395,10 +427,17 @@ def _joined(percent: int):
                 for x in member[1:].tolist():
                     join(int(member[0]), x)
                 continue
-            tree = CountTree(counts[member], size[member], percent)
-            for x in range(m):
-                for y in tree.near(counts[member[x]], size[member[x]], np.arange(m) > x).tolist():
-                    join(int(member[x]), int(member[y]))
+            # sets of fitting sizes only: runs of rising sizes without a gap, each counted in its least width
+            member = member[np.argsort(size[member], kind="stable")]
+            gap = np.flatnonzero(100 * size[member][:-1] < percent * size[member][1:]) + 1
+            for run_ in np.split(member, gap):
+                if len(run_) < 2:
+                    continue
+                point = vectors(run_, int(width[run_].min()))
+                tree = CountTree(point, size[run_], percent)
+                for x in range(len(run_)):
+                    for y in tree.near(point[x], size[run_[x]], np.arange(len(run_)) > x).tolist():
+                        join(int(run_[x]), int(run_[y]))
         pairs = np.array(found, np.int64).reshape(-1, 2)
         known = np.array(known, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(np.concatenate((code[pairs[:, 0]], known[:, 0]))), "b": pa.array(np.concatenate((code[pairs[:, 1]], known[:, 1])))})
@@ -439,8 +478,10 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     release(rows.sparkSession)
 
     # exact join of each candidate component; large ones in blocks, each with itself and each two of them
-    blocks = near.groupBy("label").count().select("label", F.ceil(F.col("count") / limit).cast("int").alias("blocks"))
-    members = near.withColumnRenamed("node", "code").join(blocks, "label").join(vertices.select("code", F.col("least").alias("k")), "code")
+    members = near.withColumnRenamed("node", "code").join(vertices.select("code", "size", F.col("least").alias("k")), "code")
+    blocks = members.groupBy("label").agg(F.count("*").alias("count"), F.sum("size").alias("tokens"))
+    blocks = blocks.select("label", F.greatest(F.ceil(F.col("count") / limit), F.ceil(F.col("tokens") / LIMIT_TOKENS)).cast("int").alias("blocks"))
+    members = members.join(blocks, "label").drop("size")
     members = members.withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
