@@ -460,3 +460,73 @@ def section_ends(spark, sf):
 def blank_chunks(spark, sf):
     rows = table(spark, sf, "conversations").withColumn("text", F.when(F.col("turn") % 2 == 0, " \t\n").otherwise(F.col("text")))
     return rows.filter(text.is_blank(F.col("text"))).groupBy("conv_id").agg(F.count("*").alias("blank"))
+
+
+# -- Markdown: a conversation as a document with a heading per turn ---------------------------------------------
+
+
+def _pages(spark, sf) -> DataFrame:
+    """(path, title, body) with plain one-line paragraphs below second-level headings."""
+    line = F.substring(text.collapsed(F.col("text")), 1, 300)
+    part = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), line, F.lit("\n\n"))
+    rows = table(spark, sf, "conversations").filter(F.trim("text") != "").select("conv_id", F.col("turn").cast("int").alias("turn"), part.alias("part"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "")
+    return rows.groupBy("conv_id").agg(body.alias("body")).select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"), "body")
+
+
+PAGES_SQL = r"""turns AS (SELECT 'c' || conv_id || '.md' AS path, 'Conversation ' || conv_id AS title, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal, role || ' ' || turn AS heading,
+    '## ' || role || ' ' || turn || chr(10) || chr(10) || substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 300) || chr(10) || chr(10) AS part FROM conversations WHERE trim(text) <> '')"""
+
+
+@query(f"WITH {PAGES_SQL} SELECT path, ordinal::INT AS ordinal, title || ' › ' || heading AS breadcrumb, replace(heading, ' ', '-') AS anchor, part AS text, sha256(title || ' › ' || heading || chr(10) || part) AS hash FROM turns")
+def structural_chunks(spark, sf):
+    from fernglass.engine import chunked
+    from fernglass.sources.chunker import structural
+
+    rows = chunked(_pages(spark, sf).withColumn("doc_hash", F.lit("")), structural())
+    return rows.select("path", "ordinal", "breadcrumb", "anchor", "text", freshness.chunk_hash().alias("hash"))
+
+
+@query(f"""WITH {PAGES_SQL}, s AS (SELECT *, (1 + coalesce(sum(length(part)) OVER (PARTITION BY path ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM turns)
+SELECT path, replace(heading, ' ', '-') AS anchor, 2 AS depth, start, (start + length(part))::BIGINT AS "end" FROM s""")
+def document_outline(spark, sf):
+    from fernglass.sources import markdown
+
+    head = F.concat(F.lit("---\ntitle: "), "title", F.lit("\nupdated_at: 2026-01-01\ntags: [x]\n---\n"))
+    files = _pages(spark, sf).select("path", F.encode(F.concat(head, "body"), "UTF-8").alias("content"))
+    docs = markdown.documents(markdown.parse_rows(files))
+    return docs.select("path", F.explode("headings").alias("h")).select("path", "h.anchor", "h.depth", "h.start", "h.end")
+
+
+@query("""WITH t AS (SELECT 'c' || conv_id AS path, string_agg('"' || sha256(role || chr(10) || text) || '"', ',' ORDER BY turn) AS hashes FROM conversations GROUP BY conv_id)
+SELECT sha256('[' || string_agg('["' || path || '","' || sha256(path) || '","c","m",64,[' || hashes || ']]', ',' ORDER BY path) || ']') AS version FROM t""")
+def index_version(spark, sf):
+    rows = _planned(spark, sf)[0].withColumns({"doc_hash": text.digest(F.col("path")), "chunker": F.lit("c"), "model": F.lit("m"), "dims": F.lit(64)})
+    return spark.createDataFrame([(writing.index_version(rows),)], "version string")
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT DISTINCT path FROM chunks WHERE len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda t: starts_with(t, 'thande'))) > 0 OR len(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'), lambda t: starts_with(t, 'thande'))) > 0")
+def keyword_prefix(spark, sf):
+    return ranking.keyword(chunks(spark, sf), "thande", prefix=True).select("path").distinct()
+
+
+@query(f"WITH {TURNS_SQL} SELECT path, ordinal FROM t WHERE ordinal % 4 = 1")
+def altered_chunks(spark, sf):
+    """Chunks whose text was changed behind their hash."""
+    rows = _planned(spark, sf)[0]
+    return freshness.altered(rows.withColumn("text", F.when(F.col("ordinal") % 4 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))).select("path", "ordinal")
+
+
+@query(f"WITH {STORE_SQL} SELECT DISTINCT h.path FROM h WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.path = h.path)")
+def pruned_paths(spark, sf):
+    docs, headers = _stored(spark, sf)
+    return freshness.statuses(docs, headers).filter("status = 'orphan'").select("path")
+
+
+@query()
+def vector_codec(spark, sf):
+    """Vectors through half precision and base64 and back."""
+    from fernglass.functions.vectors import decode_vectors, encode_vectors
+
+    rows = table(spark, sf, "embeddings").filter(F.size("embedding") == 64).select("vec_id", "embedding")
+    return decode_vectors(encode_vectors(rows, "embedding", 64), "embedding", 64)
