@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fernglass.llm.common import stored, texts
 from fernglass.llm.shingles import link_documents
 from fernglass.llm.suffixes import remove_repeats
 from fernglass.llm.toxicity import ToxicityModel
@@ -16,8 +17,6 @@ from fernglass.llm.toxicity import ToxicityModel
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows that the model doesn't reject, with all their columns."""
-    from fernglass.llm.common import texts
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in texts(batch, text_col):
@@ -30,10 +29,15 @@ def without_near_copies(docs: DataFrame, *, n: int = 5, percent: int = 80, id_co
     """Of each component of similar documents, the one with the smallest id (of rows that repeat it, one)."""
     found = link_documents(docs, id_col=id_col, text_col=text_col, n=n, percent=percent)
     stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__fg_id")).agg(F.count("*").alias("__fg_n"))
-    # text stays where it is: one join on the id; only ids that several rows have need their texts compared
-    rows = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__fg_id")))
-    one = F.when(F.col("__fg_n") > 1, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return rows.withColumn("__fg_t", F.coalesce(one, F.lit(""))).dropDuplicates([id_col, "__fg_t"]).select(*docs.columns)
+    stay = stored(stay, "near-copies")
+    own = F.col(id_col).eqNullSafe(F.col("__fg_id"))
+    once = docs.join(stay.filter("__fg_n = 1"), own, "left_semi")
+    again = stay.filter("__fg_n > 1")
+    if again.isEmpty():
+        return once
+    # ids that several rows have: of rows with one text, one stays
+    several = docs.join(again, own, "left_semi").withColumn("__fg_t", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return once.unionByName(several.dropDuplicates([id_col, "__fg_t"]).drop("__fg_t"))
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
