@@ -18,7 +18,7 @@ from fernglass.llm.warc import WARC_SQL, read_archives, write_archives
 
 
 def op1_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_documents(table(spark, sf_dir, "documents"))
+    return link_documents(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,23 +212,23 @@ class Union:
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """(k, code, size) of every text (segment null), and sums of the sketch by segment of each partition."""
+    """(k, t, code, size) of every text (segment null), t a hash of the text; and sums of the sketch by segment of each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, any_ = np.zeros(SKETCH, np.int64), False
-        names = ["k", "code", "size", "segment", "counts"]
+        names = ["k", "t", "code", "size", "segment", "counts"]
         for batch in batches:
             for lo, hi, data, off in texts(batch, "text"):
                 s = Sets(data, off, n)
                 sketch += np.bincount((s.token >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
                 any_ = True
-                yield pa.RecordBatch.from_arrays([batch.column("k").slice(lo, hi - lo), pa.array(s.code), pa.array(s.size.astype(np.int64)), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(lo, hi - lo), batch.column("t").slice(lo, hi - lo), pa.array(s.code), pa.array(s.size.astype(np.int64)), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names)
         if any_:
             m = SKETCH // SEGMENT
             none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(m), pa.int32()), pa.array([x.tobytes() for x in sketch.reshape(m, SEGMENT)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(np.arange(m), pa.int32()), pa.array([x.tobytes() for x in sketch.reshape(m, SEGMENT)], pa.binary())], names)
 
-    return docs.mapInArrow(run, "k long, code long, size long, segment int, counts binary")
+    return docs.withColumn("t", F.xxhash64("text")).mapInArrow(run, "k long, t long, code long, size long, segment int, counts binary")
 
 
 def _summed(group: pa.Table) -> pa.Table:
@@ -459,12 +459,12 @@ def _linked(percent: int):
 
 
 def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, limit: int = LIMIT, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id reachable over links, its own included).
-    Two rows link if their sets' overlap is percent / 100 of their union or more."""
+    """Per row: id, n_shingles, component_id (the smallest id reachable over links, its own included), text_hash
+    (xxhash64 of the text, to tell rows apart that repeat an id). Two rows link if their sets' overlap is percent / 100 of their union or more."""
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k"), F.col(text_col).alias("text"))
     scan = stored(_scan(rows, n), "shingle-sets")
-    sets = scan.filter("segment is null").select("k", "code", "size")
+    sets = scan.filter("segment is null").select("k", "t", "code", "size")
     rarity = rarity_of(_sketch_of(scan))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
@@ -504,4 +504,4 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     by_code = named.join(lowest, "label").select("code", "component")
     out = sets.filter("size > 0").join(by_code, "code").unionByName(sets.filter("size = 0").withColumn("component", F.col("k")))
     back = lambda c: F.when(F.col(c) != LAST, F.col(c)).cast(kind)
-    return out.select(back("k").alias(id_col), F.col("size").alias("n_shingles"), back("component").alias("component_id"))
+    return out.select(back("k").alias(id_col), F.col("size").alias("n_shingles"), back("component").alias("component_id"), F.col("t").alias("text_hash"))

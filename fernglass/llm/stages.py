@@ -26,18 +26,18 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5,
 
 
 def without_near_copies(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component of similar documents, the one with the smallest id (of rows that repeat it, one)."""
+    """Of each component of similar documents, the one with the smallest id. Of rows that repeat that id one stays;
+    rows with a null id stay if no row with an id is similar, each text once."""
     found = link_documents(docs, id_col=id_col, text_col=text_col, n=n, percent=percent)
-    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__fg_id")).agg(F.count("*").alias("__fg_n"))
+    own = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    rows = own.groupBy(F.col(id_col).alias("__fg_id"), F.col("text_hash").alias("__fg_t")).agg(F.count("*").alias("__fg_n"))
+    apart = F.when(F.col("__fg_id").isNull(), F.col("__fg_t"))
+    stay = rows.groupBy("__fg_id", apart.alias("__fg_a")).agg(F.min(F.struct("__fg_t", "__fg_n")).alias("x")).select("__fg_id", "x.*")
     stay = stored(stay, "near-copies")
-    own = F.col(id_col).eqNullSafe(F.col("__fg_id"))
-    once = docs.join(stay.filter("__fg_n = 1"), own, "left_semi")
+    same = F.col(id_col).eqNullSafe(F.col("__fg_id")) & (F.xxhash64(text_col) == F.col("__fg_t"))
+    once = docs.join(stay.filter("__fg_n = 1"), same, "left_semi")
     again = stay.filter("__fg_n > 1")
-    if again.isEmpty():
-        return once
-    # ids that several rows have: of rows with one text, one stays
-    several = docs.join(again, own, "left_semi").withColumn("__fg_t", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return once.unionByName(several.dropDuplicates([id_col, "__fg_t"]).drop("__fg_t"))
+    return once if again.isEmpty() else once.unionByName(docs.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> str:

@@ -12,11 +12,8 @@ def test_near_copies_leave_one_of_each_group(make, corpus):
     out = without_near_copies(docs)
     assert out.columns == docs.columns
     groups = {c for _, n, c in brute(corpus, 5, 80) if n}
-    kept = [r for r in out.collect() if (r.text or "").strip()]
-    ids = [r.doc_id for r in kept]
-    assert set(ids) == groups
-    # an id that rows repeat may stay with texts of different groups, never with one text twice
-    assert len({(r.doc_id, r.text) for r in kept}) == len(kept)
+    kept = [r.doc_id for r in out.collect() if (r.text or "").strip()]
+    assert sorted(kept) == sorted(groups)
     assert without_near_copies(make([])).count() == 0
 
 
@@ -39,7 +36,7 @@ def test_repeats_leave_the_rest_of_the_text(make, corpus):
 
 
 def test_toxic_documents_go(make):
-    texts = [(i, ("good words here " * 5) + ("foulword " if i % 3 == 0 else "")) for i in range(90)] + [(200, None), (201, "")]
+    texts = [(i, f"good words here w{chr(97 + i % 26)}{chr(97 + i // 26)} " + ("foulword " if i % 3 == 0 else "") + "and more") for i in range(90)] + [(200, None), (201, "")]
     model = ToxicityModel.fit([(t, int("foulword" in t)) for _, t in texts[:60]])
     docs = make(texts)
     out = without_toxic(docs, model)
