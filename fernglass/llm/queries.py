@@ -10,6 +10,7 @@ from fernglass.llm.langid import fit_languages, identify_languages
 from fernglass.llm.media import document_media
 from fernglass.llm.mixing import MIX_SQL, mix_sources
 from fernglass.llm.neighbours import search
+from fernglass.llm.packing import pack_documents
 from fernglass.llm.shingles import link_documents
 from fernglass.llm.suffixes import remove_repeats
 from fernglass.llm.toxicity import fit_toxicity
@@ -32,6 +33,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -59,5 +64,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
-QUERIES = {"op1_shingles": op1_shingles, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op5_neighbours": op5_neighbours, "op6_urls": op6_urls, "op7_media": op7_media, "op8_warc": op8_warc, "op9_suffixes": op9_suffixes, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_shingles": op1_shingles, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op4_packing": op4_packing, "op5_neighbours": op5_neighbours, "op6_urls": op6_urls, "op7_media": op7_media, "op8_warc": op8_warc, "op9_suffixes": op9_suffixes, "op10_toxicity": op10_toxicity}
 SQL = {"op3_mixing": MIX_SQL, "op8_warc": WARC_SQL}
