@@ -135,7 +135,8 @@ def retrieve(candidates: DataFrame, chunks: DataFrame, options: Options, now_ms:
         found = found.withColumn("logit", F.when(~is_blank(F.col("text")), rerank(passage)))
     scored = with_signals(relevance_of(found, use), options, now_ms).withColumn("reranked", F.col("rerank").isNotNull())
     kept = scored.filter(F.col("relevance") >= options.min_score).select("path", "ordinal", "final", "reranked", "score", "rerank", "relevance", "signals", "breadcrumb", "anchor")
-    last = chunks.groupBy("path").agg(F.max("ordinal").alias("last"))
+    # of the documents that have hits only; these are few, so the chunks aren't shuffled for it
+    last = chunks.select("path", "ordinal").join(kept.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.max("ordinal").alias("last"))
     order = [F.desc("best.reranked"), F.desc("best.final"), F.col("path"), F.col("first")]
     best = merged(kept, last, options.expand).orderBy(*order).limit(options.limit)
     out = joined_text(best.select("path", "first", "last", "best"), chunks)
