@@ -1,7 +1,7 @@
 """Language identification by nearest centroid: TF-IDF vectors of hashed byte n-grams, of unit length, are compared
 by cosine with several clustered centroids per language; a text far from its nearest centroid is marked rejected.
 
-Training takes at most MAX_TRAIN labelled texts a language, chosen by a hash of the id; the inverse document
+Training takes at most MAX_TRAIN labelled texts a language and MAX_TRAIN_TOTAL in all, chosen by a hash of the id; the inverse document
 frequencies are part of that fit. Prediction covers whole texts. Defined results: null texts and texts without a
 letter are `und` with score 0 and rejected; without training texts all are; ties go to the language that comes first.
 """
@@ -19,6 +19,8 @@ from fernglass.llm.common import LOWER, texts
 from fernglass.llm.training import sampled
 
 MAX_TRAIN = 600
+#: Training texts of all languages together, whatever their number.
+MAX_TRAIN_TOTAL = 12_000
 MAX_TRAIN_CHARS = 50_000
 DIMS = 4096
 CENTROIDS = 4
@@ -93,7 +95,8 @@ class LanguageModel:
 def fit_languages(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> LanguageModel:
     """train: (id, lang) of the rows to learn from."""
     told = train.select(F.col(id_col).alias("id"), F.col("lang").alias("lang")).filter("id is not null and lang is not null").groupBy("id").agg(F.min("lang").alias("lang"))
-    ids = sampled(told, "id", "lang", max_train)
+    langs = told.select("lang").distinct().count()
+    ids = sampled(told, "id", "lang", max(1, min(max_train, MAX_TRAIN_TOTAL // max(1, langs))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").filter((F.length("text") <= MAX_TRAIN_CHARS) & F.col("text").rlike(r"\p{L}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

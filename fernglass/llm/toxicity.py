@@ -27,7 +27,7 @@ from fernglass.llm.common import LOWER, SLICE_BYTES, Rolling, texts, words
 from fernglass.llm.training import sampled
 
 MAX_TRAIN = 2000
-MAX_TRAIN_CHARS = 50_000
+MAX_TRAIN_CHARS = 20_000
 #: Tokens of the training documents that the field's weights are fitted on; all of them count for the log ratios
 #: and for the documents' scores.
 LEARN_TOKENS = 250_000

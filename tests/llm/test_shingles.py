@@ -98,7 +98,8 @@ def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + rng.randrange(1, 30)) for _ in range(60)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(7, 7)]
     label = _labels(500, pairs)
-    found = dict(components(spark.createDataFrame(pairs, "a long, b long")).collect())
     met = {x for p in pairs if p[0] != p[1] for x in p}
-    assert found == {x: label[x] for x in met}
+    for most in (1 << 20, 30, 1):  # in one task, after some rounds, by rounds alone
+        rows = components(spark.createDataFrame(pairs, "a long, b long").repartition(3), most=most).collect()
+        assert dict(rows) == {x: label[x] for x in met} and len(rows) == len(met)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
