@@ -39,7 +39,8 @@ LEAF = 32
 PART_BYTES = 16 << 20
 LIMIT = 2048
 LIMIT_TOKENS = 1 << 20
-#: Sets of one bucket that a task sends on; more are known to be candidates of each other.
+#: Sets of one bucket that a task sends on; more are known to be candidates of each other, and only the first is sent.
+#: What else comes with their token is joined to it whatever the bound says, as it may link with any of them.
 CROWD = 256
 LAST = 2**63 - 1
 _FACTORS = np.random.default_rng(23).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -342,26 +343,26 @@ def _buckets(rows: DataFrame, n: int, parts: int) -> DataFrame:
             crowded, place = np.repeat(m > CROWD, m), np.arange(len(key)) - np.repeat(cut, m)
             follow = crowded & (place > 0)
             pairs = np.unique(np.stack([code[row[np.repeat(cut, m)[follow]]], code[row[follow]]], 1), axis=0) if follow.any() else np.zeros((0, 2), np.int64)
-            key, row = key[~follow], row[~follow]
+            key, row, crowded = key[~follow], row[~follow], crowded[~follow]
             part = (mix(key) % np.uint64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
-            key, row, part = key[by], row[by], part[by]
+            key, row, crowded, part = key[by], row[by], crowded[by], part[by]
             ends = np.searchsorted(part, np.arange(parts + 1))
-            out: dict[str, list] = {c: [] for c in ("part", "code", "size", "counts", "key", "own", "pairs")}
+            out: dict[str, list] = {c: [] for c in ("part", "code", "size", "counts", "key", "own", "crowded", "pairs")}
             for p in range(parts):
                 a, z = ends[p], ends[p + 1]
                 extra = pairs[p::parts]
                 if a == z and not len(extra):
                     continue
                 own, at = np.unique(row[a:z], return_inverse=True)
-                for c, v in (("code", code[own]), ("size", size[own]), ("key", key[a:z]), ("own", at.astype(np.int32)), ("pairs", extra)):
+                for c, v in (("code", code[own]), ("size", size[own]), ("key", key[a:z]), ("own", at.astype(np.int32)), ("crowded", crowded[a:z]), ("pairs", extra)):
                     out[c].append(v.tobytes())
                 out["counts"].append(b"".join(counts[own]))
                 out["part"].append(p)
             if out["part"]:
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("code", "size", "counts", "key", "own", "pairs"))]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("code", "size", "counts", "key", "own", "crowded", "pairs"))]))
 
-    return rows.select("text", "code", "keys").mapInArrow(run, "part int, code binary, size binary, counts binary, key binary, own binary, pairs binary")
+    return rows.select("text", "code", "keys").mapInArrow(run, "part int, code binary, size binary, counts binary, key binary, own binary, crowded binary, pairs binary")
 
 
 def _joined(percent: int):
@@ -388,12 +389,14 @@ def _joined(percent: int):
                 out[same] = folded(counts[begin[which[same], None] + np.arange(w)].astype(np.int32), groups)
             return out
 
+        crowded = np.unique(key[np.concatenate(read("crowded", np.bool_))])
         by = np.lexsort((own, key))
         key, own = key[by], own[by]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (own[1:] != own[:-1]))) if len(key) else np.zeros(0, bool)
         key, own = key[new], own[new]
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
         n = np.diff(np.concatenate((cut, [len(key)])))
+        hot = np.isin(key[cut], crowded)
         union, found = Union(len(code)), []
 
         def join(a: int, b: int) -> None:
@@ -404,7 +407,7 @@ def _joined(percent: int):
             for a, b in x.reshape(-1, 2).tolist():
                 found.append((a, b))
         known, found = found, []
-        two = cut[n == 2]
+        two = cut[(n == 2) & ~hot]
         pairs = np.unique(own[two] * len(code) + own[two + 1])
         a, b = pairs // max(1, len(code)), pairs % max(1, len(code))
         sized = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
@@ -418,12 +421,13 @@ def _joined(percent: int):
                 ok = enough(np.minimum(vectors(i, groups), vectors(j, groups)).sum(1), size[i], size[j], percent)
                 for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
                     join(x, y)
-        for start, m in zip(cut[n > 2].tolist(), n[n > 2].tolist(), strict=True):
+        more = (n > 2) | (n == 2) & hot
+        for start, m, every in zip(cut[more].tolist(), n[more].tolist(), hot[more].tolist(), strict=True):
             member = own[start : start + m]
             roots = np.array([union.root(x) for x in member.tolist()])
             if (roots == roots[0]).all():
                 continue
-            if m > LIMIT:  # still a superset of the links; the exact join tells them apart
+            if every or m > LIMIT:  # still a superset of the links; the exact join tells them apart
                 for x in member[1:].tolist():
                     join(int(member[0]), x)
                 continue

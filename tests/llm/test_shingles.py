@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from fernglass.llm import shingles as shingles_module
 from fernglass.llm.components import components
 from fernglass.llm.shingles import CountTree, count_vectors, enough, forest, link_documents
 from tests.llm.conftest import prose
@@ -60,6 +61,25 @@ def test_chains_connect_without_direct_links(make):
     assert got(link_documents(make(texts))) == brute(texts)
 
 
+def test_crowded_buckets_lose_no_link_with_other_tasks(spark, make, monkeypatch):
+    """Sets whose only first token is crowded in one task link with its followers from another task."""
+    monkeypatch.setattr(shingles_module, "CROWD", 1)
+    rng = random.Random(6)
+    common = [f"g{i}" for i in range(40)]
+    texts = [" ".join([*common, f"u{i}"]) for i in range(30)]
+    for i in range(15):
+        for _ in range(6):
+            held = rng.sample(common, 6)
+            texts += [" ".join([f"x{i}", *held[:5]]), " ".join([f"x{i}", *held])]
+    rng.shuffle(texts)
+    texts = list(enumerate(texts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or one task has all of so few rows
+    try:
+        assert got(link_documents(make(texts).repartition(3), n=1, part_bytes=2000)) == brute(texts, 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_empty_table(make):
     assert link_documents(make([])).count() == 0
 
