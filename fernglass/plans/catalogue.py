@@ -465,9 +465,11 @@ def blank_chunks(spark, sf):
 # -- Markdown: a conversation as a document with a heading per turn ---------------------------------------------
 
 
-def _pages(spark, sf) -> DataFrame:
-    """(path, title, body) with plain one-line paragraphs below second-level headings."""
-    line = F.substring(text.collapsed(F.col("text")), 1, 300)
+def _pages(spark, sf, whole: bool = False) -> DataFrame:
+    """(path, title, body) with plain one-line paragraphs below second-level headings: of 300 characters at most, as the
+    SQL has them, or whole."""
+    line = text.collapsed(F.col("text"))
+    line = line if whole else F.substring(line, 1, 300)
     part = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), line, F.lit("\n\n"))
     rows = table(spark, sf, "conversations").filter(F.trim("text") != "").select("conv_id", F.col("turn").cast("int").alias("turn"), part.alias("part"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "")
@@ -479,25 +481,36 @@ PAGES_SQL = r"""turns AS (SELECT 'c' || conv_id || '.md' AS path, 'Conversation
 
 
 @query(f"WITH {PAGES_SQL} SELECT path, ordinal::INT AS ordinal, title || ' › ' || heading AS breadcrumb, replace(heading, ' ', '-') AS anchor, part AS text, sha256(title || ' › ' || heading || chr(10) || part) AS hash FROM turns")
-def structural_chunks(spark, sf):
+def structural_chunks(spark, sf, whole=False):
     from fernglass.engine import chunked
     from fernglass.sources.chunker import structural
 
-    rows = chunked(_pages(spark, sf).withColumn("doc_hash", F.lit("")), structural())
+    rows = chunked(_pages(spark, sf, whole).withColumn("doc_hash", F.lit("")), structural())
     return rows.select("path", "ordinal", "breadcrumb", "anchor", "text", freshness.chunk_hash().alias("hash"))
 
 
 @query(f"""WITH {PAGES_SQL}, s AS (SELECT *, (1 + coalesce(sum(length(part)) OVER (PARTITION BY path ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM turns)
 SELECT path, replace(heading, ' ', '-') AS anchor, 2 AS depth, start, (start + length(part))::BIGINT AS "end" FROM s""")
-def document_outline(spark, sf):
+def document_outline(spark, sf, whole=False):
     from fernglass.sources import markdown
 
     head = F.concat(F.lit("---\ntitle: "), "title", F.lit("\nupdated_at: 2026-01-01\ntags: [x]\n---\n"))
-    files = _pages(spark, sf).select("path", F.encode(F.concat(head, "body"), "UTF-8").alias("content"))
+    files = _pages(spark, sf, whole).select("path", F.encode(F.concat(head, "body"), "UTF-8").alias("content"))
     docs = markdown.documents(markdown.parse_rows(files))
     return docs.select("path", F.explode("headings").alias("h")).select("path", "h.anchor", "h.depth", "h.start", "h.end")
 
 
+@query()
+def structural_chunks_whole(spark, sf):
+    """Chunks of whole turns: long ones are split by sentence, which SQL doesn't say."""
+    return structural_chunks(spark, sf, whole=True)
+
+
+@query()
+def document_outline_whole(spark, sf):
+    return document_outline(spark, sf, whole=True)
+
+
 @query("""WITH t AS (SELECT 'c' || conv_id AS path, string_agg('"' || sha256(role || chr(10) || text) || '"', ',' ORDER BY turn) AS hashes FROM conversations GROUP BY conv_id)
 SELECT sha256('[' || string_agg('["' || path || '","' || sha256(path) || '","c","m",64,[' || hashes || ']]', ',' ORDER BY path) || ']') AS version FROM t""")
 def index_version(spark, sf):
