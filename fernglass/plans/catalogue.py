@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from fernglass.functions import scores, text
 from fernglass.operators import freshness, listing, ranking, retrieval, writing
 from fernglass.operators.filters import Filter
-from fernglass.plans.kb import CHUNKS_SQL, DAY_MS, KB_SQL, NOW_MS, chunks, documents, table
+from fernglass.plans.kb import CHUNKS_SQL, DAY_MS, KB_SQL, NOW_MS, chunks, documents, table, whole_chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -193,12 +193,12 @@ def _top30(hits):
 
 
 @query(f"WITH {keyword_sql()} SELECT path, ordinal, round(score, 6) AS score FROM hits WHERE score > 0 ORDER BY round(score, 6) DESC, path, ordinal LIMIT 30")
-def keyword_bm25(spark, sf):
+def keyword_bm25(spark, sf, chunks=chunks):
     return _top30(ranking.keyword(chunks(spark, sf), " ".join(WORDS)))
 
 
 @query(f"WITH {keyword_sql()} SELECT path, ordinal, round(score, 6) AS score FROM hits WHERE score > 0 AND list_contains(tags, 'good') ORDER BY round(score, 6) DESC, path, ordinal LIMIT 30")
-def keyword_filtered(spark, sf):
+def keyword_filtered(spark, sf, chunks=chunks):
     return _top30(ranking.keyword(chunks(spark, sf), " ".join(WORDS), Filter(tags=("good",))))
 
 
@@ -239,7 +239,7 @@ sides AS (SELECT path, 0.5::DOUBLE * (score / (SELECT max(score) FROM doc)) AS s
 mixed AS (SELECT path, 0 AS ordinal, round(sum(score), 6) AS score FROM sides GROUP BY path)"""
 
 
-def _hybrid(spark, sf) -> DataFrame:
+def _hybrid(spark, sf, chunks) -> DataFrame:
     by_line = ranking.keyword(chunks(spark, sf), " ".join(WORDS))
     by_doc = by_line.groupBy("path").agg(F.max("score").alias("score")).withColumn("ordinal", F.lit(0)).select("path", "ordinal", "score")
     near = documents(spark, sf).select("path", F.col("doc_id").alias("vec_id")).join(table(spark, sf, "embeddings").filter("embedding is not null"), "vec_id").withColumns({"ordinal": F.lit(0), "tags": F.array().cast("array<string>")})
@@ -247,8 +247,8 @@ def _hybrid(spark, sf) -> DataFrame:
 
 
 @query(f"WITH {HYBRID_SQL} SELECT path, ordinal, score FROM mixed ORDER BY score DESC, path LIMIT 30")
-def hybrid_topk(spark, sf):
-    return _top30(_hybrid(spark, sf))
+def hybrid_topk(spark, sf, chunks=chunks):
+    return _top30(_hybrid(spark, sf, chunks))
 
 
 # -- scores ----------------------------------------------------------------------------------------------------
@@ -347,7 +347,7 @@ m AS (SELECT path, min(f) AS first, max(t) AS last, arg_max(ordinal, [final, -or
 ranked AS (SELECT *, row_number() OVER (ORDER BY final DESC, path, first) AS rank FROM m ORDER BY final DESC, path, first LIMIT 10)
 SELECT rank::INT AS rank, ranked.path, path || CASE WHEN best = 0 THEN '' ELSE '#l' || best END AS ref, first::INT AS first, last::INT AS last, round(final, 6) AS final,
     (SELECT string_agg(text, '' ORDER BY c.ordinal) FROM chunks c WHERE c.path = ranked.path AND c.ordinal BETWEEN first AND last) AS text FROM ranked""")
-def search_pipeline(spark, sf):
+def search_pipeline(spark, sf, chunks=chunks):
     """A whole search: candidates, cap, rerank, signals, cutoff, merge, order, limit."""
     rows = chunks(spark, sf)
     found = ranking.capped(ranking.top(ranking.keyword(rows, " ".join(WORDS)), 30))
@@ -519,10 +519,28 @@ def index_version(spark, sf):
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT DISTINCT path FROM chunks WHERE len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda t: starts_with(t, 'thande'))) > 0 OR len(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'), lambda t: starts_with(t, 'thande'))) > 0")
-def keyword_prefix(spark, sf):
+def keyword_prefix(spark, sf, chunks=chunks):
     return ranking.keyword(chunks(spark, sf), "thande", prefix=True).select("path").distinct()
 
 
+#: The same searches over whole titles, with SQL of their own.
+CUT_LINES, CUT_CRUMB = "substr(title, 1, 40) AS title", "title AS breadcrumb"
+_COLLAPSED = r"trim(regexp_replace(title, '\s+', ' ', 'g'))"
+WHOLE_CRUMB = f"CASE WHEN length({_COLLAPSED}) <= 250 THEN {_COLLAPSED} ELSE substr({_COLLAPSED}, 1, 125) || '…' || right({_COLLAPSED}, 124) END AS breadcrumb"
+
+
+def _whole(name: str):
+    def whole(spark, sf):
+        return QUERIES[name](spark, sf, chunks=whole_chunks)
+
+    return whole
+
+
+for _name in ("keyword_bm25", "keyword_filtered", "hybrid_topk", "search_pipeline", "keyword_prefix"):
+    QUERIES[f"{_name}_whole"] = _whole(_name)
+    SQL[f"{_name}_whole"] = SQL[_name].replace(CUT_LINES, "title").replace(CUT_CRUMB, WHOLE_CRUMB)
+
+
 @query(f"WITH {TURNS_SQL} SELECT path, ordinal FROM t WHERE ordinal % 4 = 1")
 def altered_chunks(spark, sf):
     """Chunks whose text was changed behind their hash."""

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.functions.text import ancestor_dirs
+from fernglass.functions.text import ancestor_dirs, collapsed, middle_cut
+from fernglass.sources.chunker import BREADCRUMB_PART, MAX_CHARS
 
 #: 2026-10-05T00:00:00Z.
 NOW_MS = 1_791_158_400_000
@@ -28,11 +29,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", path.alias("path"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("body"), tags.alias("tags"), (F.lit(NOW_MS) - (F.col("doc_id") % 720) * DAY_MS).alias("updated_at")).withColumn("dirs", ancestor_dirs(F.col("path")))
 
 
+def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk per line, with what searches need of its document; the breadcrumb is the title, cut in the middle as the
+    chunker does."""
+    return _lines(documents(spark, sf_dir)).withColumn("breadcrumb", middle_cut(collapsed(F.col("title")), MAX_CHARS // BREADCRUMB_PART))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk per line, with what searches need of its document."""
-    docs = documents(spark, sf_dir).withColumn("title", F.substring("title", 1, 40))
+    """The chunks as CHUNKS_SQL has them: with the first 40 characters of the title."""
+    return _lines(documents(spark, sf_dir).withColumn("title", F.substring("title", 1, 40))).withColumn("breadcrumb", F.col("title"))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
     rows = docs.select("path", "title", "tags", "dirs", "updated_at", F.posexplode(F.split("body", "\n")).alias("ordinal", "text"))
-    return rows.withColumn("breadcrumb", F.col("title")).withColumn("anchor", F.when(F.col("ordinal") == 0, "").otherwise(F.concat(F.lit("l"), F.col("ordinal").cast("string"))))
+    return rows.withColumn("anchor", F.when(F.col("ordinal") == 0, "").otherwise(F.concat(F.lit("l"), F.col("ordinal").cast("string"))))
 
 
 KB_SQL = f"""kb AS (

@@ -56,3 +56,13 @@ def test_whole_outline(spark, turns):
     for conv, turn, role, text in rows:
         start, end = got[f"c{conv}.md", f"{role}-{turn}"]
         assert end - start == len(f"## {role} {turn}\n\n{' '.join(text.split())}\n\n")
+
+
+def test_searches_find_words_behind_the_fortieth_character_of_a_title(spark, tmp_path):
+    head = "a first line of which forty characters are soon over"
+    docs = [(i, f"{head} thand tion\nbody" if i == 3 else f"{head} other\nbody") for i in range(8)]
+    pq.write_table(pa.Table.from_pylist([{"doc_id": i, "text": t, "lang": "en", "source": "s"} for i, t in docs]), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array([3], pa.int64()), "quality": pa.array([1], pa.int32()), "toxic": pa.array([0], pa.int32())}), tmp_path / "labels.parquet")
+    for name in ("keyword_bm25_whole", "keyword_filtered_whole"):  # the second line has the words in its title alone
+        assert sorted((r.path, r.ordinal) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()) == [("s/en/3.md", 0), ("s/en/3.md", 1)]
+    assert {r.path for r in catalogue.QUERIES["search_pipeline_whole"](spark, str(tmp_path)).collect()} == {"s/en/3.md"}
