@@ -441,6 +441,30 @@ def tiling_ends(spark, sf):
     return spans.join(bodies, "path").select("path", "ordinal", "start", F.coalesce(F.lead("start").over(by_path), F.length("body")).alias("end"))
 
 
+def _whole_spans(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The same spans as far as each body reaches, of every document."""
+    bodies = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("body"))
+    till = lambda n: F.least(F.lit(n), F.length("body"))
+    spans = F.array(*(F.struct(F.lit(k).alias("ordinal"), till(a).alias("start"), till(z).alias("end")) for k, (a, z) in enumerate(((0, 100), (150, 300)))))
+    return bodies.select("path", F.explode(spans).alias("s")).select("path", "s.*"), bodies
+
+
+WHOLE_SPANS_SQL = """b AS (SELECT 'd' || doc_id AS path, coalesce(text, '') AS body FROM documents),
+c AS (SELECT path, 0 AS ordinal, 0 AS start, least(100, length(body)) AS "end" FROM b UNION ALL SELECT path, 1, least(150, length(body)), least(300, length(body)) FROM b)"""
+
+
+@query(SQL["coverage_gaps"].replace(SPANS_SQL, WHOLE_SPANS_SQL).replace("SELECT b.path, 300, length(body)", "SELECT b.path, least(300, length(body)), length(body)"))
+def coverage_gaps_whole(spark, sf):
+    return freshness.gaps(*_whole_spans(spark, sf))
+
+
+@query(SQL["tiling_ends"].replace(SPANS_SQL, WHOLE_SPANS_SQL))
+def tiling_ends_whole(spark, sf):
+    spans, bodies = _whole_spans(spark, sf)
+    by_path = W.partitionBy("path").orderBy("ordinal")
+    return spans.join(bodies, "path").select("path", "ordinal", "start", F.coalesce(F.lead("start").over(by_path), F.length("body")).alias("end"))
+
+
 @query("""WITH t AS (SELECT 'c' || conv_id AS path, turn::INT AS ordinal, (turn * 10)::INT AS start, (turn * 10 + 8 + 4 * (turn % 2))::INT AS "end" FROM conversations)
 SELECT path, ordinal FROM (SELECT *, lag("end") OVER (PARTITION BY path ORDER BY ordinal) AS last FROM t) WHERE start < last""")
 def disordered_chunks(spark, sf):

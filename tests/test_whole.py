@@ -66,3 +66,12 @@ def test_searches_find_words_behind_the_fortieth_character_of_a_title(spark, tmp
     for name in ("keyword_bm25_whole", "keyword_filtered_whole"):  # the second line has the words in its title alone
         assert sorted((r.path, r.ordinal) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()) == [("s/en/3.md", 0), ("s/en/3.md", 1)]
     assert {r.path for r in catalogue.QUERIES["search_pipeline_whole"](spark, str(tmp_path)).collect()} == {"s/en/3.md"}
+
+
+def test_spans_of_every_document(spark, tmp_path):
+    texts = [None, "", "x" * 60, "x" * 120, "x" * 200, "x" * 300, "x" * 400]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
+    gaps = {(r[0], r[1]) for r in catalogue.QUERIES["coverage_gaps_whole"](spark, str(tmp_path)).select("path", "at").collect()}
+    assert gaps == {("d3", 100), ("d4", 100), ("d5", 100), ("d6", 100), ("d6", 300)}
+    ends = {(r.path, r.ordinal): (r.start, r.end) for r in catalogue.QUERIES["tiling_ends_whole"](spark, str(tmp_path)).collect()}
+    assert len(ends) == 14 and all(ends[f"d{i}", 1][1] == len(t or "") for i, t in enumerate(texts))
