@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
-import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,30 +34,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, whose executors are the
+    driver itself, may go without and gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = getattr(spark, "_fernglass_dir", None) or f"file://{tempfile.mkdtemp(prefix='fernglass-')}"
-        spark._fernglass_dir = found
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if "dir" not in _LOCAL:
+            _LOCAL["dir"] = f"file://{tempfile.mkdtemp(prefix='fernglass-')}"
+        found = _LOCAL["dir"]
     return found
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps: it does when the driver's garbage is collected."""
-    for _ in range(2):  # what the first round frees lets go of the rest
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+_LOCAL: dict[str, str] = {}
+_OWN: dict[str, tuple] = {}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver's process ends."""
+    path = f"{shared_dir(spark)}/fernglass/{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        sc = spark.sparkContext
+        _OWN[path] = (sc._jvm, sc._jsc.hadoopConfiguration())
+        if len(_OWN) == 1:
+            atexit.register(lambda: [_delete(x) for x in list(_OWN)])
+    return path
+
+
+def _delete(path: str) -> None:
+    jvm, conf = next(v for k, v in _OWN.items() if path.startswith(k))
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet below the shared folder and read it back: cuts lineage, survives lost executors. Spark
+    deletes the write's shuffle files when it is done; spent() deletes the table."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/fernglass/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(schema).parquet(path)
+    out._fernglass_path = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_fernglass_path", None):
+            _delete(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -69,13 +102,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A key with more than one in so many rows is dealt over SALTS parts of a join; there can't be more such keys.
+HOT_SHARE = 1000
+SALTS = 64
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
+    """left, cheap to read twice, with the columns of right, which has a row per key (a left join). Rows of left with a
+    hot key, or none, are dealt by a hash of the columns `by`; right's row of a hot key goes to each of those parts."""
+    n = left.count()
+    hot = left.groupBy(key).count().filter(F.col(key).isNotNull() & (F.col("count") > n // HOT_SHARE)).select(key, F.lit(True).alias("__fg_hot"))
+    hot = F.broadcast(hot)  # fewer than HOT_SHARE rows
+    salt = F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+    dealt = left.join(hot, key, "left").withColumn("__fg_salt", F.when(F.col("__fg_hot") | F.col(key).isNull(), salt).otherwise(0)).drop("__fg_hot")
+    every = F.when(F.col("__fg_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = right.join(hot, key, "left").withColumn("__fg_salt", F.explode(every)).drop("__fg_hot")
+    return dealt.join(spread, [key, "__fg_salt"], "left").drop("__fg_salt")
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id written as text, modulo n: how folds are told apart."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def texts(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of a string column as (first row, end row, bytes, offsets); a null has no bytes."""
+def texts(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of a string column as (first row, end row, bytes, offsets), of about limit bytes and at most so many
+    rows; a null has no bytes."""
     col = batch.column(column)
     if len(col) == 0:
         return
@@ -87,7 +139,7 @@ def texts(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Itera
     data = np.frombuffer(buf, np.uint8) if buf is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(col):
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1))
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 
@@ -154,10 +206,11 @@ def gather(rows: list[pa.RecordBatch | pa.Table]) -> pa.Table:
     return pa.concat_tables([pa.Table.from_batches([x]) if isinstance(x, pa.RecordBatch) else x for x in rows])
 
 
-def blob_rows(parts: np.ndarray, n_parts: int, *arrays: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
-    """Rows dealt to parts: the parts that have any, and per array its bytes in each of those."""
+def blob_rows(parts: np.ndarray, *arrays: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """Rows dealt to parts: the parts that have any, and per array its bytes in each of those. The work follows the
+    rows, not how many parts there are."""
     order = np.argsort(parts, kind="stable")
-    cut = np.searchsorted(parts[order], np.arange(n_parts + 1))
-    own = np.flatnonzero(np.diff(cut))
-    sorted_ = [a[order] for a in arrays]
-    return own, [[a[cut[p] : cut[p + 1]].tobytes() for p in own] for a in sorted_]
+    sorted_ = parts[order]
+    cut = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(parts) else np.zeros(0, np.int64)
+    ends = [*cut[1:].tolist(), len(parts)]
+    return sorted_[cut], [[a[x:y].tobytes() for x, y in zip(cut.tolist(), ends, strict=False)] for a in (a[order] for a in arrays)]

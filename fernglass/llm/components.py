@@ -65,18 +65,19 @@ def _stars(limit: int | None):
     return run
 
 
-def components(edges: DataFrame, rounds: int = 60, most: int = FILE_EDGES) -> DataFrame:
+def components(edges: DataFrame, most: int = FILE_EDGES) -> DataFrame:
     """edges: (a, b) longs. Returns (node, label), label the smallest node that is connected, for every node met.
 
     Above `most` edges, each round joins edges with the smallest neighbour of one end, so a node with very many edges
-    is an ordinary skewed join and never gathered; rounds grow with the logarithm of the longest path. Up to `most`,
-    one task labels them all.
+    is an ordinary skewed join and never gathered; rounds grow with the logarithm of the longest path, and go on until
+    one changes nothing, which is the case only when all that is left are stars. Up to `most`, one task labels them all.
+    Edges of a node with itself count for nothing, repeated ones once; nulls are no nodes; no edges give no rows.
     """
     schema = "node long, label long"
     forest = edges.select("a", "b").filter("a <> b").mapInArrow(_stars(most), schema).filter("node <> label")
     now = _kept(forest.select(F.col("node").alias("a"), F.col("label").alias("b")).distinct(), None)
     last, mark = None, _mark(now)
-    while mark[0] > most and mark != last and rounds:
+    while mark[0] > most and mark != last:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -84,7 +85,7 @@ def components(edges: DataFrame, rounds: int = 60, most: int = FILE_EDGES) -> Da
         lowest = large.filter("a <> b").groupBy("a").agg(F.min("b").alias("m"))
         small = large.filter("a <> b").join(lowest, "a")
         now = _kept(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), mark[0])
-        last, mark, rounds = mark, _mark(now), rounds - 1
+        last, mark = mark, _mark(now)
     if mark[0] <= most:
         return checkpointed(now.coalesce(1).mapInArrow(_stars(None), schema))
     labels = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))

@@ -19,7 +19,7 @@ from fernglass.llm.warc import WARC_SQL, read_archives, write_archives
 
 
 def op1_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_documents(table(spark, sf_dir, "documents")).drop("text_hash")
+    return link_documents(table(spark, sf_dir, "documents")).drop("text_hash", "component")
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernglass.llm.common import LOWER, Rolling, blob_rows, mix, portions, release, stored, texts, words
+from fernglass.llm.common import LOWER, Rolling, blob_rows, mix, portions, spent, stored, texts, words
 from fernglass.llm.components import components
 
 SKETCH = 1 << 18
@@ -276,7 +276,7 @@ def _first_tokens(docs: DataFrame, n: int, percent: int, rarity: np.ndarray, par
             parts_of = lambda x: (mix(x) % np.uint64(parts)).astype(np.int64)
             out = {}
             for name, part, cols in (("asked", parts_of(key[cut]), (key[cut], code[cut], size[cut].astype(np.int32), many)), ("known", parts_of(code[met].view(np.uint64)), (key[met], code[met]))):
-                own, blobs = blob_rows(part, parts, *cols)
+                own, blobs = blob_rows(part, *cols)
                 out[name] = dict(zip(own.tolist(), zip(*blobs, strict=True), strict=True))
             rows = [(p, *out["asked"].get(p, (b"",) * 4), *out["known"].get(p, (b"",) * 2)) for p in sorted(out["asked"].keys() | out["known"].keys())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *(pa.binary(),) * 6), strict=True)], ["part", "key", "code", "size", "many", "known", "holder"])
@@ -347,18 +347,15 @@ def _buckets(rows: DataFrame, n: int, parts: int) -> DataFrame:
             part = (mix(key) % np.uint64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             key, row, crowded, part = key[by], row[by], crowded[by], part[by]
-            ends = np.searchsorted(part, np.arange(parts + 1))
+            # only the parts that have rows are visited, however many there are; pairs go with any of them
+            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             out: dict[str, list] = {c: [] for c in ("part", "code", "size", "counts", "key", "own", "crowded", "pairs")}
-            for p in range(parts):
-                a, z = ends[p], ends[p + 1]
-                extra = pairs[p::parts]
-                if a == z and not len(extra):
-                    continue
+            for n_, (a, z) in enumerate(zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True)):
                 own, at = np.unique(row[a:z], return_inverse=True)
-                for c, v in (("code", code[own]), ("size", size[own]), ("key", key[a:z]), ("own", at.astype(np.int32)), ("crowded", crowded[a:z]), ("pairs", extra)):
+                for c, v in (("code", code[own]), ("size", size[own]), ("key", key[a:z]), ("own", at.astype(np.int32)), ("crowded", crowded[a:z]), ("pairs", pairs[n_ :: len(cut)])):
                     out[c].append(v.tobytes())
                 out["counts"].append(b"".join(counts[own]))
-                out["part"].append(p)
+                out["part"].append(int(part[a]))
             if out["part"]:
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("code", "size", "counts", "key", "own", "crowded", "pairs"))]))
 
@@ -464,7 +461,8 @@ def _linked(percent: int):
 
 def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, limit: int = LIMIT, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable over links, its own included), text_hash
-    (xxhash64 of the text, to tell rows apart that repeat an id). Two rows link if their sets' overlap is percent / 100 of their union or more."""
+    (xxhash64 of the text, to tell rows apart that repeat an id) and component (a number of the component; null for an
+    empty set). Two rows link if their sets' overlap is percent / 100 of their union or more."""
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k"), F.col(text_col).alias("text"))
     scan = stored(_scan(rows, n), "shingle-sets")
@@ -479,7 +477,6 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     chosen = rows.join(open_.withColumnRenamed("least", "k"), "k")
     pairs = stored(_buckets(chosen, n, parts).groupBy("part").applyInArrow(_joined(percent), "a long, b long"), "shingle-pairs")
     near = components(pairs)
-    release(rows.sparkSession)
 
     # exact join of each candidate component; large ones in blocks, each with itself and each two of them
     members = near.withColumnRenamed("node", "code").join(vertices.select("code", "size", F.col("least").alias("k")), "code")
@@ -505,7 +502,9 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     named = vertices.join(label, "code", "left").withColumn("label", F.coalesce("label", "code"))
     lowest = named.groupBy("label").agg(F.min("least").alias("component"))
-    by_code = named.join(lowest, "label").select("code", "component")
-    out = sets.filter("size > 0").join(by_code, "code").unionByName(sets.filter("size = 0").withColumn("component", F.col("k")))
+    by_code = named.join(lowest, "label").select("code", "component", "label")
+    none = sets.filter("size = 0").withColumn("component", F.col("k")).withColumn("label", F.lit(None).cast("long"))
+    out = sets.filter("size > 0").join(by_code, "code").unionByName(none)
+    spent(pairs, links)
     back = lambda c: F.when(F.col(c) != LAST, F.col(c)).cast(kind)
-    return out.select(back("k").alias(id_col), F.col("size").alias("n_shingles"), back("component").alias("component_id"), F.col("t").alias("text_hash"))
+    return out.select(back("k").alias(id_col), F.col("size").alias("n_shingles"), back("component").alias("component_id"), F.col("t").alias("text_hash"), F.col("label").alias("component"))

@@ -1,4 +1,10 @@
-"""Pipeline stages: each applies an operator to a documents table and returns the documents that result."""
+"""Pipeline stages: each applies an operator to a documents table and returns the documents that result.
+
+Defined results: null and empty texts stay in each stage (the random field finds nothing in them, they link with
+nothing, they lose nothing); null ids come after all others; ties between rows of one id go by a hash of the text;
+repeated rows are scored alike, and one of them stays among near copies; very long texts are handled whole, one at a
+time; extra columns are kept, whatever their names, unless they begin with __fg_; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernglass.llm.common import stored, texts
+from fernglass.llm.mixing import WORD
 from fernglass.llm.shingles import link_documents
 from fernglass.llm.suffixes import remove_repeats
 from fernglass.llm.toxicity import ToxicityModel
@@ -26,18 +33,19 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5,
 
 
 def without_near_copies(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component of similar documents, the one with the smallest id. Of rows that repeat that id one stays;
-    rows with a null id stay if no row with an id is similar, each text once."""
-    found = link_documents(docs, id_col=id_col, text_col=text_col, n=n, percent=percent)
-    own = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    rows = own.groupBy(F.col(id_col).alias("__fg_id"), F.col("text_hash").alias("__fg_t")).agg(F.count("*").alias("__fg_n"))
-    apart = F.when(F.col("__fg_id").isNull(), F.col("__fg_t"))
-    stay = rows.groupBy("__fg_id", apart.alias("__fg_a")).agg(F.min(F.struct("__fg_t", "__fg_n")).alias("x")).select("__fg_id", "x.*")
+    """Of each component of similar documents one row: that with the smallest id (null last), then the smallest hash of
+    its text; of rows that share both any one. A row leaves only if another one of its component stays, so rows that
+    share an id but aren't similar all stay, and so does every text without a word."""
+    found = link_documents(docs, id_col=id_col, text_col=text_col, n=n, percent=percent).filter("component is not null")
+    key = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.col("text_hash").alias("t"))
+    rows = found.groupBy("component", key.alias("row")).agg(F.count("*").alias("n"))
+    stay = rows.groupBy("component").agg(F.min(F.struct("row", "n")).alias("x")).select(F.col("x.row.id").alias("__fg_id"), F.col("x.row.t").alias("__fg_t"), F.col("x.n").alias("__fg_n"))
     stay = stored(stay, "near-copies")
     same = F.col(id_col).eqNullSafe(F.col("__fg_id")) & (F.xxhash64(text_col) == F.col("__fg_t"))
-    once = docs.join(stay.filter("__fg_n = 1"), same, "left_semi")
+    worded = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    once = docs.filter(~worded).unionByName(docs.filter(worded).join(stay.filter("__fg_n = 1"), same, "left_semi"))
     again = stay.filter("__fg_n > 1")
-    return once if again.isEmpty() else once.unionByName(docs.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return once if again.isEmpty() else once.unionByName(docs.filter(worded).join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> str:

@@ -2,18 +2,20 @@
 starts in a document with a smaller id.
 
 1. Each string has an anchor, the least hash among the GRAM-byte grams in it; equal strings have equal anchors. A run
-   of neighbouring strings with one anchor is a context, LENGTH to LENGTH + GRAMS - 1 bytes long.
-2. Anchors are dealt to parts by value, with a hash of their context. Where all documents with an anchor have it in
-   the same context, there is nothing to compare: the context goes from all but the smallest id. The others are
-   contested. A task first settles what it sees itself, so an anchor that a third of all documents hold is sent once
-   per task.
-3. Texts are dealt to chunks of about CHUNK_BYTES. Contested contexts are cut out there; equal ones of a chunk are one,
-   with their smallest id, before they are dealt to shards by anchor, so all occurrences of a string meet in one shard.
-   A shard builds a suffix array of its distinct contexts by Larsson and Sadakane's refinement (ranks of doubled
-   length, only groups that are still unsorted), common prefixes by Kasai's rule that the next suffix shares at least
-   one byte less, and takes the smallest id of each run of suffixes that share LENGTH bytes. It answers each chunk.
-4. An anchor that more than SPLIT documents hold is dealt over several shards. Each of those gives out its strings
-   in suffix order; classes of them are merged by binary search, so no task holds a whole hot anchor.
+   of neighbouring strings with one anchor is a context, LENGTH to LENGTH + GRAMS - 1 bytes long. Hashes only deal the
+   work: an anchor that one document alone holds has nothing to be compared with, all others are shared.
+2. Anchors are dealt to parts by value, which tell the holders of shared ones. A task first settles what it sees itself,
+   so an anchor that a third of all documents hold is sent once per task.
+3. Texts are dealt to chunks of about CHUNK_BYTES. Shared contexts are cut out there; those of a chunk that are equal (by
+   a 64-bit hash of their bytes) are one, with their smallest id. They are dealt to shards by anchor, so all
+   occurrences of a string meet in one shard. A shard builds a suffix array of its distinct contexts by Larsson and
+   Sadakane's refinement (ranks of doubled length, only groups that are still unsorted), common prefixes by Kasai's rule
+   that the next suffix shares at least one byte less, and takes the smallest id of each run of suffixes that share
+   LENGTH bytes. It answers each chunk with a bit per string, in the order in which the chunk asked.
+4. An anchor that more than SPLIT documents hold is dealt over several shards, so no task holds a whole hot anchor. Each
+   of those gives out its distinct strings in suffix order, and the runs are merged by binary search. How many shards
+   an anchor gets is looked up in a table of SLOTS numbers, whose size doesn't follow the corpus: an anchor that shares
+   a slot with a hot one is merged as well, with the same result.
 
 All rows between tasks are blobs of a chunk and a part or shard. Ids of null come after all others. Rows that repeat
 an id don't remove each other's text. Defined results: null text is empty; texts shorter than LENGTH bytes lose
@@ -37,12 +39,14 @@ from fernglass.llm.common import Rolling, blob_rows, mix, portions, stored, text
 LENGTH = 50
 GRAM = 20
 GRAMS = LENGTH - GRAM + 1
-#: Bytes of text per part of the anchors, per chunk, and (as contested contexts are a part of it) per shard.
+#: Bytes of text per part of the anchors, per chunk and per shard (whose contexts overlap, but are only the shared ones).
 PART_BYTES = 16 << 20
 CHUNK_BYTES = 2 << 20
-SHARD_BYTES = 4 << 20
-#: Documents with one anchor from which on it is dealt over several shards.
-SPLIT = 50_000
+SHARD_BYTES = 2 << 20
+#: Documents with one anchor that a shard takes; more are dealt over several.
+SPLIT = 512
+SLOTS = 1 << 18
+ALL = np.uint32(0xFFFFFFFF)
 LAST = 2**63 - 1
 SEPARATOR = 0xFF  # no byte of UTF-8
 SPANS = "array<struct<start:long,end:long>>"
@@ -166,22 +170,24 @@ def masks(context: np.ndarray, place: np.ndarray, gone: np.ndarray, n: int) -> n
     return out
 
 
+def _union(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs of distinct strings with ids as one; the shorter is placed in the longer by binary search."""
+    if len(a[0]) < len(b[0]):
+        a, b = b, a
+    at = np.searchsorted(a[0], b[0])
+    same = a[0][np.minimum(at, len(a[0]) - 1)] == b[0] if len(a[0]) else np.zeros(len(b[0]), bool)
+    ids = a[1].copy()
+    ids[at[same]] = np.minimum(ids[at[same]], b[1][same])
+    return np.insert(a[0], at[~same], b[0][~same]), np.insert(ids, at[~same], b[1][~same])
+
+
 def merged(strings: list[np.ndarray], ids: list[np.ndarray]) -> list[np.ndarray]:
-    """Sorted runs of strings with ids: for each run, the smallest id that any run has for each of its strings.
-    Strings are found in the other runs by binary search."""
-    out = [x.copy() for x in ids]
-    for a, own in enumerate(strings):
-        for b, other in enumerate(strings):
-            if a == b or not len(other):
-                continue
-            lo, hi = np.searchsorted(other, own, "left"), np.searchsorted(other, own, "right")
-            hit = np.flatnonzero(hi > lo)
-            if len(hit):
-                # ends paired with the next start: every second value is the least of one range
-                cuts = np.stack([lo[hit], hi[hit]], 1).reshape(-1)
-                padded = np.concatenate((ids[b], [LAST]))
-                out[a][hit] = np.minimum(out[a][hit], np.minimum.reduceat(padded, cuts)[::2])
-    return out
+    """Sorted runs of distinct strings with ids: for each run, the smallest id that any run has for each of its
+    strings. Runs are merged two by two, so the work grows with the strings times the logarithm of the runs."""
+    level = list(zip(strings, ids, strict=True))
+    while len(level) > 1:
+        level = [_union(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    return [level[0][1][np.searchsorted(level[0][0], own)] for own in strings]
 
 
 # -- the operator ----------------------------------------------------------------------------------------------
@@ -197,54 +203,54 @@ def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cut, np.diff(np.concatenate((cut, [len(key)])))
 
 
-GONE, CONTESTED = 1, 2
-
-
 def _anchors_of(docs: DataFrame, parts: int) -> DataFrame:
-    """Per task and part: anchors with a hash of their context, a row that holds them and the number of ids that do;
-    and rows with anchors that several ids of the task hold, dealt by id. Rows are places in a list of (id, chunk)."""
+    """Per task and part: anchors with a row that holds them and the number of rows that do; and rows with anchors that
+    several ids of the task hold, dealt by id. Rows are places in a list of (id, chunk)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
             ids, chunks = batch.column("k").to_numpy(), batch.column("chunk").to_numpy()
-            found: list[list] = [[], [], []]
+            found: list[list] = [[], []]
             for lo, _, data, off in texts(batch, "text"):
                 anchor, ok = anchors(data, off)
-                start, stop, row = runs(anchor, ok, off)
-                for col, v in zip(found, (anchor[start], Rolling(data).ranges(start, stop + LENGTH - 1) if len(start) else anchor[:0], lo + row), strict=True):
-                    col.append(v)
+                start, _, row = runs(anchor, ok, off)
+                found[0].append(anchor[start])
+                found[1].append(lo + row)
             if not found[0] or not sum(map(len, found[0])):
                 continue
-            h, code, row = (np.concatenate(x) for x in found)
+            h, row = (np.concatenate(x) for x in found)
             k = ids[row]
             by = np.lexsort((k, h))
-            h, k, code, row = h[by], k[by], code[by], row[by]
+            h, k, row = h[by], k[by], row[by]
             cut, n = _grouped(h)
-            # an id that holds an anchor in two contexts contests it, too
-            alone = (np.minimum.reduceat(k, cut) == np.maximum.reduceat(k, cut)) & (np.minimum.reduceat(code, cut) == np.maximum.reduceat(code, cut))
+            alone = np.minimum.reduceat(k, cut) == np.maximum.reduceat(k, cut)
             many = np.where(alone, 1, n)
             shared = np.repeat(~alone, n)
             parts_of = lambda x: (mix(x) % np.uint64(parts)).astype(np.int64)
             out = {}
-            for name, part, cols in (("asked", parts_of(h[cut]), (h[cut], code[cut], row[cut].astype(np.int32), many.astype(np.int32))), ("known", parts_of(k[shared].view(np.uint64)), (h[shared], row[shared].astype(np.int32)))):
-                own, blobs = blob_rows(part, parts, *cols)
+            for name, part, cols in (("asked", parts_of(h[cut]), (h[cut], row[cut].astype(np.int32), many.astype(np.int32))), ("known", parts_of(k[shared].view(np.uint64)), (h[shared], row[shared].astype(np.int32)))):
+                own, blobs = blob_rows(part, *cols)
                 out[name] = dict(zip(own.tolist(), zip(*blobs, strict=True), strict=True))
             at = sorted(out["asked"].keys() | out["known"].keys())
             table = np.stack([ids, chunks.astype(np.int64)], 1)
             rows = []
             for p in at:
-                asked, known = out["asked"].get(p, (b"",) * 4), out["known"].get(p, (b"",) * 2)
-                own = np.unique(np.frombuffer(asked[2] + known[1], np.int32))
+                asked, known = out["asked"].get(p, (b"",) * 3), out["known"].get(p, (b"",) * 2)
+                own = np.unique(np.frombuffer(asked[1] + known[1], np.int32))
                 place = lambda x, own=own: np.searchsorted(own, np.frombuffer(x, np.int32)).astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes()
-                rows.append((p, 2 if len(ids) < 65536 else 4, asked[0], asked[1], place(asked[2]), asked[3], known[0], place(known[1]), table[own].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *(pa.binary(),) * 7), strict=True)], ["part", "wide", "anchor", "code", "row", "n", "known", "holder", "rows"])
+                rows.append((p, 2 if len(ids) < 65536 else 4, asked[0], place(asked[1]), asked[2], known[0], place(known[1]), table[own].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *(pa.binary(),) * 6), strict=True)], ["part", "wide", "anchor", "row", "n", "known", "holder", "rows"])
 
-    return docs.mapInArrow(run, "part int, wide int, anchor binary, code binary, row binary, n binary, known binary, holder binary, rows binary")
+    return docs.mapInArrow(run, "part int, wide int, anchor binary, row binary, n binary, known binary, holder binary, rows binary")
+
+
+def _name(k: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """An id and an anchor as one number; two of one number only make a chunk ask for a context that it needn't."""
+    return mix(k.view(np.uint64)) ^ anchor
 
 
 def _judged(split: int):
-    """A part: per chunk, which anchors of which ids are contested or go. Anchors above split come with the number of
-    shards that they are dealt over."""
+    """A part: per chunk, names of ids with their shared anchors. Crowded anchors: their slot and number of shards."""
 
     def run(group: pa.Table) -> pa.Table:
         tables = [x.reshape(-1, 2) for x in _blobs(group, "rows", np.int64)]
@@ -255,95 +261,116 @@ def _judged(split: int):
         def places(column: str) -> np.ndarray:
             return np.concatenate([np.frombuffer(x, f"u{w}").astype(np.int64) + b for x, w, b in zip(group.column(column).to_pylist(), wide, base, strict=False)])
 
-        h, code, n = (np.concatenate(_blobs(group, c, t)) for c, t in (("anchor", np.uint64), ("code", np.uint64), ("n", np.int32)))
+        h, n = (np.concatenate(_blobs(group, c, t)) for c, t in (("anchor", np.uint64), ("n", np.int32)))
         row = places("row")
         by = np.argsort(h, kind="stable")
-        h, code, n, row = h[by], code[by], n[by], row[by]
+        h, n, row = h[by], n[by], row[by]
         k, (cut, m) = rows[row, 0], _grouped(h)
-        crowded, shares = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        verdict = np.zeros(len(h), np.uint8)
+        told, slot, shares = np.zeros(len(h), bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(h):
-            least, most = np.minimum.reduceat(k, cut), np.maximum.reduceat(k, cut)
-            held_alike = (np.minimum.reduceat(code, cut) == np.maximum.reduceat(code, cut)) & (np.maximum.reduceat(n, cut) == 1)
+            most = np.maximum.reduceat(n, cut)
+            shared = (np.minimum.reduceat(k, cut) != np.maximum.reduceat(k, cut)) | (most > 1)
+            told = np.repeat(shared, m) & (n == 1)  # the others are known already
             total = np.add.reduceat(n.astype(np.int64), cut)
-            contested = ~held_alike & ((least != most) | (np.maximum.reduceat(n, cut) > 1))
-            verdict[np.repeat(contested, m) & (n == 1)] = CONTESTED
-            verdict[np.repeat(held_alike, m) & (k > np.repeat(least, m))] = GONE
-            crowded, shares = h[cut][total > split], -(-total[total > split] // split)
-        told = verdict > 0
-        h = np.concatenate([h[told], *_blobs(group, "known", np.uint64)])
+            crowded = shared & (total > split)
+            slot, shares = _slot(h[cut][crowded]), -(-total[crowded] // split)
+        name = np.concatenate([h[told], *_blobs(group, "known", np.uint64)])
         row = np.concatenate([row[told], places("holder")])
-        verdict = np.concatenate([verdict[told], np.full(len(row) - told.sum(), CONTESTED, np.uint8)])
         k, chunk = rows[row].T if len(row) else np.zeros((2, 0), np.int64)
-        by = np.argsort(chunk, kind="stable")
-        cut, m = _grouped(chunk[by])
-        out = [[v[by[a : a + c]].tobytes() for a, c in zip(cut.tolist(), m.tolist(), strict=True)] for v in (k, h, verdict)]
-        return pa.table({"chunk": pa.array(np.concatenate((chunk[by][cut], crowded.view(np.int64)))), "k": pa.array(out[0] + [None] * len(crowded), pa.binary()), "anchor": pa.array(out[1] + [None] * len(crowded), pa.binary()), "verdict": pa.array(out[2] + [None] * len(crowded), pa.binary()), "shares": pa.array(np.concatenate((np.zeros(len(cut), np.int64), shares)).astype(np.int32))})
+        own, (blobs,) = blob_rows(chunk, _name(k, name))
+        none = [None] * len(slot)
+        return pa.table({"chunk": pa.array([*own.tolist(), *none], pa.int64()), "names": pa.array([*blobs, *none], pa.binary()), "slot": pa.array([None] * len(own) + slot.tolist(), pa.int64()), "shares": pa.array([None] * len(own) + shares.tolist(), pa.int64())})
 
     return run
 
 
-def _runs_of(texts_: pa.Table, told: pa.Table) -> Iterator[tuple]:
-    """Slices of a chunk's texts with those of their runs that something was told about: first row, end row, bytes,
-    offsets, then of each run its anchor, a hash of its context, start, end, row, id and verdict."""
-    k, h = (np.concatenate([np.zeros(0, t), *_blobs(told, c, t)]) for c, t in (("k", np.int64), ("anchor", np.uint64)))
-    verdict = np.concatenate([np.zeros(0, np.uint8), *_blobs(told, "verdict", np.uint8)])
-    name = mix(k.view(np.uint64)) ^ h
-    by = np.lexsort((verdict, name))
-    name, verdict = name[by], verdict[by]
-    last = np.concatenate((name[1:] != name[:-1], [True])) if len(name) else np.zeros(0, bool)
-    name, verdict = name[last], verdict[last]
-    for batch in texts_.combine_chunks().to_batches():
-        ids = batch.column("k").to_numpy()
-        for lo, hi, data, off in texts(batch, "text"):
-            anchor, ok = anchors(data, off)
-            start, stop, row = runs(anchor, ok, off)
-            k = ids[lo + row]
-            own = mix(k.view(np.uint64)) ^ anchor[start]
-            at = np.minimum(np.searchsorted(name, own), max(0, len(name) - 1))
-            hit = np.flatnonzero(name[at] == own) if len(name) else np.zeros(0, np.int64)
-            start, stop, row, at = start[hit], stop[hit], row[hit], at[hit]
-            code = Rolling(data).ranges(start, stop + LENGTH - 1) if len(start) else np.zeros(0, np.uint64)
-            yield batch, lo, hi, data, off, anchor[start], code, start, stop, row, k[hit], verdict[at]
-
-
-CONTEXTS = "shard int, hot boolean, chunk long, anchor binary, code binary, id binary, size binary, context binary"
-
-
-def _contexts(shards: int, crowded: dict[int, int]):
-    """A chunk: per shard its distinct contested contexts with their smallest ids. A crowded anchor's shard depends on
-    the context, too, and is marked."""
-    hot = np.sort(np.array(list(crowded), np.int64).view(np.uint64))
-    shares = np.array([crowded[int(x)] for x in hot.view(np.int64)], np.uint64)
-    schema = pa.schema([("shard", pa.int32()), ("hot", pa.bool_()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("anchor", "code", "id", "size", "context"))])
+def _slot(anchor: np.ndarray) -> np.ndarray:
+    return (mix(anchor ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(SLOTS)).astype(np.int64)
+
+
+class _Crowd:
+    """How many shards an anchor is dealt over: one, unless its slot has more."""
+
+    def __init__(self, shares: dict[int, int]):
+        self.slots = np.array(sorted(shares), np.int64)
+        self.shares = np.array([shares[x] for x in self.slots.tolist()], np.uint64)
+
+    def of(self, anchor: np.ndarray) -> np.ndarray:
+        if not len(self.slots):
+            return np.ones(len(anchor), np.uint64)
+        own = _slot(anchor)
+        at = np.minimum(np.searchsorted(self.slots, own), len(self.slots) - 1)
+        return np.where(self.slots[at] == own, self.shares[at], np.uint64(1))
+
+
+class _Asked:
+    """The shared contexts of a chunk's texts. slices: batch, first row, end row, bytes, offsets, and of each run its
+    start and end. Of the runs of all slices: id and the place of its context in the list of distinct contexts. That
+    list is in the order of shard, whether crowded, and hash, so it doesn't depend on the order of the texts."""
+
+    def __init__(self, texts_: pa.Table, told: pa.Table, shards: int, crowd: _Crowd):
+        names = np.unique(np.concatenate([np.zeros(0, np.uint64), *_blobs(told, "names", np.uint64)]))
+        self.slices: list[tuple] = []
+        cols: list[list] = [[np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
+        for batch in texts_.combine_chunks().to_batches():
+            ids = batch.column("k").to_numpy()
+            for lo, hi, data, off in texts(batch, "text"):
+                anchor, ok = anchors(data, off)
+                start, stop, row = runs(anchor, ok, off)
+                k = ids[lo + row]
+                own = _name(k, anchor[start])
+                hit = np.flatnonzero(names[np.minimum(np.searchsorted(names, own), len(names) - 1)] == own) if len(names) else np.zeros(0, np.int64)
+                start, stop = start[hit], stop[hit]
+                code = Rolling(data).ranges(start, stop + LENGTH - 1) if len(start) else np.zeros(0, np.uint64)
+                for col, v in zip(cols, (anchor[start], code, k[hit], np.full(len(hit), len(self.slices)), start), strict=True):
+                    col.append(v)
+                self.slices.append((batch, lo, hi, data, off, start, stop))
+        anchor, code, self.k, self.slice, self.start = (np.concatenate(x) for x in cols)
+        by = np.lexsort((self.k, code))
+        new = np.concatenate(([True], np.diff(code[by]) != 0)) if len(by) else np.zeros(0, bool)
+        which = np.empty(len(by), np.int64)
+        which[by] = np.cumsum(new) - 1
+        first = by[new]
+        self.shares = crowd.of(anchor[first])
+        self.hot = self.shares > 1
+        deal = np.where(self.hot, code[first] % self.shares + np.uint64(1), np.uint64(0))
+        self.shard = (mix(anchor[first] + deal * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((code[first], self.hot, self.shard))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.which = place[which]
+        self.first, self.shares, self.hot, self.shard = first[order], self.shares[order], self.hot[order], self.shard[order]
+        self.anchor, self.code, self.least = anchor[self.first], code[self.first], self.k[self.first]
+
+    def dealt(self) -> Iterator[tuple[int, bool, int, int]]:
+        """Shard, whether crowded, first and end place in the list."""
+        key = self.shard * 2 + self.hot
+        cut, n = _grouped(key)
+        for a, m in zip(cut.tolist(), n.tolist(), strict=True):
+            yield int(key[a]) >> 1, bool(key[a] & 1), a, a + m
+
+
+CONTEXTS = "shard int, hot boolean, chunk long, code binary, id binary, size binary, context binary, anchor binary, shares binary"
+
+
+def _contexts(shards: int, crowd: _Crowd):
+    """A chunk: per shard its distinct shared contexts with their smallest ids. A crowded anchor's shard depends on the
+    context, too."""
+    schema = pa.schema([("shard", pa.int32()), ("hot", pa.bool_()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("code", "id", "size", "context", "anchor", "shares"))])
 
     def run(texts_: pa.Table, told: pa.Table) -> pa.Table:
-        cols: list[list] = [[] for _ in range(5)]
-        for _, _, _, data, _, anchor, code, start, stop, _, k, verdict in _runs_of(texts_, told):
-            raw = data.tobytes()
-            size = stop - start + LENGTH - 1
-            own = np.flatnonzero(verdict == CONTESTED)
-            own = own[np.lexsort((k[own], code[own], anchor[own]))]
-            # equal contexts of a slice are cut out once
-            own = own[np.concatenate(([True], (np.diff(anchor[own]) != 0) | (np.diff(code[own]) != 0)))] if len(own) else own
-            for col, v in zip(cols, (anchor[own], code[own], k[own], size[own]), strict=False):
-                col.append(v)
-            cols[4] += [raw[p : p + n] for p, n in zip(start[own].tolist(), size[own].tolist(), strict=True)]
-        if not cols[4]:
+        if not texts_.num_rows:
+            return schema.empty_table()
+        asked, out = _Asked(texts_, told, shards, crowd), []
+        raw = [x[3].tobytes() for x in asked.slices]
+        size = np.concatenate([np.zeros(0, np.int64), *(x[6] - x[5] for x in asked.slices)])[asked.first] + LENGTH - 1
+        where = list(zip(asked.slice[asked.first].tolist(), asked.start[asked.first].tolist(), size.tolist(), strict=True))
+        chunk = texts_.column("chunk")[0].as_py()
+        for shard, hot, a, z in asked.dealt():
+            text = b"".join([raw[s][p : p + n] for s, p, n in where[a:z]])
+            out.append((shard, hot, chunk, asked.code[a:z].tobytes(), asked.least[a:z].tobytes(), size[a:z].astype(np.uint8).tobytes(), text, asked.anchor[a:z].tobytes() if hot else None, asked.shares[a:z].astype(np.uint32).tobytes() if hot else None))
+        if not out:
             return schema.empty_table()
-        anchor, code, k, size = (np.concatenate(c) for c in cols[:4])
-        deal = np.zeros(len(anchor), np.uint64)
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
-            deal = np.where(hot[at] == anchor, code % shares[at] + np.uint64(1), np.uint64(0))
-        shard = (mix(anchor + deal * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64)
-        by = np.lexsort((k, code, anchor, deal > 0, shard))
-        by = by[np.concatenate(([True], (np.diff(anchor[by]) != 0) | (np.diff(code[by]) != 0)))]
-        cut = np.flatnonzero(np.concatenate(([True], (np.diff(shard[by]) != 0) | (np.diff((deal[by] > 0).astype(int)) != 0))))
-        chunk, out = texts_.column("chunk")[0].as_py(), []
-        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(by)], strict=True):
-            x = by[a:z]
-            out.append((int(shard[x[0]]), bool(deal[x[0]] > 0), chunk, anchor[x].tobytes(), code[x].tobytes(), k[x].tobytes(), size[x].astype(np.int32).tobytes(), b"".join([cols[4][i] for i in x.tolist()])))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -353,118 +380,130 @@ class _Shard:
     """The distinct contexts of a shard with their smallest ids, and which chunks ask for which."""
 
     def __init__(self, group: pa.Table):
-        anchors_, codes = _blobs(group, "anchor", np.uint64), _blobs(group, "code", np.uint64)
-        anchor, code, k, size = (np.concatenate(x) for x in (anchors_, codes, _blobs(group, "id", np.int64), _blobs(group, "size", np.int32)))
-        self.asker = np.repeat(group.column("chunk").to_numpy(), [len(x) for x in anchors_])
-        by = np.lexsort((k, code, anchor))
-        a, c = anchor[by], code[by]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
+        codes = _blobs(group, "code", np.uint64)
+        self.chunk, self.ends = group.column("chunk").to_numpy(), np.cumsum([0] + [len(x) for x in codes])
+        code, self.k, size = (np.concatenate(x) for x in (codes, _blobs(group, "id", np.int64), _blobs(group, "size", np.uint8)))
+        by = np.lexsort((self.k, code))
+        new = np.concatenate(([True], np.diff(code[by]) != 0))
         self.which = np.empty(len(by), np.int64)
         self.which[by] = np.cumsum(new) - 1
-        own = by[new]
-        self.anchor, self.code, self.least = anchor[own], code[own], k[own]
+        self.own = by[new]
+        self.code, self.least = code[self.own], self.k[self.own]
         at = np.cumsum(size, dtype=np.int64) - size
         raw = b"".join(group.column("context").to_pylist())
-        self.contexts = [raw[p : p + n] for p, n in zip(at[own].tolist(), size[own].tolist(), strict=True)]
-
-    def answers(self, mask: np.ndarray) -> pa.Table:
-        """A row for each chunk that asked."""
-        by = np.argsort(self.asker, kind="stable")
-        cut, n = _grouped(self.asker[by])
-        own = [self.which[by[a : a + m]] for a, m in zip(cut.tolist(), n.tolist(), strict=True)]
-        return pa.table({"chunk": pa.array(self.asker[by][cut]), **{c: pa.array([v[x].tobytes() for x in own], pa.binary()) for c, v in (("anchor", self.anchor), ("code", self.code), ("least", self.least), ("mask", mask))}})
+        self.contexts = [raw[p : p + n] for p, n in zip(at[self.own].tolist(), size[self.own].tolist(), strict=True)]
 
 
-ANSWER = "chunk long, anchor binary, code binary, least binary, mask binary"
+ANSWER = "chunk long, shard int, code binary, mask binary"
 
 
 def _settled(group: pa.Table) -> pa.Table:
+    """A row for each chunk that asked, with what goes of each of its contexts: ALL where a smaller id has the context."""
     s = _Shard(group)
     context, place, _, least = least_ids(s.contexts, s.least)
-    return s.answers(masks(context, place, least < s.least[context], len(s.contexts)))
-
-
-def _strings(shares: int):
-    """Of a shard of crowded anchors: a row per anchor and class, with the class's strings in suffix order and the
-    contexts and chunks that they are from."""
+    mask = masks(context, place, least < s.least[context], len(s.contexts)).astype(np.uint32)
+    answer = np.where(s.k > s.least[s.which], ALL, mask[s.which])
+    out = [answer[a:z].tobytes() for a, z in zip(s.ends, s.ends[1:], strict=False)]
+    return pa.table({"chunk": pa.array(s.chunk), "shard": group.column("shard"), "code": pa.nulls(len(out), pa.binary()), "mask": pa.array(out, pa.binary())})
 
-    def run(group: pa.Table) -> pa.Table:
-        s = _Shard(group)
-        context, place, _, least = least_ids(s.contexts, s.least)
-        strings = np.array([s.contexts[c][p : p + LENGTH] for c, p in zip(context.tolist(), place.tolist(), strict=True)], f"S{LENGTH}")
-        class_ = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "little") % shares for x in strings.tolist()], np.int64)
-        by = np.lexsort((np.arange(len(strings)), class_, s.anchor[context]))
-        cut = np.flatnonzero(np.concatenate(([True], (np.diff(s.anchor[context][by].view(np.int64)) != 0) | (np.diff(class_[by]) != 0)))) if len(by) else np.zeros(0, int)
-        out: dict[str, list] = {c: [] for c in ("anchor", "class", "strings", "least", "own", "code", "place")}
-        for a, z in zip(cut, [*cut[1:], len(by)], strict=True):
-            x = by[a:z]
-            for name, v in (("strings", strings[x]), ("least", least[x]), ("own", s.least[context[x]]), ("code", s.code[context[x]]), ("place", place[x])):
-                out[name].append(v.tobytes())
-            out["anchor"].append(int(s.anchor[context[x[0]]].view(np.int64)))
-            out["class"].append(int(class_[x[0]]))
-        return pa.table(out, schema=pa.schema([("anchor", pa.int64()), ("class", pa.int32()), *((c, pa.binary()) for c in ("strings", "least", "own", "code", "place"))]))
 
-    return run
+def _strings(group: pa.Table) -> pa.Table:
+    """Of a shard of crowded anchors: a row per anchor and class, with the class's strings in suffix order, the
+    smallest ids of the strings, and the contexts and places that they are from."""
+    s = _Shard(group)
+    anchor, shares = (np.concatenate(_blobs(group, c, t))[s.own] for c, t in (("anchor", np.uint64), ("shares", np.uint32)))
+    context, place, kind, least = least_ids(s.contexts, s.least)
+    strings = np.array([s.contexts[c][p : p + LENGTH] for c, p in zip(context.tolist(), place.tolist(), strict=True)], f"S{LENGTH}")
+    number = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "little") for x in strings.tolist()], np.int64)
+    class_ = number % shares[context] if len(number) else number
+    by = np.lexsort((np.arange(len(strings)), class_, anchor[context]))
+    key = anchor[context][by]
+    cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (np.diff(class_[by]) != 0)))) if len(by) else np.zeros(0, int)
+    out: dict[str, list] = {c: [] for c in ("anchor", "class", "strings", "least", "which", "own", "code", "place")}
+    for a, z in zip(cut, [*cut[1:], len(by)], strict=True):
+        x = by[a:z]
+        new = np.concatenate(([True], kind[x][1:] != kind[x][:-1]))  # equal strings are neighbours
+        for name, v in (("strings", strings[x][new]), ("least", least[x][new]), ("which", (np.cumsum(new) - 1).astype(np.int32)), ("own", s.least[context[x]]), ("code", s.code[context[x]]), ("place", place[x])):
+            out[name].append(v.tobytes())
+        out["anchor"].append(int(anchor[context[x[0]]].view(np.int64)))
+        out["class"].append(int(class_[x[0]]))
+    return pa.table(out, schema=pa.schema([("anchor", pa.int64()), ("class", pa.int64()), *((c, pa.binary()) for c in ("strings", "least", "which", "own", "code", "place"))]))
+
+
+STRINGS = "anchor long, class long, strings binary, least binary, which binary, own binary, code binary, place binary"
 
 
 def _merge(group: pa.Table) -> pa.Table:
     """The runs of one anchor and class: per context the strings that go."""
     found = merged(_blobs(group, "strings", f"S{LENGTH}"), _blobs(group, "least", np.int64))
-    least, own, code, place = (np.concatenate(x) for x in (found, _blobs(group, "own", np.int64), _blobs(group, "code", np.int64), _blobs(group, "place", np.int64)))
+    least = np.concatenate([x[w] for x, w in zip(found, _blobs(group, "which", np.int32), strict=True)])
+    own, code, place = (np.concatenate(_blobs(group, c, np.int64)) for c in ("own", "code", "place"))
     codes, which = np.unique(code, return_inverse=True)
-    return pa.table({"anchor": pa.array(np.full(len(codes), group.column("anchor")[0].as_py()), pa.int64()), "code": pa.array(codes), "mask": pa.array(masks(which, place, least < own, len(codes)))})
+    return pa.table({"code": pa.array(codes), "mask": pa.array(masks(which, place, least < own, len(codes)))})
 
 
-def _asked(group: pa.Table) -> pa.Table:
-    """The contexts of a shard of crowded anchors, and who asks for them."""
+def _asks(group: pa.Table) -> pa.Table:
+    """Of a shard of crowded anchors: which chunk asks for which context, and whether a smaller id has it."""
     s = _Shard(group)
-    return pa.table({"chunk": pa.array(s.asker), "anchor": pa.array(s.anchor[s.which].view(np.int64)), "code": pa.array(s.code[s.which].view(np.int64)), "least": pa.array(s.least[s.which])})
+    return pa.table({"chunk": pa.array(np.repeat(s.chunk, np.diff(s.ends))), "code": pa.array(s.code[s.which].view(np.int64)), "all": pa.array(s.k > s.least[s.which])})
 
 
 def _packed(group: pa.Table) -> pa.Table:
-    return pa.table({"chunk": group.column("chunk").slice(0, 1), **{c: pa.array([group.column(c).to_numpy().tobytes()], pa.binary()) for c in ("anchor", "code", "least", "mask")}})
+    mask = np.where(group.column("all").to_numpy(), ALL, group.column("mask").to_numpy().astype(np.uint32))
+    return pa.table({"chunk": group.column("chunk").slice(0, 1), "shard": pa.nulls(1, pa.int32()), "code": pa.array([group.column("code").to_numpy().tobytes()], pa.binary()), "mask": pa.array([mask.tobytes()], pa.binary())})
 
 
 RESULT = pa.schema([("k", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def _cut(texts_: pa.Table, told: pa.Table) -> pa.Table:
-    """A chunk's texts, the verdicts on their anchors and the answers to their contexts: what goes from each text."""
-    if not texts_.num_rows:
-        return RESULT.empty_table()
-    answers = told.filter(pc.is_null(told.column("k")))
-    anchor, code = (np.concatenate([np.zeros(0, np.uint64), *_blobs(answers, c, np.uint64)]) for c in ("anchor", "code"))
-    least, mask = (np.concatenate([np.zeros(0, np.int64), *_blobs(answers, c, np.int64)]) for c in ("least", "mask"))
-    name = mix(anchor) ^ code
-    by = np.argsort(name, kind="stable")
-    name, least, mask = name[by], least[by], mask[by]
-    out: list[tuple] = []
-    for batch, lo, hi, data, off, anchor, code, start, stop, _, k, verdict in _runs_of(texts_, told.filter(pc.is_valid(told.column("k")))):
-        asked = np.flatnonzero(verdict == CONTESTED)
-        own = mix(anchor[asked]) ^ code[asked]
-        at = np.searchsorted(name, own)
-        if len(at) and not (len(name) and (name[np.minimum(at, len(name) - 1)] == own).all()):
-            raise ValueError("a context has no answer")
-        # where the smallest id has a context its mask says what goes; elsewhere all of it does
-        bits = (np.int64(1) << (stop - start)) - 1
-        if len(at):
-            bits[asked] = np.where(k[asked] > least[at], bits[asked], mask[at])
-        marks = np.zeros(len(data) + 1, np.int32)
-        for j in range(GRAMS):
-            w = start[(bits >> j & 1) == 1] + j
-            np.add.at(marks, w, 1)
-            np.add.at(marks, w + LENGTH, -1)
-        covered = np.cumsum(marks[:-1]) > 0
-        ids = batch.column("k").slice(lo, hi - lo).to_pylist()
-        for i in range(hi - lo):
-            c, text = covered[off[i] : off[i + 1]], data[off[i] : off[i + 1]]
-            sha = hashlib.sha256(text).hexdigest()
-            if not c.any():
-                out.append((ids[i], len(text), 0, 0, sha, sha, []))
-                continue
-            spans = np.flatnonzero(np.diff(np.concatenate(([0], c.view(np.int8), [0])))).reshape(-1, 2)
-            out.append((ids[i], len(text), int(c.sum()), len(spans), hashlib.sha256(text[~c]).hexdigest(), sha, [{"start": a, "end": z} for a, z in spans.tolist()]))
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), RESULT, strict=True)], schema=RESULT)
+def _cut(shards: int, crowd: _Crowd):
+    """A chunk's texts, the names of shared anchors and the answers to their contexts: what goes from each text."""
+
+    def run(texts_: pa.Table, told: pa.Table) -> pa.Table:
+        if not texts_.num_rows:
+            return RESULT.empty_table()
+        asked = _Asked(texts_, told.filter(pc.is_valid(told.column("names"))), shards, crowd)
+        given = told.filter(pc.and_(pc.is_null(told.column("names")), pc.is_valid(told.column("shard"))))
+        by_shard = dict(zip(given.column("shard").to_pylist(), _blobs(given, "mask", np.uint32), strict=True))
+        named = told.filter(pc.and_(pc.is_null(told.column("names")), pc.is_null(told.column("shard"))))
+        code, mask = (np.concatenate([np.zeros(0, t), *_blobs(named, c, t)]) for c, t in (("code", np.uint64), ("mask", np.uint32)))
+        by = np.argsort(code, kind="stable")
+        code, mask = code[by], mask[by]
+        answer = np.zeros(len(asked.first), np.uint32)
+        for shard, hot, a, z in asked.dealt():
+            if hot:
+                at = np.searchsorted(code, asked.code[a:z])
+                if not (len(code) and (code[np.minimum(at, len(code) - 1)] == asked.code[a:z]).all()):
+                    raise ValueError("a context has no answer")
+                answer[a:z] = mask[at]
+            else:
+                answer[a:z] = by_shard[shard]
+        # where the smallest id has a context the mask says what goes; elsewhere all of it does
+        bits = np.where(asked.k > asked.least[asked.which], ALL, answer[asked.which])
+        out: list[tuple] = []
+        seen = 0
+        for batch, lo, hi, data, off, start, stop in asked.slices:
+            own, seen = bits[seen : seen + len(start)], seen + len(start)
+            whole = own == ALL
+            marks = np.bincount(start[whole], minlength=len(data) + 1) - np.bincount(stop[whole] - 1 + LENGTH, minlength=len(data) + 1)
+            some = np.flatnonzero(~whole & (own > 0))
+            for j in range(GRAMS if len(some) else 0):
+                w = start[some[(own[some] >> np.uint32(j) & np.uint32(1)) == 1]] + j
+                np.add.at(marks, w, 1)
+                np.add.at(marks, w + LENGTH, -1)
+            covered = np.cumsum(marks[:-1]) > 0
+            ids = batch.column("k").slice(lo, hi - lo).to_pylist()
+            for i in range(hi - lo):
+                c, text = covered[off[i] : off[i + 1]], data[off[i] : off[i + 1]]
+                sha = hashlib.sha256(text).hexdigest()
+                if not c.any():
+                    out.append((ids[i], len(text), 0, 0, sha, sha, []))
+                    continue
+                spans = np.flatnonzero(np.diff(np.concatenate(([0], c.view(np.int8), [0])))).reshape(-1, 2)
+                out.append((ids[i], len(text), int(c.sum()), len(spans), hashlib.sha256(text[~c]).hexdigest(), sha, [{"start": a, "end": z} for a, z in spans.tolist()]))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), RESULT, strict=True)], schema=RESULT)
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, part_bytes: int = PART_BYTES, shard_bytes: int = SHARD_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -473,28 +512,24 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts, shards, chunks = (max(1, -(-total // n)) for n in (part_bytes, shard_bytes, chunk_bytes))
-    split = max(split, total >> 24)  # so crowded anchors stay below a million at any size
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("k", "text"), F.lit(chunks)))
 
-    judged = _anchors_of(rows, parts).groupBy("part").applyInArrow(_judged(split), "chunk long, k binary, anchor binary, verdict binary, shares int")
+    judged = _anchors_of(rows, parts).groupBy("part").applyInArrow(_judged(split), "chunk long, names binary, slot long, shares long")
     judged = stored(judged, "repeats-judged")
-    crowded = {r.chunk: r.shares for r in judged.filter("shares > 0").collect()}
-    told = judged.filter("shares = 0").drop("shares")
+    # at most SLOTS rows, whatever the corpus
+    crowd = _Crowd({r.slot: r.shares for r in judged.filter("slot is not null").groupBy("slot").agg(F.max("shares").alias("shares")).collect()})
+    told = judged.filter("names is not null").select("chunk", "names")
 
     # both steps below deal the texts to chunks in the same way, so Spark does it once
     by_chunk = rows.groupBy("chunk")
-    asked = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_contexts(shards, crowded), CONTEXTS)
-    if crowded:
-        asked = stored(asked, "repeats-contexts")
+    asked = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_contexts(shards, crowd), CONTEXTS)
     answers = asked.filter("not hot").groupBy("shard").applyInArrow(_settled, ANSWER)
-    if crowded:
+    if len(crowd.slots):
         hot = asked.filter("hot").groupBy("shard")
-        strings = hot.applyInArrow(_strings(max(crowded.values())), "anchor long, class int, strings binary, least binary, own binary, code binary, place binary")
-        mask = strings.groupBy("anchor", "class").applyInArrow(_merge, "anchor long, code long, mask long").groupBy("anchor", "code").agg(F.bit_or("mask").alias("mask"))
-        ids = hot.applyInArrow(_asked, "chunk long, anchor long, code long, least long")
-        least = ids.groupBy("anchor", "code").agg(F.min("least").alias("least"))
-        answers = answers.unionByName(ids.drop("least").join(least, ["anchor", "code"]).join(mask, ["anchor", "code"]).groupBy("chunk").applyInArrow(_packed, ANSWER))
+        mask = hot.applyInArrow(_strings, STRINGS).groupBy("anchor", "class").applyInArrow(_merge, "code long, mask long").groupBy("code").agg(F.bit_or("mask").alias("mask"))
+        asks = hot.applyInArrow(_asks, "chunk long, code long, all boolean")
+        answers = answers.unionByName(asks.join(mask, "code").groupBy("chunk").applyInArrow(_packed, ANSWER))
 
     known = told.unionByName(answers, allowMissingColumns=True)
-    done = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(_cut, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_sha256 string, spans " + SPANS)
+    done = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(_cut(shards, crowd), "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_sha256 string, spans " + SPANS)
     return done.select(F.when(F.col("k") != LAST, F.col("k")).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_sha256", "spans")

@@ -46,7 +46,7 @@ def got(df):
 @pytest.mark.parametrize(("n", "percent", "limit"), [(4, 85, 2048), (5, 80, 2), (1, 50, 3)])
 def test_same_components_as_brute_force(make, corpus, n, percent, limit):
     out = link_documents(make(corpus).repartition(5), n=n, percent=percent, limit=limit, part_bytes=4000)
-    assert out.columns == ["doc_id", "n_shingles", "component_id", "text_hash"]
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "text_hash", "component"]
     assert got(out) == brute(corpus, n, percent)
 
 

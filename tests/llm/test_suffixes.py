@@ -78,17 +78,34 @@ def test_suffix_array_and_common_prefixes():
 
 def test_merge_by_binary_search():
     rng = random.Random(3)
-    runs = [sorted(rng.choice("abcdef") * 3 for _ in range(rng.randint(0, 8))) for _ in range(4)]
-    ids = [[rng.randrange(100) for _ in r] for r in runs]
-    least = {}
-    for r, i in zip(runs, ids, strict=True):
-        for s, k in zip(r, i, strict=True):
-            least[s] = min(least.get(s, 999), k)
-    got = S.merged([np.array([s.encode() for s in r], "S50") for r in runs], [np.array(i, np.int64) for i in ids])
-    for r, i, g in zip(runs, ids, got, strict=True):
-        # equal strings of one run are one in the operator, so a run's own ids only count against others
-        assert all(x <= min(k, *(j for q, js in zip(runs, ids, strict=True) if q is not r for t, j in zip(q, js, strict=True) if t == s), 999) for s, k, x in zip(r, i, g.tolist(), strict=True))
-        assert all(x >= least[s] for s, x in zip(r, g.tolist(), strict=True))
+    for n in (1, 2, 5, 16):
+        runs = [sorted({rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(rng.randint(0, 12))}) for _ in range(n)]
+        ids = [[rng.randrange(100) for _ in r] for r in runs]
+        least = {}
+        for r, i in zip(runs, ids, strict=True):
+            for s, k in zip(r, i, strict=True):
+                least[s] = min(least.get(s, 999), k)
+        got = S.merged([np.array([s.encode() for s in r], "S50") for r in runs], [np.array(i, np.int64) for i in ids])
+        assert [g.tolist() for g in got] == [[least[s] for s in r] for r in runs]
+
+
+def test_a_passage_of_most_documents_is_merged_over_shards(make, monkeypatch):
+    """More holders of an anchor than a shard takes, in as many different contexts; some slots are shared."""
+    monkeypatch.setattr(S, "SLOTS", 64)
+    rng = random.Random(4)
+    passage = "this passage is the same in every document and goes on for a while, well over fifty bytes"
+    texts = [(i, f"{rng.random()} {passage[rng.randint(0, 20) : rng.randint(72, 89)]} {rng.random()}") for i in range(300)]
+    got = sorted((tuple(r)[:5] for r in S.remove_repeats(make(texts).repartition(6), split=4, chunk_bytes=600, shard_bytes=2000).collect()), key=str)
+    assert got == brute(texts)
+
+
+def test_blobs_visit_only_the_parts_that_have_rows():
+    from fernglass.llm.common import blob_rows
+
+    parts = np.array([10**15, 3, 10**15, 7])  # a list of all parts would not fit
+    own, (a, b) = blob_rows(parts, np.arange(4), np.arange(4, dtype=np.int8))
+    assert own.tolist() == [3, 7, 10**15] and [np.frombuffer(x, np.int64).tolist() for x in a] == [[1], [3], [0, 2]] and [list(x) for x in b] == [[1], [3], [0, 2]]
+    assert blob_rows(np.zeros(0, np.int64), np.zeros(0))[1] == [[]]
 
 
 def test_cut_text_keeps_whole_characters():
