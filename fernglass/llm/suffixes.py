@@ -14,8 +14,8 @@ starts in a document with a smaller id.
    LENGTH bytes. It answers each chunk with a bit per string, in the order in which the chunk asked.
 4. An anchor that more than SPLIT documents hold is dealt over several shards, so no task holds a whole hot anchor. Each
    of those gives out its distinct strings in suffix order, and the runs are merged by binary search. How many shards
-   an anchor gets is looked up in a table of SLOTS numbers, whose size doesn't follow the corpus: an anchor that shares
-   a slot with a hot one is merged as well, with the same result.
+   an anchor gets is the lesser of its entries in two tables of SLOTS numbers, whose size doesn't follow the corpus: an
+   anchor that shares its slots with hot ones is merged as well, with the same result.
 
 All rows between tasks are blobs of a chunk and a part or shard. Ids of null come after all others. Rows that repeat
 an id don't remove each other's text. Defined results: null text is empty; texts shorter than LENGTH bytes lose
@@ -45,7 +45,7 @@ CHUNK_BYTES = 2 << 20
 SHARD_BYTES = 2 << 20
 #: Documents with one anchor that a shard takes; more are dealt over several.
 SPLIT = 512
-SLOTS = 1 << 18
+SLOTS = 1 << 19
 ALL = np.uint32(0xFFFFFFFF)
 LAST = 2**63 - 1
 SEPARATOR = 0xFF  # no byte of UTF-8
@@ -273,7 +273,7 @@ def _judged(split: int):
             told = np.repeat(shared, m) & (n == 1)  # the others are known already
             total = np.add.reduceat(n.astype(np.int64), cut)
             crowded = shared & (total > split)
-            slot, shares = _slot(h[cut][crowded]), -(-total[crowded] // split)
+            slot, shares = _slots(h[cut][crowded]).reshape(-1), np.tile(-(-total[crowded] // split), 2)
         name = np.concatenate([h[told], *_blobs(group, "known", np.uint64)])
         row = np.concatenate([row[told], places("holder")])
         k, chunk = rows[row].T if len(row) else np.zeros((2, 0), np.int64)
@@ -284,12 +284,13 @@ def _judged(split: int):
     return run
 
 
-def _slot(anchor: np.ndarray) -> np.ndarray:
-    return (mix(anchor ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(SLOTS)).astype(np.int64)
+def _slots(anchor: np.ndarray) -> np.ndarray:
+    """An anchor's slots in both tables; those of the second follow those of the first."""
+    return np.stack([mix(anchor ^ np.uint64(x)) % np.uint64(SLOTS) + np.uint64(t * SLOTS) for t, x in enumerate((0xA5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3C))]).astype(np.int64)
 
 
 class _Crowd:
-    """How many shards an anchor is dealt over: one, unless its slot has more."""
+    """How many shards an anchor is dealt over: one, unless both of its slots have more."""
 
     def __init__(self, shares: dict[int, int]):
         self.slots = np.array(sorted(shares), np.int64)
@@ -298,9 +299,9 @@ class _Crowd:
     def of(self, anchor: np.ndarray) -> np.ndarray:
         if not len(self.slots):
             return np.ones(len(anchor), np.uint64)
-        own = _slot(anchor)
+        own = _slots(anchor)
         at = np.minimum(np.searchsorted(self.slots, own), len(self.slots) - 1)
-        return np.where(self.slots[at] == own, self.shares[at], np.uint64(1))
+        return np.where(self.slots[at] == own, self.shares[at], np.uint64(1)).min(0)
 
 
 class _Asked:
@@ -395,30 +396,42 @@ class _Shard:
 
 
 ANSWER = "chunk long, shard int, code binary, mask binary"
+SETTLED = "kind int, chunk long, shard int, mask binary, anchor long, class long, strings binary, least binary, which binary, own binary, code binary, place binary"
+ANSWERED, STRINGS, ASKED = range(3)
+_SHAPE = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("shard", pa.int32()), ("mask", pa.binary()), ("anchor", pa.int64()), ("class", pa.int64()), *((c, pa.binary()) for c in ("strings", "least", "which", "own", "code", "place"))])
 
 
-def _settled(group: pa.Table) -> pa.Table:
-    """A row for each chunk that asked, with what goes of each of its contexts: ALL where a smaller id has the context."""
-    s = _Shard(group)
-    context, place, _, least = least_ids(s.contexts, s.least)
-    mask = masks(context, place, least < s.least[context], len(s.contexts)).astype(np.uint32)
-    answer = np.where(s.k > s.least[s.which], ALL, mask[s.which])
-    out = [answer[a:z].tobytes() for a, z in zip(s.ends, s.ends[1:], strict=False)]
-    return pa.table({"chunk": pa.array(s.chunk), "shard": group.column("shard"), "code": pa.nulls(len(out), pa.binary()), "mask": pa.array(out, pa.binary())})
+def _shaped(kind: int, n: int, **cols) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in list(_SHAPE)[1:])], schema=_SHAPE)
 
 
-def _strings(group: pa.Table) -> pa.Table:
-    """Of a shard of crowded anchors: a row per anchor and class, with the class's strings in suffix order, the
-    smallest ids of the strings, and the contexts and places that they are from."""
+def _settled(group: pa.Table) -> pa.Table:
+    """A row for each chunk that asked, with what goes of each of its contexts: ALL where a smaller id has the context.
+
+    Of a shard of crowded anchors instead a row per anchor and class, with the class's distinct strings in suffix order,
+    their smallest ids, and the contexts and places that they are from; and per chunk which contexts it asks for, and
+    whether a smaller id has them."""
     s = _Shard(group)
-    anchor, shares = (np.concatenate(_blobs(group, c, t))[s.own] for c, t in (("anchor", np.uint64), ("shares", np.uint32)))
     context, place, kind, least = least_ids(s.contexts, s.least)
+    spans = list(zip(s.ends, s.ends[1:], strict=False))
+    lost = s.k > s.least[s.which]
+    if not group.column("hot")[0].as_py():
+        mask = masks(context, place, least < s.least[context], len(s.contexts)).astype(np.uint32)
+        answer = np.where(lost, ALL, mask[s.which])
+        return _shaped(ANSWERED, len(spans), chunk=s.chunk, shard=group.column("shard").to_numpy(), mask=[answer[a:z].tobytes() for a, z in spans])
+    asked = _shaped(ASKED, len(spans), chunk=s.chunk, code=[s.code[s.which[a:z]].tobytes() for a, z in spans], mask=[lost[a:z].tobytes() for a, z in spans])
+    anchor, shares = (np.concatenate(_blobs(group, c, t))[s.own] for c, t in (("anchor", np.uint64), ("shares", np.uint32)))
     strings = np.array([s.contexts[c][p : p + LENGTH] for c, p in zip(context.tolist(), place.tolist(), strict=True)], f"S{LENGTH}")
-    number = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "little") for x in strings.tolist()], np.int64)
-    class_ = number % shares[context] if len(number) else number
+    if not len(strings):
+        return asked
+    raw = strings.view(np.uint8).reshape(len(strings), LENGTH)
+    number = np.zeros(len(strings), np.uint64)
+    for j in range(LENGTH):
+        number = (number + raw[:, j]) * np.uint64(0xD6E8FEB86659FD93)
+    class_ = (mix(number) % shares[context].astype(np.uint64)).astype(np.int64)
     by = np.lexsort((np.arange(len(strings)), class_, anchor[context]))
     key = anchor[context][by]
-    cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (np.diff(class_[by]) != 0)))) if len(by) else np.zeros(0, int)
+    cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (np.diff(class_[by]) != 0))))
     out: dict[str, list] = {c: [] for c in ("anchor", "class", "strings", "least", "which", "own", "code", "place")}
     for a, z in zip(cut, [*cut[1:], len(by)], strict=True):
         x = by[a:z]
@@ -427,10 +440,7 @@ def _strings(group: pa.Table) -> pa.Table:
             out[name].append(v.tobytes())
         out["anchor"].append(int(anchor[context[x[0]]].view(np.int64)))
         out["class"].append(int(class_[x[0]]))
-    return pa.table(out, schema=pa.schema([("anchor", pa.int64()), ("class", pa.int64()), *((c, pa.binary()) for c in ("strings", "least", "which", "own", "code", "place"))]))
-
-
-STRINGS = "anchor long, class long, strings binary, least binary, which binary, own binary, code binary, place binary"
+    return pa.concat_tables([asked, _shaped(STRINGS, len(out["anchor"]), **out)])
 
 
 def _merge(group: pa.Table) -> pa.Table:
@@ -442,10 +452,12 @@ def _merge(group: pa.Table) -> pa.Table:
     return pa.table({"code": pa.array(codes), "mask": pa.array(masks(which, place, least < own, len(codes)))})
 
 
-def _asks(group: pa.Table) -> pa.Table:
-    """Of a shard of crowded anchors: which chunk asks for which context, and whether a smaller id has it."""
-    s = _Shard(group)
-    return pa.table({"chunk": pa.array(np.repeat(s.chunk, np.diff(s.ends))), "code": pa.array(s.code[s.which].view(np.int64)), "all": pa.array(s.k > s.least[s.which])})
+def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each context that a chunk asks for of a crowded anchor, and whether a smaller id has it."""
+    for batch in batches:
+        codes, lost = ([np.frombuffer(x, t) for x in batch.column(c).to_pylist()] for c, t in (("code", np.int64), ("mask", np.bool_)))
+        if codes:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("chunk").to_numpy(), [len(x) for x in codes])), pa.array(np.concatenate(codes)), pa.array(np.concatenate(lost))], ["chunk", "code", "all"])
 
 
 def _packed(group: pa.Table) -> pa.Table:
@@ -520,14 +532,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     crowd = _Crowd({r.slot: r.shares for r in judged.filter("slot is not null").groupBy("slot").agg(F.max("shares").alias("shares")).collect()})
     told = judged.filter("names is not null").select("chunk", "names")
 
-    # both steps below deal the texts to chunks in the same way, so Spark does it once
     by_chunk = rows.groupBy("chunk")
     asked = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_contexts(shards, crowd), CONTEXTS)
-    answers = asked.filter("not hot").groupBy("shard").applyInArrow(_settled, ANSWER)
+    settled = stored(asked.groupBy("shard", "hot").applyInArrow(_settled, SETTLED), "repeats-settled")
+    answers = settled.filter(F.col("kind") == ANSWERED).select("chunk", "shard", "code", "mask")
     if len(crowd.slots):
-        hot = asked.filter("hot").groupBy("shard")
-        mask = hot.applyInArrow(_strings, STRINGS).groupBy("anchor", "class").applyInArrow(_merge, "code long, mask long").groupBy("code").agg(F.bit_or("mask").alias("mask"))
-        asks = hot.applyInArrow(_asks, "chunk long, code long, all boolean")
+        strings = settled.filter(F.col("kind") == STRINGS).select("anchor", "class", "strings", "least", "which", "own", "code", "place")
+        mask = strings.groupBy("anchor", "class").applyInArrow(_merge, "code long, mask long").groupBy("code").agg(F.bit_or("mask").alias("mask"))
+        asks = settled.filter(F.col("kind") == ASKED).select("chunk", "code", "mask").mapInArrow(_asks, "chunk long, code long, all boolean")
         answers = answers.unionByName(asks.join(mask, "code").groupBy("chunk").applyInArrow(_packed, ANSWER))
 
     known = told.unionByName(answers, allowMissingColumns=True)
