@@ -30,7 +30,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+    return mix_sources(table(spark, sf_dir, "documents")).drop("source", "text_hash")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
