@@ -44,7 +44,7 @@ PART_BYTES = 16 << 20
 CHUNK_BYTES = 2 << 20
 SHARD_BYTES = 2 << 20
 #: Documents with one anchor that a shard takes; more are dealt over several.
-SPLIT = 512
+SPLIT = 1024
 SLOTS = 1 << 19
 ALL = np.uint32(0xFFFFFFFF)
 LAST = 2**63 - 1
@@ -395,7 +395,8 @@ class _Shard:
         self.contexts = [raw[p : p + n] for p, n in zip(at[self.own].tolist(), size[self.own].tolist(), strict=True)]
 
 
-ANSWER = "chunk long, shard int, code binary, mask binary"
+#: Shards of crowded anchors answer under numbers below zero.
+ANSWER = "chunk long, shard int, mask binary"
 SETTLED = "kind int, chunk long, shard int, mask binary, anchor long, class long, strings binary, least binary, which binary, own binary, code binary, place binary"
 ANSWERED, STRINGS, ASKED = range(3)
 _SHAPE = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("shard", pa.int32()), ("mask", pa.binary()), ("anchor", pa.int64()), ("class", pa.int64()), *((c, pa.binary()) for c in ("strings", "least", "which", "own", "code", "place"))])
@@ -414,12 +415,12 @@ def _settled(group: pa.Table) -> pa.Table:
     s = _Shard(group)
     context, place, kind, least = least_ids(s.contexts, s.least)
     spans = list(zip(s.ends, s.ends[1:], strict=False))
-    lost = s.k > s.least[s.which]
+    lost, shard = s.k > s.least[s.which], group.column("shard")[0].as_py()
     if not group.column("hot")[0].as_py():
         mask = masks(context, place, least < s.least[context], len(s.contexts)).astype(np.uint32)
         answer = np.where(lost, ALL, mask[s.which])
-        return _shaped(ANSWERED, len(spans), chunk=s.chunk, shard=group.column("shard").to_numpy(), mask=[answer[a:z].tobytes() for a, z in spans])
-    asked = _shaped(ASKED, len(spans), chunk=s.chunk, code=[s.code[s.which[a:z]].tobytes() for a, z in spans], mask=[lost[a:z].tobytes() for a, z in spans])
+        return _shaped(ANSWERED, len(spans), chunk=s.chunk, shard=[shard] * len(spans), mask=[answer[a:z].tobytes() for a, z in spans])
+    asked = _shaped(ASKED, len(spans), chunk=s.chunk, shard=[shard] * len(spans), code=[s.code[s.which[a:z]].tobytes() for a, z in spans], mask=[lost[a:z].tobytes() for a, z in spans])
     anchor, shares = (np.concatenate(_blobs(group, c, t))[s.own] for c, t in (("anchor", np.uint64), ("shares", np.uint32)))
     strings = np.array([s.contexts[c][p : p + LENGTH] for c, p in zip(context.tolist(), place.tolist(), strict=True)], f"S{LENGTH}")
     if not len(strings):
@@ -440,29 +441,34 @@ def _settled(group: pa.Table) -> pa.Table:
             out[name].append(v.tobytes())
         out["anchor"].append(int(anchor[context[x[0]]].view(np.int64)))
         out["class"].append(int(class_[x[0]]))
-    return pa.concat_tables([asked, _shaped(STRINGS, len(out["anchor"]), **out)])
+    return pa.concat_tables([asked, _shaped(STRINGS, len(out["anchor"]), shard=[shard] * len(out["anchor"]), **out)])
 
 
 def _merge(group: pa.Table) -> pa.Table:
-    """The runs of one anchor and class: per context the strings that go."""
+    """The runs of one anchor and class: for each run's shard the strings of its contexts that go."""
     found = merged(_blobs(group, "strings", f"S{LENGTH}"), _blobs(group, "least", np.int64))
-    least = np.concatenate([x[w] for x, w in zip(found, _blobs(group, "which", np.int32), strict=True)])
-    own, code, place = (np.concatenate(_blobs(group, c, np.int64)) for c in ("own", "code", "place"))
-    codes, which = np.unique(code, return_inverse=True)
-    return pa.table({"code": pa.array(codes), "mask": pa.array(masks(which, place, least < own, len(codes)))})
-
-
-def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each context that a chunk asks for of a crowded anchor, and whether a smaller id has it."""
-    for batch in batches:
-        codes, lost = ([np.frombuffer(x, t) for x in batch.column(c).to_pylist()] for c, t in (("code", np.int64), ("mask", np.bool_)))
-        if codes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("chunk").to_numpy(), [len(x) for x in codes])), pa.array(np.concatenate(codes)), pa.array(np.concatenate(lost))], ["chunk", "code", "all"])
-
-
-def _packed(group: pa.Table) -> pa.Table:
-    mask = np.where(group.column("all").to_numpy(), ALL, group.column("mask").to_numpy().astype(np.uint32))
-    return pa.table({"chunk": group.column("chunk").slice(0, 1), "shard": pa.nulls(1, pa.int32()), "code": pa.array([group.column("code").to_numpy().tobytes()], pa.binary()), "mask": pa.array([mask.tobytes()], pa.binary())})
+    out: dict[str, list] = {"code": [], "mask": []}
+    for least, *cols in zip(found, *(_blobs(group, c, t) for c, t in (("which", np.int32), ("own", np.int64), ("code", np.uint64), ("place", np.int64))), strict=True):
+        which, own, code, place = cols
+        codes, context = np.unique(code, return_inverse=True)
+        out["code"].append(codes.tobytes())
+        out["mask"].append(masks(context, place, least[which] < own, len(codes)).astype(np.uint32).tobytes())
+    return pa.table({"shard": group.column("shard"), "code": pa.array(out["code"], pa.binary()), "mask": pa.array(out["mask"], pa.binary())})
+
+
+def _answered(asks: pa.Table, found: pa.Table) -> pa.Table:
+    """A shard of crowded anchors: its answers to the chunks, from what the merges found for its contexts."""
+    code, mask = (np.concatenate([np.zeros(0, t), *_blobs(found, c, t)]) for c, t in (("code", np.uint64), ("mask", np.uint32)))
+    by = np.argsort(code, kind="stable")
+    cut, _ = _grouped(code[by])
+    code, mask = code[by][cut], np.bitwise_or.reduceat(mask[by], cut) if len(cut) else mask
+    out = []
+    for own, lost in zip(_blobs(asks, "code", np.uint64), _blobs(asks, "mask", np.bool_), strict=True):
+        at = np.searchsorted(code, own)
+        if not (len(code) and (code[np.minimum(at, len(code) - 1)] == own).all()):
+            raise ValueError("a context has no answer")
+        out.append(np.where(lost, ALL, mask[at]).tobytes())
+    return pa.table({"chunk": asks.column("chunk"), "shard": pa.array([-1 - x for x in asks.column("shard").to_pylist()], pa.int32()), "mask": pa.array(out, pa.binary())})
 
 
 RESULT = pa.schema([("k", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
@@ -475,21 +481,11 @@ def _cut(shards: int, crowd: _Crowd):
         if not texts_.num_rows:
             return RESULT.empty_table()
         asked = _Asked(texts_, told.filter(pc.is_valid(told.column("names"))), shards, crowd)
-        given = told.filter(pc.and_(pc.is_null(told.column("names")), pc.is_valid(told.column("shard"))))
+        given = told.filter(pc.is_null(told.column("names")))
         by_shard = dict(zip(given.column("shard").to_pylist(), _blobs(given, "mask", np.uint32), strict=True))
-        named = told.filter(pc.and_(pc.is_null(told.column("names")), pc.is_null(told.column("shard"))))
-        code, mask = (np.concatenate([np.zeros(0, t), *_blobs(named, c, t)]) for c, t in (("code", np.uint64), ("mask", np.uint32)))
-        by = np.argsort(code, kind="stable")
-        code, mask = code[by], mask[by]
         answer = np.zeros(len(asked.first), np.uint32)
         for shard, hot, a, z in asked.dealt():
-            if hot:
-                at = np.searchsorted(code, asked.code[a:z])
-                if not (len(code) and (code[np.minimum(at, len(code) - 1)] == asked.code[a:z]).all()):
-                    raise ValueError("a context has no answer")
-                answer[a:z] = mask[at]
-            else:
-                answer[a:z] = by_shard[shard]
+            answer[a:z] = by_shard[-1 - shard if hot else shard]
         # where the smallest id has a context the mask says what goes; elsewhere all of it does
         bits = np.where(asked.k > asked.least[asked.which], ALL, answer[asked.which])
         out: list[tuple] = []
@@ -535,12 +531,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     by_chunk = rows.groupBy("chunk")
     asked = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_contexts(shards, crowd), CONTEXTS)
     settled = stored(asked.groupBy("shard", "hot").applyInArrow(_settled, SETTLED), "repeats-settled")
-    answers = settled.filter(F.col("kind") == ANSWERED).select("chunk", "shard", "code", "mask")
+    answers = settled.filter(F.col("kind") == ANSWERED).select("chunk", "shard", "mask")
     if len(crowd.slots):
-        strings = settled.filter(F.col("kind") == STRINGS).select("anchor", "class", "strings", "least", "which", "own", "code", "place")
-        mask = strings.groupBy("anchor", "class").applyInArrow(_merge, "code long, mask long").groupBy("code").agg(F.bit_or("mask").alias("mask"))
-        asks = settled.filter(F.col("kind") == ASKED).select("chunk", "code", "mask").mapInArrow(_asks, "chunk long, code long, all boolean")
-        answers = answers.unionByName(asks.join(mask, "code").groupBy("chunk").applyInArrow(_packed, ANSWER))
+        strings = settled.filter(F.col("kind") == STRINGS).select("shard", "anchor", "class", "strings", "least", "which", "own", "code", "place")
+        found = strings.groupBy("anchor", "class").applyInArrow(_merge, "shard int, code binary, mask binary")
+        asks = settled.filter(F.col("kind") == ASKED).select("shard", "chunk", "code", "mask")
+        answers = answers.unionByName(asks.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(_answered, ANSWER))
 
     known = told.unionByName(answers, allowMissingColumns=True)
     done = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(_cut(shards, crowd), "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_sha256 string, spans " + SPANS)
