@@ -49,7 +49,7 @@ def rows():
 def test_recall_and_exact_scores(spark, rows, monkeypatch):
     monkeypatch.setattr(N, "BIN", 64)
     monkeypatch.setattr(N, "BLOCK", 20)
-    want, got = brute(rows, 10, 16), found(frame(spark, rows).repartition(4), k=10, centroids=8, max_sample=600)
+    want, got = brute(rows, 10, 16), found(frame(spark, rows).repartition(4), k=10, max_sample=600)
     assert want.keys() == got.keys()
     exact = {(i, j): s for i, x in brute(rows, 10**6, 16).items() for j, s in x}
     assert all(exact[i, j] == s for i, x in got.items() for j, s in x)
@@ -65,13 +65,47 @@ def test_all_are_found_when_there_are_few(spark):
     assert found(frame(spark, [(0, [1.0]), (1, [2.0])])) == {0: [(1, 2.0)]}
 
 
+def test_queries_and_candidates_of_one_width(spark):
+    """Queries mostly of another width than the table take no part, whichever is more frequent among them."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=3).round(2)) for i in range(1, 60)] + [(60, [1.0, 2.0]), (80, [0.5, 2.0])]
+    assert found(frame(spark, rows)) == brute(rows, 20, 3)
+
+
+def test_recall_with_a_sample_below_one_in_a_hundred(spark):
+    """The codebooks see 0.75 % of the rows; the reranked share falls as the table grows."""
+    rng = np.random.default_rng(7)
+    centers = rng.normal(size=(60, 16))
+    shares = []
+    for n in (4000, 40_000):
+        v = centers[rng.integers(60, size=n)] + 0.35 * rng.normal(size=(n, 16))
+        v = v.astype(np.float32)
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+        out = N.search(df, F.col("vec_id") % 20 == 0, k=10, max_sample=n * 3 // 400)
+        shares.append(out.reranked_share)
+        got = {}
+        for r in out.collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        asked = np.arange(0, n, 20 * n // 4000)  # 200 of the queries
+        score = v[asked].astype(float) @ v.T.astype(float)
+        score[np.arange(len(asked)), asked] = -np.inf
+        true = np.argsort(-score, axis=1)[:, :10]
+        recall = np.mean([len(got[int(q)] & set(t.tolist())) / 10 for q, t in zip(asked, true, strict=True)])
+        assert len(got) == n // 20 and recall >= 0.9, (n, recall)
+    assert shares[1] < shares[0] and shares[1] < 0.2, shares
+
+
 def test_cells_come_nearest_first():
     rng = np.random.default_rng(5)
     index = N.MultiIndex(rng.normal(size=(400, 6)), 7)
-    q = rng.normal(size=6)
-    cells = index.traverse(q, -np.inf, np.ones(49, int), 5)
-    a, b = index.books[0] @ q[:3], index.books[1] @ q[3:]
-    sums = (a[:, None] + b[None, :]).reshape(-1)
-    assert sorted(cells) == list(range(49)) and np.all(np.diff(sums[cells]) <= 1e-12)
-    bound = np.sort(sums)[30]
-    assert set(index.traverse(q, bound, np.ones(49, int), 5)) == set(np.flatnonzero(sums >= bound).tolist())
+    q = rng.normal(size=(1, 6))
+    u, v = (x[0] for x in index.sums(q))
+    sums = (u[:, None] + v[None, :]).reshape(-1)
+    counts = rng.integers(0, 4, 49)
+    cells = index.traverse(u, v, counts, 10**9)
+    assert sorted(cells) == np.flatnonzero(counts).tolist() and np.all(np.diff(sums[cells]) <= 1e-12)
+    for budget in (1, 10, 30):
+        taken = index.traverse(u, v, counts, budget)
+        assert taken == cells[: len(taken)] and counts[taken].sum() >= budget > counts[taken[:-1]].sum()
+    own, cell = np.zeros(5, int), np.array(cells[:25:5])
+    assert index.needed(q, own, cell, counts).tolist() == [counts[cells[: cells.index(c) + 1]].sum() for c in cell]
