@@ -1,12 +1,18 @@
 """Media columns: ordered text and media references parsed from HTML, with payloads found by digest.
 
 Payloads are kept in a store of (digest, media): 8-bit greyscale PNG, 576 samples a row, one copy per digest and
-task. References carry the SHA-256 of the payload; a join on the digest brings what was read back from the stored
-bytes, and every reference keeps its position in the sequence and its caption.
+batch. A reference whose source is sha256:... carries that digest; a join on the digest brings what was read back from
+the stored bytes, and every reference keeps its position in the sequence and its caption. A digest, or none, that many
+references have is dealt over several parts of the join.
+
+Every img, video, audio, source, embed and object with a source is a reference, whatever its source; one that names
+no digest has a null digest. A figure's caption, before or after its media, goes to all of them; that of a figure
+without media is text. Elsewhere the caption is the alternative text or title.
 
 Defined results: null text or html is empty; a payload is padded with bytes 255 to a positive multiple of 576;
 equal payloads are equal in every column, repeated rows included; a reference without stored media keeps null
-columns; very long texts are handled one at a time; an empty table gives an empty result.
+columns; tags left open end with the page; very long texts are handled one at a time; an empty table gives an empty
+result; null ids keep their rows.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ import hashlib
 import html
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,14 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernglass.llm.common import stored, texts
+from fernglass.llm.common import salted_join, stored, texts
 
 ROW = 576
 FILL = 255
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 SKIP = {"script", "style", "template"}
 BLOCK = {"p", "div", "figure", "article", "section", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "blockquote", "body", "br"}
-SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
+#: Media elements, and the attributes that may hold their source.
+MEDIA = {"img": ("src", "data-src", "srcset"), "video": ("src", "poster"), "audio": ("src",), "source": ("src", "srcset"), "embed": ("src",), "object": ("data",)}
+DIGEST = "sha256:"
+SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string,src:string>>"
+SHAPE = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("src", pa.string())]))
 
 
 def padded(raw: bytes) -> bytes:
@@ -86,65 +96,88 @@ class _Sequence(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.skip, self.caption, self.figure = 0, None, []
+        self.skip = 0
+        self.figures: list[dict] = []  # open figures: their media, and the words of their caption
+        self.in_caption = False
+
+    def add(self, kind: str, **more) -> dict:
+        self.items.append({"kind": kind, "text": None, "digest": None, "caption": None, "src": None} | more)
+        return self.items[-1]
 
     def flush(self) -> None:
         text = "".join(self.words).strip()
         self.words = []
-        if text:
-            self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
+        if text and self.in_caption:
+            self.figures[-1]["caption"].append(text)
+        elif text:
+            self.add("text", text=text)
+
+    def end_figure(self) -> None:
+        self.flush()
+        self.in_caption = False
+        figure = self.figures.pop()
+        if caption := " ".join(figure["caption"]):
+            for x in figure["media"]:
+                x["caption"] = caption
+            if not figure["media"]:
+                self.add("text", text=caption)
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIP:
             self.skip += 1
         elif tag == "figcaption":
             self.flush()
-            self.caption = []
-        elif tag in ("img", "video", "audio", "source"):
+            self.in_caption = bool(self.figures)
+        elif tag in MEDIA:
             a = dict(attrs)
-            if (a.get("src") or "").startswith("sha256:"):
+            if src := next((a[x] for x in MEDIA[tag] if a.get(x)), None):
                 self.flush()
-                self.items.append({"kind": "media", "text": None, "digest": a["src"][7:], "caption": a.get("alt")})
-                self.figure.append(self.items[-1])
+                item = self.add("media", digest=src[len(DIGEST) :] if src.startswith(DIGEST) else None, caption=a.get("alt") or a.get("title"), src=src)
+                for figure in self.figures[-1:]:
+                    figure["media"].append(item)
         elif tag in BLOCK:
             self.flush()
             if tag == "figure":
-                self.figure = []
+                self.in_caption = False
+                self.figures.append({"media": [], "caption": []})
 
     def handle_endtag(self, tag):
         if tag in SKIP:
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            for x in self.figure:
-                x["caption"] = "".join(self.caption).strip()
-            self.caption = None
+        elif tag == "figcaption":
+            self.flush()
+            self.in_caption = False
+        elif tag == "figure" and self.figures:
+            self.end_figure()
         elif tag in BLOCK:
             self.flush()
-            if tag == "figure":
-                self.figure = []
 
     def handle_data(self, data):
         if not self.skip:
-            (self.words if self.caption is None else self.caption).append(data)
+            self.words.append(data)
+
+    def finish(self) -> list[dict]:
+        self.close()
+        while self.figures:
+            self.end_figure()
+        self.flush()
+        return [{"position": i} | x for i, x in enumerate(self.items)]
 
 
 def sequence_of(page: str | None) -> list[dict]:
     """The texts and media references of a page in order; a figure's caption goes to its media."""
     p = _Sequence()
     p.feed(page or "")
-    p.close()
-    p.flush()
-    return [{"position": i} | x for i, x in enumerate(p.items)]
+    return p.finish()
 
 
 def parse_sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """One row per page: id and its sequence."""
     kind = dict(pages.dtypes)[id_col]
-    shape = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sequence_of(x) for x in batch.column(1).to_pylist()], shape)], [id_col, "sequence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sequence_of(x) for x in batch.column(1).to_pylist()], SHAPE)], [id_col, "sequence"])
 
     return pages.select(id_col, html_col).mapInArrow(parse, f"`{id_col}` {kind}, sequence {SEQUENCE}")
 
@@ -189,37 +222,46 @@ def read_media(store: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(F.struct(*rest)).alias("m")).select("digest", "m.*")
 
 
-def resolve(sequences: DataFrame, media: DataFrame, id_col: str) -> DataFrame:
-    """One row per media reference: id, position, caption, digest and the columns of media."""
-    refs = sequences.select(id_col, F.explode("sequence").alias("x")).filter("x.kind = 'media'").select(id_col, "x.position", "x.caption", "x.digest")
-    return refs.join(media, "digest", "left")
+def references(sequences: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """One row per media reference: the columns to keep, position, caption, digest and src."""
+    return sequences.select(*keep, F.explode("sequence").alias("x")).filter("x.kind = 'media'").select(*keep, "x.position", "x.caption", "x.digest", "x.src")
+
+
+def resolve(refs: DataFrame, media: DataFrame, id_col: str) -> DataFrame:
+    """The references with the columns of media, a row per digest; null where there is none."""
+    return salted_join(stored(refs, "media-references"), media, "digest", [id_col, "position"])
 
 
-def page_of(text: str, n_bytes: int, digest: str) -> str:
-    """A page that shows a text and, captioned with its length, the media made of it."""
-    return f'<article><p>{html.escape(text, quote=False)}</p><figure><img src="sha256:{digest}"><figcaption>{n_bytes}</figcaption></figure></article>'
+def page_of(text: str, digest: str) -> str:
+    """A page with a paragraph for each line of a text, and a figure with the media made of it."""
+    body = "".join(f"<p>{html.escape(x, quote=False)}</p>" for x in text.split("\n"))
+    return f'<article>{body}<figure><img src="{DIGEST}{digest}"><figcaption>The text as samples</figcaption></figure></article>'
 
 
-def document_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The parsed sequence of every document's page, with texts as lengths: (id, sequence)."""
+def document_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The references of the pages made of the documents: id, n_bytes of the text, position, caption, digest and src.
+    Pages are made and parsed where the texts are; only the references leave the task."""
     kind = dict(docs.dtypes)[id_col]
-    shape = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+    fields = [("position", pa.int32()), ("caption", pa.string()), ("digest", pa.string()), ("src", pa.string())]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in texts(batch, text_col):
-                out = []
+                row, size, refs = [], [], []
                 for k in range(hi - lo):
                     raw = data[off[k] : off[k + 1]].tobytes()
-                    items = sequence_of(page_of(raw.decode(), len(raw), hashlib.sha256(padded(raw)).hexdigest()))
-                    out.append([x | {"text": None if x["text"] is None else str(len(x["text"]))} for x in items])
-                yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(lo, hi - lo), pa.array(out, shape)], [id_col, "sequence"])
+                    own = [x for x in sequence_of(page_of(raw.decode(), hashlib.sha256(padded(raw)).hexdigest())) if x["kind"] == "media"]
+                    row += [lo + k] * len(own)
+                    size += [len(raw)] * len(own)
+                    refs += own
+                ids = batch.column(id_col).take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), *(pa.array([x[c] for x in refs], t) for c, t in fields)], [id_col, "n_bytes", *(c for c, _ in fields)])
 
-    return docs.select(id_col, text_col).mapInArrow(parse, f"`{id_col}` {kind}, sequence {SEQUENCE}")
+    return docs.select(id_col, text_col).mapInArrow(parse, f"`{id_col}` {kind}, n_bytes long, position int, caption string, digest string, src string")
 
 
 def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_bytes, and what was read back of its stored payload."""
+    """Per document: id, n_bytes, what was read back of its stored payload, and the reference's position and caption."""
     media = read_media(store_media(docs, text_col))
-    out = resolve(document_sequences(docs, id_col, text_col), media, id_col)
-    return out.select(id_col, F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
+    out = resolve(document_references(docs, id_col, text_col), media, id_col)
+    return out.select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
