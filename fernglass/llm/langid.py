@@ -1,9 +1,12 @@
 """Language identification by nearest centroid: TF-IDF vectors of hashed byte n-grams, of unit length, are compared
 by cosine with several clustered centroids per language; a text far from its nearest centroid is marked rejected.
 
-Training takes at most MAX_TRAIN labelled texts a language and MAX_TRAIN_TOTAL in all, chosen by a hash of the id; the inverse document
-frequencies are part of that fit. Prediction covers whole texts. Defined results: null texts and texts without a
-letter are `und` with score 0 and rejected; without training texts all are; ties go to the language that comes first.
+Training takes at most MAX_TRAIN labelled texts a language, fewer where MAX_TRAIN_TOTAL shared by all languages is less
+(but one), chosen by a hash of the id and whole, however long; the inverse document frequencies are part of that fit.
+Prediction covers whole texts. Defined results: null texts and texts without a letter are `und` with score 0 and
+rejected; without training texts all are; ties go to the language that comes first; of several labels of an id the
+first holds; rows with a null id are predicted but not learned from; repeated rows get equal results; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ from fernglass.llm.training import sampled
 MAX_TRAIN = 600
 #: Training texts of all languages together, whatever their number.
 MAX_TRAIN_TOTAL = 12_000
-MAX_TRAIN_CHARS = 50_000
 DIMS = 4096
+#: Texts that are counted at once: a dense row of DIMS numbers each.
+ROWS = 256
 CENTROIDS = 4
 #: A text is rejected if it is further from its centroid than this share of its language's training texts.
 REJECT_QUANTILE = 0.999
@@ -97,16 +101,19 @@ def fit_languages(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id",
     told = train.select(F.col(id_col).alias("id"), F.col("lang").alias("lang")).filter("id is not null and lang is not null").groupBy("id").agg(F.min("lang").alias("lang"))
     langs = told.select("lang").distinct().count()
     ids = sampled(told, "id", "lang", max(1, min(max_train, MAX_TRAIN_TOTAL // max(1, langs))))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").filter((F.length("text") <= MAX_TRAIN_CHARS) & F.col("text").rlike(r"\p{L}"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").filter(F.col("text").rlike(r"\p{L}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in texts(batch, "text"):
-                tf = np.minimum(counts(data, off), 65535).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo).cast(pa.string()), batch.column("lang").slice(lo, hi - lo), pa.array([x.tobytes() for x in tf], pa.binary())], ["id", "lang", "tf"])
-
-    found = sorted(tuple(r) for r in rows.mapInArrow(run, "id string, lang string, tf binary").collect())
-    tf = np.stack([np.frombuffer(bytes(r[2]), np.uint16) for r in found]).astype(np.float32) if found else np.zeros((0, DIMS), np.float32)
+            for lo, hi, data, off in texts(batch, "text", rows=ROWS):
+                tf = counts(data, off)
+                held = [np.flatnonzero(x) for x in tf]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo).cast(pa.string()), batch.column("lang").slice(lo, hi - lo), pa.array([x.astype(np.uint16).tobytes() for x in held], pa.binary()), pa.array([row[x].tobytes() for row, x in zip(tf, held, strict=True)], pa.binary())], ["id", "lang", "at", "tf"])
+
+    found = sorted(tuple(r) for r in rows.mapInArrow(run, "id string, lang string, at binary, tf binary").collect())
+    tf = np.zeros((len(found), DIMS), np.float32)
+    for row, r in zip(tf, found, strict=True):
+        row[np.frombuffer(bytes(r[2]), np.uint16)] = np.frombuffer(bytes(r[3]), np.float32)
     return LanguageModel.fit(tf, [r[1] for r in found])
 
 
@@ -116,7 +123,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in texts(batch, "text"):
+            for lo, hi, data, off in texts(batch, "text", rows=ROWS):
                 own = np.array(batch.column("lettered").slice(lo, hi - lo).to_pylist(), bool)
                 if model.langs:
                     lang, cos, far = model.nearest(counts(data, off))

@@ -26,7 +26,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_languages(docs, docs.filter(crc_mod("doc_id", 4) != 2).select("doc_id", "lang"))
     out = identify_languages(docs, model)
-    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 5) != 0)
     out = fit_toxicity(docs, labels).score(docs)
-    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
 QUERIES = {"op1_shingles": op1_shingles, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op4_packing": op4_packing, "op5_neighbours": op5_neighbours, "op6_urls": op6_urls, "op7_media": op7_media, "op8_warc": op8_warc, "op9_suffixes": op9_suffixes, "op10_toxicity": op10_toxicity}

@@ -8,10 +8,13 @@ neighbouring states, fitted by gradient ascent of the conditional likelihood. Fo
 probability; their sum, maximum and density make the document's score by logistic regression; runs of tokens of
 probability 0.5 or more are the offending spans.
 
-Training takes at most MAX_TRAIN documents a class, of at most MAX_TRAIN_CHARS characters, chosen by a hash of the
-id; scoring covers whole texts. Defined results: a null or empty text, or one without words, has no spans and the
+Training takes at most MAX_TRAIN documents a class, chosen by a hash of the id, and of these, in the order of a hash of
+their texts, as many as have MAX_TRAIN_CHARS characters together (a text with more than a quarter of that isn't
+learned from); the field's weights are fitted on the first of these up to LEARN_TOKENS tokens. Texts are learned from
+and scored whole. Defined results: a null or empty text, or one without words, has no spans and the
 score of a document with no toxic word; without training documents of both classes every score is the share of
-toxic ones (0 if there are none); repeated rows score alike.
+toxic ones (0 if there are none); repeated rows score alike; of several labels of an id the greatest holds; rows with
+a null id are scored but not learned from; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from fernglass.llm.common import LOWER, SLICE_BYTES, Rolling, texts, words
 from fernglass.llm.training import sampled
 
 MAX_TRAIN = 2000
-MAX_TRAIN_CHARS = 20_000
+#: Characters of all training texts together: what the driver holds.
+MAX_TRAIN_CHARS = 8_000_000
 #: Tokens of the training documents that the field's weights are fitted on; all of them count for the log ratios
 #: and for the documents' scores.
 LEARN_TOKENS = 250_000
@@ -260,11 +265,13 @@ class ToxicityModel:
         return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, spans {SPAN}")
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS) -> ToxicityModel:
     """labels: (id, 0 or 1); rows without a label count for nothing, of several labels the greatest holds."""
     told = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     ids = sampled(told, "id", "y", max_train)
     # at most max_train rows a class: small enough to be sent to every task
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").filter((F.length("text") <= MAX_TRAIN_CHARS))
-    found = rows.select(F.md5("text").alias("m"), "text", "y").collect()  # in the order of a hash, so classes and languages mix
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").filter(F.length("text") <= max_chars // 4)
+    # in the order of a hash, so classes and languages mix; a window over no more rows than the sample has
+    so_far = F.sum(F.length("text")).over(W.orderBy("m", "y", "id").rowsBetween(W.unboundedPreceding, 0))
+    found = rows.select("id", F.md5("text").alias("m"), "text", "y").withColumn("so_far", so_far).filter(F.col("so_far") <= max_chars).select("m", "text", "y").collect()
     return ToxicityModel.fit([(r.text, r.y) for r in sorted(found, key=lambda r: (r.m, r.y))])

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernglass.llm.common import texts
+
 #: (rule, verdict); a rule is a host, then a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: Labelled rows that training takes at most.
@@ -51,23 +53,46 @@ def suffixes(host: str) -> tuple[str, str]:
     return parts[-1], ".".join(parts[-2:])
 
 
-def entropy(s: str) -> float:
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def lexical(url: str | None, host: str, path: str, stats: dict) -> list[float]:
-    """Length, depth, digit ratio, entropy, parameter counts and suffix statistics."""
-    url = url or ""
-    last, two = suffixes(host)
-    query = url.partition("?")[2].partition("#")[0]
-    steps = [x for x in path.split("/") if x]
-    digits = sum(c.isdigit() for c in url)
-    return [
-        len(url), len(host), len(path), len(steps), host.count("."), digits / max(1, len(url)), sum(c.isdigit() for c in path) / max(1, len(path)),
-        entropy(url), entropy(host), query.count("=") + query.count("&"), len(query), url.count("-") + url.count("_"), float(url.startswith("https")), float("#" in url),
-        max(map(len, steps), default=0), len(steps[0]) if steps else 0, len(last), *stats.get(last, stats[""]), *stats.get(two, stats[""]),
+def lexical_columns(url: Column, host: Column, path: Column) -> Column:
+    """Lengths, depths, digit ratios and counts of parameters and marks, as an array of doubles."""
+    url = F.coalesce(url, F.lit(""))
+    query = F.regexp_extract(url, r"(?s)^[^?]*\?([^#]*)", 1)
+    steps = F.filter(F.split(path, "/"), lambda x: x != "")
+    size = lambda c: F.length(c).cast("double")
+    one = F.lit(1.0)
+    values = [
+        size(url), size(host), size(path), F.size(steps).cast("double"), _count(host, r"\."), _count(url, "[0-9]") / F.greatest(one, size(url)), _count(path, "[0-9]") / F.greatest(one, size(path)),
+        _count(query, "[=&]"), size(query), _count(url, "[-_]"), url.startswith("https").cast("double"), url.contains("#").cast("double"),
+        F.coalesce(F.array_max(F.transform(steps, size)), F.lit(0.0)), F.coalesce(size(F.try_element_at(steps, F.lit(1))), F.lit(0.0)),
     ]
+    return F.array(*values)
+
+
+def entropies(column: pa.Array) -> np.ndarray:
+    """Entropy of the bytes of each string, in bits."""
+    out = np.zeros(len(column))
+    batch = pa.RecordBatch.from_arrays([column], ["s"])
+    for lo, hi, data, off in texts(batch, "s", rows=4096):
+        n = np.diff(off)
+        row = np.repeat(np.arange(hi - lo), n)
+        seen = np.bincount(row * 256 + data, minlength=(hi - lo) * 256).reshape(-1, 256)
+        share = seen / np.maximum(n, 1)[:, None]
+        out[lo:hi] = -(share * np.log2(np.where(seen > 0, share, 1))).sum(1)
+    return out
+
+
+def features(batch: pa.RecordBatch, stats: dict) -> np.ndarray:
+    """Rows (url, host, lexical): length, depth, digit ratio, entropy, parameter counts and suffix statistics."""
+    n = batch.num_rows
+    plain = batch.column("lexical").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    hosts = batch.column("host").dictionary_encode()
+    names = hosts.dictionary.to_pylist()
+    of_host = np.array([[len(last), *stats.get(last, stats[""]), *stats.get(two, stats[""])] for last, two in map(suffixes, names)]).reshape(len(names), 5)
+    return np.concatenate([plain, entropies(batch.column("url"))[:, None], entropies(batch.column("host"))[:, None], of_host[hosts.indices.to_numpy()]], 1)
 
 
 def suffix_stats(hosts: list[str], y: np.ndarray) -> dict[str, tuple[float, float]]:
@@ -131,32 +156,37 @@ class Trees:
 
 
 def fit_urls(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[dict, Trees | None, float]:
-    """labelled: url, host, path, blocked (boolean). Rows are chosen by a hash, so that about max_train at most come."""
+    """labelled: url, host, lexical, blocked (boolean). Rows are chosen by a hash, so that about max_train at most come."""
     n = labelled.count()
     keep = labelled if n <= max_train else labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int((1 << 20) * 0.95 * max_train / n))
-    rows = sorted(keep.select("url", "host", "path", "blocked").limit(2 * max_train).collect(), key=lambda r: (r.url or "", r.blocked))
-    y = np.array([bool(r.blocked) for r in rows], float)
-    stats = suffix_stats([r.host for r in rows], y)
+    picked = keep.select("url", "host", "lexical", "blocked").limit(2 * max_train).toArrow().combine_chunks()
+    picked = picked.sort_by([("url", "ascending"), ("blocked", "ascending")])
+    y = picked.column("blocked").to_numpy(zero_copy_only=False).astype(float)
+    stats = suffix_stats(picked.column("host").to_pylist(), y)
     share = float(y.mean()) if len(y) else 0.0
     if len(y) == 0 or share in (0.0, 1.0):
         return stats, None, share
-    return stats, Trees(np.array([lexical(r.url, r.host, r.path, stats) for r in rows]), y), share
+    return stats, Trees(features(picked.combine_chunks().to_batches()[0], stats), y), share
 
 
 def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
-    """Per row: id, host, path, rule, verdict, score (the trees' probability that the URL is to be blocked)."""
+    """Per row: id, host, path, rule, verdict, score (the trees' probability that the URL is to be blocked).
+    labelled: rows (url, blocked) to train from; without it the trees learn what the rules say, so where no rule fits
+    they carry the rules' judgement on to URLs that look like those."""
     url = F.col(url_col)
     rows = pages.select(F.col(id_col), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, says = longest_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("says", says)
+    rows = rows.withColumn("rule", rule).withColumn("says", says).withColumn("lexical", lexical_columns(F.col("url"), F.col("host"), F.col("path")))
     if labelled is None:
-        labelled = rows.filter("rule is not null").select("url", "host", "path", (F.col("says") == "block").alias("blocked"))
+        labelled = rows.filter("rule is not null").select("url", "host", "lexical", (F.col("says") == "block").alias("blocked"))
+    else:
+        parts = labelled.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "blocked")
+        labelled = parts.withColumn("lexical", lexical_columns(F.col("url"), F.col("host"), F.col("path")))
     stats, trees, share = fit_urls(labelled, max_train)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [lexical(*r, stats) for r in zip(*(batch.column(c).to_pylist() for c in ("url", "host", "path")), strict=True)]
-            p = trees.scores(np.array(x)) if trees and x else np.full(len(x), share)
+            p = trees.scores(features(batch, stats)) if trees and batch.num_rows else np.full(batch.num_rows, share)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_col, "host", "path", "rule", "says")), pa.array(p, pa.float64())], [id_col, "host", "path", "rule", "says", "score"])
 
     kind = dict(pages.dtypes)[id_col]

@@ -1,13 +1,14 @@
-"""WARC archives with a shared Zstandard dictionary, written as rows of binary archives.
+"""WARC archives with a shared Zstandard dictionary, written as rows of binary archives or as files.
 
 An archive starts with a skippable frame (magic 0x184D2A5D) whose content is the dictionary; then follows one
-Zstandard frame per record, each compressed on its own with that dictionary. A record with the payload of
+Zstandard frame per record, each compressed on its own with that dictionary; the first is a warcinfo record with the
+archive's name. A record with the payload of
 another one becomes a revisit of the record with the largest id among equals, if the payload has at least
 `min_bytes` bytes.
 
 Defined results: null html is an empty payload; a null id forms its own record and is a revisit of the largest
 non-null id with its payload (a response if there is none); repeated rows give a record each, with the same
-values; an empty table gives no archive. Archives are cut by bytes, so memory doesn't grow with the table; a
+values, record id included, as they are one resource; an empty table gives no archive. Archives are cut by bytes, so memory doesn't grow with the table; a
 record longer than the cut is an archive of its own.
 """
 
@@ -17,14 +18,16 @@ import base64
 import hashlib
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard as zstd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernglass.llm.common import stored
+from fernglass.llm.common import salted_join, stored
 
 #: Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -54,6 +57,13 @@ def record_bytes(record_id: str, url: str | None, payload: bytes, digest: str, r
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def info_bytes(name: str, date: str) -> bytes:
+    """The warcinfo record of an archive."""
+    body = b"software: fernglass\r\nformat: WARC File Format 1.1\r\n"
+    head = [WARC_VERSION, "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:archive:{name}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
 def dictionary(records: list[bytes]) -> zstd.ZstdCompressionDict:
     """Trained on an even sample of the records; with too few to train on, their raw content."""
     step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
@@ -104,6 +114,8 @@ def parsed(record: bytes) -> dict:
     head, _, rest = record.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     out = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+    if out["warc-type"] == "warcinfo":
+        return out
     http, _, payload = rest[: int(out["content-length"])].partition(b"\r\n\r\n")
     out["http-length"] = int(re.search(rb"Content-Length: (\d+)", http)[1])
     return out | {"payload": payload}
@@ -112,35 +124,56 @@ def parsed(record: bytes) -> dict:
 def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
     """Rows (archive, n_records, data), kept as Parquet in the shared folder."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b"")).alias("payload")).withColumn("sha", F.sha1("payload"))
-    narrow = rows.select("id", "sha", F.octet_length("payload").alias("n"))
+    narrow = stored(rows.select("id", "sha", F.octet_length("payload").alias("n")), "warc-payloads")
     # the largest id of each payload: counted before the shuffle; the rows that meet it hold two numbers and a digest
     largest = narrow.filter(F.col("n") >= min_bytes).groupBy("sha").agg(F.max("id").alias("largest"), F.count("*").alias("copies")).filter("copies > 1")
-    revisits = narrow.join(largest, "sha").filter("largest is not null and not (id <=> largest)").select(F.col("id").alias("r_id"), F.col("sha").alias("r_sha"), "largest").distinct()
+    revisits = salted_join(narrow, largest, "sha", ["id"]).filter("largest is not null and not (id <=> largest)").select(F.col("id").alias("r_id"), F.col("sha").alias("r_sha"), "largest").distinct()
     dealt = rows.join(revisits, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("sha") == F.col("r_sha")), "left").select("id", "url", "payload", "largest")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
-        first, size = None, 0
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"archive": [f"records-{first}.warc.zst"], "n_records": [len(held)], "data": [archive(held)]}, schema=schema)
+            name = f"records-{hashlib.sha1(b''.join(hashlib.sha1(x).digest() for x in held)).hexdigest()}.warc.zst"
+            return pa.RecordBatch.from_pydict({"archive": [name], "n_records": [len(held)], "data": [archive([info_bytes(name, date), *held])]}, schema=schema)
 
         schema = pa.schema([("archive", pa.string()), ("n_records", pa.int64()), ("data", pa.binary())])
         for batch in batches:
             for i, url, payload, to in zip(*(batch.column(c) for c in ("id", "url", "payload", "largest")), strict=True):
                 i, payload, to = i.as_py(), payload.as_py(), to.as_py()
                 held.append(record_bytes(str(i), url.as_py(), payload, base32_sha1(payload), None if to is None else str(to), date))
-                first = i if first is None else first
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield flush()
-                    held, first, size = [], None, 0
+                    held, size = [], 0
         if held:
             yield flush()
 
     return stored(dealt.mapInArrow(pack, "archive string, n_records long, data binary"), "warc")
 
 
+def export_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Write each archive as a file that other tools read, below a folder (a URI) that all executors share: its path
+    and bytes. A file appears whole, and one that is written twice is the same."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            out: dict[str, list] = {"path": [], "bytes": []}
+            for name, data in zip(batch.column("archive").to_pylist(), batch.column("data"), strict=True):
+                at.create_dir(root, recursive=True)
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with at.open_output_stream(part, compression=None) as f:
+                    f.write(data.as_py())
+                at.move(part, f"{root}/{name}")
+                out["path"].append(f"{folder}/{name}")
+                out["bytes"].append(len(data.as_py()))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("path", pa.string()), ("bytes", pa.int64())]))
+
+    return stored(archives.select("archive", "data").mapInArrow(write, "path string, bytes long"), "warc-files")
+
+
 def read_archives(archives: DataFrame, id_col: str = "page_id") -> DataFrame:
     """A row per record read back: id, payload_bytes and payload_digest of the full payload, record_type, refers_to."""
     number = re.compile(r"<urn:record:(-?\d+)>")
@@ -151,6 +184,8 @@ def read_archives(archives: DataFrame, id_col: str = "page_id") -> DataFrame:
                 out: list[tuple] = []
                 for record in records_of(data.as_py()):
                     r = parsed(record)
+                    if r["warc-type"] == "warcinfo":
+                        continue
                     digest = r["warc-payload-digest"].removeprefix("sha1:")
                     if r["warc-type"] == "response" and (len(r["payload"]) != r["http-length"] or base32_sha1(r["payload"]) != digest):
                         raise ValueError(f"damaged record {r['warc-record-id']}")

@@ -40,7 +40,18 @@ def test_round_trip(pages, least):
     assert got == brute(pages.collect(), least)
     for r in archives.collect():
         records = list(warc.records_of(bytes(r.data)))
-        assert len(records) == r.n_records and all(x.startswith(b"WARC/1.1\r\n") and x.endswith(b"\r\n\r\n") for x in records)
+        info = warc.parsed(records[0])
+        assert info["warc-type"] == "warcinfo" and info["warc-filename"] == r.archive
+        assert len(records) == r.n_records + 1 and all(x.startswith(b"WARC/1.1\r\n") and x.endswith(b"\r\n\r\n") for x in records)
+
+
+def test_files_hold_the_archives(pages, tmp_path):
+    archives = warc.write_archives(pages)
+    folder = f"file://{tmp_path}/out"
+    for _ in range(2):  # a task that runs again writes the same
+        files = {r.path: r.bytes for r in warc.export_archives(archives, folder).collect()}
+    held = {f"{folder}/{r.archive}": bytes(r.data) for r in archives.collect()}
+    assert files == {k: len(v) for k, v in held.items()} and {f"{folder}/{p.name}": p.read_bytes() for p in (tmp_path / "out").iterdir()} == held
 
 
 def test_empty_table(spark):
