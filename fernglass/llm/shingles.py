@@ -39,8 +39,9 @@ LEAF = 32
 PART_BYTES = 16 << 20
 LIMIT = 2048
 LIMIT_TOKENS = 1 << 20
-#: Sets of one bucket that a task sends on; more are known to be candidates of each other, and only the first is sent.
-#: What else comes with their token is joined to it whatever the bound says, as it may link with any of them.
+#: Sets of one bucket that a task sends on. Of more, those whose sizes follow each other without a gap are taken as
+#: candidates of each other, and only a few that step from the least to the greatest size are sent. What else comes with
+#: their token, in sizes without a gap, is joined to them whatever the counts say, as it may link with one not sent.
 CROWD = 256
 LAST = 2**63 - 1
 _FACTORS = np.random.default_rng(23).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,6 +112,24 @@ def enough(overlap, a, b, percent: int):
     return (100 + percent) * overlap >= percent * (a + b)
 
 
+def size_runs(sizes: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Places of rising sizes in runs without a gap: sets of different runs can't link."""
+    gap = np.flatnonzero(100 * sizes[:-1] < percent * sizes[1:]) + 1
+    return np.split(np.arange(len(sizes)), gap) if len(sizes) else []
+
+
+def stones(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Of a run of rising sizes, a few that still have no gap: whatever fits the size of one that is left out is in one
+    run with the ones that stay."""
+    stays, at = np.zeros(len(sizes), bool), 0
+    while at < len(sizes):
+        stays[at] = True
+        # the greatest size that fits, or the next one
+        at = max(at + 1, int(np.searchsorted(percent * sizes, 100 * sizes[at], side="right")) - 1)
+    stays[-1:] = True
+    return stays
+
+
 class CountTree:
     """An R-tree over count vectors, packed bottom-up from points sorted by size, then by their fullest groups."""
 
@@ -312,7 +331,7 @@ def _met(percent: int):
     return run
 
 
-def _buckets(rows: DataFrame, n: int, parts: int) -> DataFrame:
+def _buckets(rows: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
     """rows: (text, code, keys). Per task and part: its sets (code, size, counts) and which keys they have; and pairs
     of sets in crowded buckets."""
 
@@ -340,10 +359,15 @@ def _buckets(rows: DataFrame, n: int, parts: int) -> DataFrame:
             key, row = key[by], row[by]
             cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             m = np.diff(np.concatenate((cut, [len(key)])))
-            crowded, place = np.repeat(m > CROWD, m), np.arange(len(key)) - np.repeat(cut, m)
-            follow = crowded & (place > 0)
-            pairs = np.unique(np.stack([code[row[np.repeat(cut, m)[follow]]], code[row[follow]]], 1), axis=0) if follow.any() else np.zeros((0, 2), np.int64)
-            key, row, crowded = key[~follow], row[~follow], crowded[~follow]
+            crowded, stays, pairs = np.repeat(m > CROWD, m), np.ones(len(key), bool), []
+            for x, n_ in zip(cut[m > CROWD].tolist(), m[m > CROWD].tolist(), strict=True):
+                at = x + np.argsort(size[row[x : x + n_]], kind="stable")
+                for run_ in size_runs(size[row[at]], percent):
+                    own = at[run_]
+                    stays[own] = stones(size[row[own]], percent)
+                    pairs.append(np.stack([code[row[np.repeat(own[:1], len(own) - 1)]], code[row[own[1:]]]], 1))
+            pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+            key, row, crowded = key[stays], row[stays], crowded[stays]
             part = (mix(key) % np.uint64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             key, row, crowded, part = key[by], row[by], crowded[by], part[by]
@@ -421,18 +445,16 @@ def _joined(percent: int):
         more = (n > 2) | (n == 2) & hot
         for start, m, every in zip(cut[more].tolist(), n[more].tolist(), hot[more].tolist(), strict=True):
             member = own[start : start + m]
-            roots = np.array([union.root(x) for x in member.tolist()])
-            if (roots == roots[0]).all():
-                continue
-            if every or m > LIMIT:  # still a superset of the links; the exact join tells them apart
-                for x in member[1:].tolist():
-                    join(int(member[0]), x)
-                continue
             # sets of fitting sizes only: runs of rising sizes without a gap, each counted in its least width
             member = member[np.argsort(size[member], kind="stable")]
-            gap = np.flatnonzero(100 * size[member][:-1] < percent * size[member][1:]) + 1
-            for run_ in np.split(member, gap):
-                if len(run_) < 2:
+            for place in size_runs(size[member], percent):
+                run_ = member[place]
+                roots = np.array([union.root(x) for x in run_.tolist()])
+                if (roots == roots[0]).all():
+                    continue
+                if every or len(run_) > LIMIT:  # still a superset of the links; the exact join tells them apart
+                    for x in run_[1:].tolist():
+                        join(int(run_[0]), x)
                     continue
                 point = vectors(run_, int(width[run_].min()))
                 tree = CountTree(point, size[run_], percent)
@@ -475,7 +497,7 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     met = _first_tokens(rows, n, percent, rarity, parts).groupBy("part").applyInArrow(_met(percent), "code long, keys binary")
     open_ = met.groupBy("code").agg(F.collect_list("keys").alias("keys")).join(vertices.select("code", "least"), "code")
     chosen = rows.join(open_.withColumnRenamed("least", "k"), "k")
-    pairs = stored(_buckets(chosen, n, parts).groupBy("part").applyInArrow(_joined(percent), "a long, b long"), "shingle-pairs")
+    pairs = stored(_buckets(chosen, n, percent, parts).groupBy("part").applyInArrow(_joined(percent), "a long, b long"), "shingle-pairs")
     near = components(pairs)
 
     # exact join of each candidate component; large ones in blocks, each with itself and each two of them

@@ -80,6 +80,49 @@ def test_crowded_buckets_lose_no_link_with_other_tasks(spark, make, monkeypatch)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize(("crowd", "limit"), [(3, 4), (256, 2048)])
+def test_many_holders_of_one_token(spark, make, monkeypatch, crowd, limit):
+    """More holders of a token than a task sends on, or than a bucket's tree takes: of fitting and of other sizes, linked
+    directly, by chains, and not at all."""
+    monkeypatch.setattr(shingles_module, "CROWD", crowd)
+    monkeypatch.setattr(shingles_module, "LIMIT", limit)
+    rng = random.Random(16)
+    n = 100 if crowd < 9 else 2600
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for i in range(n):
+        kind, own = i % 4, [f"o{i}w{j}" for j in range(60)]
+        if kind < 2:  # near copies of one set
+            texts.append(["rare", *base[:40], f"n{rng.randrange(20)}"])
+        elif kind == 2:  # sizes that rise step by step, each a part of the next
+            texts.append(["rare", *base[: rng.randint(3, 60)]])
+        else:
+            texts.append(["rare", *own[: rng.randint(1, 60)]])
+    texts = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = got(link_documents(make(texts).repartition(4), n=1, limit=limit, part_bytes=3000))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out == brute(texts, 1)
+
+
+def test_stones_leave_no_gap():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        sizes = np.sort(rng.integers(1, 200, rng.integers(1, 60)))
+        for run in shingles_module.size_runs(sizes, 80):
+            own = sizes[run]
+            kept = own[shingles_module.stones(own, 80)]
+            assert kept[0] == own[0] and kept[-1] == own[-1] and (100 * kept[:-1] >= 80 * kept[1:]).all()
+        assert sum(map(len, shingles_module.size_runs(sizes, 80))) == len(sizes)
+
+
+def test_buckets_visit_only_parts_that_have_sets(make, corpus):
+    """The table of parts isn't walked through: a number of parts that couldn't be."""
+    assert got(link_documents(make(corpus[:20]).repartition(2), part_bytes=1)) == brute(corpus[:20])
+
+
 def test_empty_table(make):
     assert link_documents(make([])).count() == 0
 
