@@ -73,14 +73,6 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *((norm - 2 * x[lo : lo + step] @ c.T).argmin(1) for lo in range(0, len(x), step))])
 
 
-def exact_scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products, each summed in the order of the components, so that equal vectors score equally."""
-    out = np.zeros((len(q), len(v)))
-    for d in range(v.shape[1]):
-        out += q[:, d, None] * v[None, :, d]
-    return out
-
-
 class MultiIndex:
     """Codebooks of both halves of the vectors."""
 
@@ -130,35 +122,42 @@ class MultiIndex:
         return out
 
 
+def nearest_of(q: np.ndarray, q_id: np.ndarray, v: np.ndarray, v_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query's row, vector's row) among which are each query's k best, from a matrix product: all that are no
+    further below the k-th than rounding may put them."""
+    s = q @ v.T
+    s[q_id[:, None] == v_id[None, :]] = -np.inf
+    least = np.partition(s, len(v) - k, axis=1)[:, len(v) - k] if k < len(v) else np.full(len(q), -np.inf)
+    slack = 1e-12 * np.sqrt((q * q).sum(1) * (v * v).sum(1).max(initial=0))
+    return np.nonzero((s >= (least - slack)[:, None]) & (s > -np.inf))
+
+
 def best(q: np.ndarray, q_cells: list[np.ndarray], q_id: np.ndarray, v: np.ndarray, v_cell: np.ndarray, v_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each query, its k best among the vectors of the cells that it takes: query's row, vector's row, score."""
+    """Of each query, its k best among the vectors of the cells that it takes: query's row, vector's row, score. A
+    matrix product tells which can be; only those are scored component by component, in order."""
     order = np.lexsort((v_id, v_cell))
     v, v_cell, v_id = v[order], v_cell[order], v_id[order]
     takers = np.repeat(np.arange(len(q)), [len(c) for c in q_cells])
     taken = np.concatenate(q_cells) if q_cells else np.zeros(0, int)
     by = np.argsort(taken, kind="stable")
     taken, takers = taken[by], takers[by]
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for cell in np.unique(v_cell):
         lo, hi = np.searchsorted(v_cell, [cell, cell + 1])
         a, z = np.searchsorted(taken, [cell, cell + 1])
         for own in np.array_split(takers[a:z], max(1, (z - a) * (hi - lo) // 2_000_000)):
-            s = exact_scores(v[lo:hi], q[own])
-            s[q_id[own][:, None] == v_id[None, lo:hi]] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            sc = np.take_along_axis(s, top, 1)
-            ok = sc > -np.inf
-            found.append((np.broadcast_to(own[:, None], top.shape)[ok], order[lo + top[ok]], sc[ok]))
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    row, at, score = (np.concatenate(x) for x in zip(*found, strict=True))
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    o = np.lexsort((v_id[back[at]], -score, row))
+            row, at = nearest_of(q[own], q_id[own], v[lo:hi], v_id[lo:hi], k)
+            pairs.append((own[row], lo + at))
+    row, at = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    score = np.zeros(len(row))
+    for step in range(0, len(row), 1 << 16):
+        x, y = q[row[step : step + (1 << 16)]], v[at[step : step + (1 << 16)]]
+        for d in range(v.shape[1]):  # in the order of the components, so that equal vectors score equally
+            score[step : step + (1 << 16)] += x[:, d] * y[:, d]
+    o = np.lexsort((v_id[at], -score, row))
     row, at, score = row[o], at[o], score[o]
-    place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-    keep = place < k
-    return row[keep], at[keep], score[keep]
+    keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+    return row[keep], order[at[keep]], score[keep]
 
 
 def neighbours_of(entries: DataFrame, q: np.ndarray, q_id: np.ndarray, k: int) -> DataFrame:
