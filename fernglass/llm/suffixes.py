@@ -42,7 +42,7 @@ GRAMS = LENGTH - GRAM + 1
 #: Bytes of text per part of the anchors, per chunk and per shard (whose contexts overlap, but are only the shared ones).
 PART_BYTES = 16 << 20
 CHUNK_BYTES = 2 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Documents with one anchor that a shard takes; more are dealt over several.
 SPLIT = 1024
 SLOTS = 1 << 19
@@ -422,13 +422,15 @@ def _settled(group: pa.Table) -> pa.Table:
         return _shaped(ANSWERED, len(spans), chunk=s.chunk, shard=[shard] * len(spans), mask=[answer[a:z].tobytes() for a, z in spans])
     asked = _shaped(ASKED, len(spans), chunk=s.chunk, shard=[shard] * len(spans), code=[s.code[s.which[a:z]].tobytes() for a, z in spans], mask=[lost[a:z].tobytes() for a, z in spans])
     anchor, shares = (np.concatenate(_blobs(group, c, t))[s.own] for c, t in (("anchor", np.uint64), ("shares", np.uint32)))
-    strings = np.array([s.contexts[c][p : p + LENGTH] for c, p in zip(context.tolist(), place.tolist(), strict=True)], f"S{LENGTH}")
-    if not len(strings):
+    text = np.frombuffer(b"".join(s.contexts), np.uint8)
+    at = np.concatenate(([0], np.cumsum([len(c) for c in s.contexts])))[context] + place
+    if not len(at):
         return asked
-    raw = strings.view(np.uint8).reshape(len(strings), LENGTH)
-    number = np.zeros(len(strings), np.uint64)
+    raw, number = np.empty((len(at), LENGTH), np.uint8), np.zeros(len(at), np.uint64)
     for j in range(LENGTH):
+        raw[:, j] = text[at + j]
         number = (number + raw[:, j]) * np.uint64(0xD6E8FEB86659FD93)
+    strings = raw.view(f"S{LENGTH}").reshape(-1)
     class_ = (mix(number) % shares[context].astype(np.uint64)).astype(np.int64)
     by = np.lexsort((np.arange(len(strings)), class_, anchor[context]))
     key = anchor[context][by]
