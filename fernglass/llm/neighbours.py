@@ -122,19 +122,10 @@ class MultiIndex:
         return out
 
 
-def nearest_of(q: np.ndarray, q_id: np.ndarray, v: np.ndarray, v_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query's row, vector's row) among which are each query's k best, from a matrix product: all that are no
-    further below the k-th than rounding may put them."""
-    s = q @ v.T
-    s[q_id[:, None] == v_id[None, :]] = -np.inf
-    least = np.partition(s, len(v) - k, axis=1)[:, len(v) - k] if k < len(v) else np.full(len(q), -np.inf)
-    slack = 1e-12 * np.sqrt((q * q).sum(1) * (v * v).sum(1).max(initial=0))
-    return np.nonzero((s >= (least - slack)[:, None]) & (s > -np.inf))
-
-
 def best(q: np.ndarray, q_cells: list[np.ndarray], q_id: np.ndarray, v: np.ndarray, v_cell: np.ndarray, v_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each query, its k best among the vectors of the cells that it takes: query's row, vector's row, score. A
-    matrix product tells which can be; only those are scored component by component, in order."""
+    matrix product tells which can be: those no further below the k-th so far than rounding may put them. Only these
+    are scored component by component, in order, so that equal vectors score equally."""
     order = np.lexsort((v_id, v_cell))
     v, v_cell, v_id = v[order], v_cell[order], v_id[order]
     takers = np.repeat(np.arange(len(q)), [len(c) for c in q_cells])
@@ -142,17 +133,22 @@ def best(q: np.ndarray, q_cells: list[np.ndarray], q_id: np.ndarray, v: np.ndarr
     by = np.argsort(taken, kind="stable")
     taken, takers = taken[by], takers[by]
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    found = np.full((len(q), k), -np.inf)
+    slack = 1e-12 * np.sqrt((q * q).sum(1) * (v * v).sum(1).max(initial=0))
     for cell in np.unique(v_cell):
         lo, hi = np.searchsorted(v_cell, [cell, cell + 1])
         a, z = np.searchsorted(taken, [cell, cell + 1])
         for own in np.array_split(takers[a:z], max(1, (z - a) * (hi - lo) // 2_000_000)):
-            row, at = nearest_of(q[own], q_id[own], v[lo:hi], v_id[lo:hi], k)
-            pairs.append((own[row], lo + at))
+            s = q[own] @ v[lo:hi].T
+            s[q_id[own][:, None] == v_id[None, lo:hi]] = -np.inf
+            found[own] = -np.partition(-np.concatenate((found[own], s), 1), k - 1, axis=1)[:, :k]
+            n, place = np.nonzero((s >= (found[own].min(1) - slack[own])[:, None]) & (s > -np.inf))
+            pairs.append((own[n], lo + place))
     row, at = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
     score = np.zeros(len(row))
     for step in range(0, len(row), 1 << 16):
         x, y = q[row[step : step + (1 << 16)]], v[at[step : step + (1 << 16)]]
-        for d in range(v.shape[1]):  # in the order of the components, so that equal vectors score equally
+        for d in range(v.shape[1]):
             score[step : step + (1 << 16)] += x[:, d] * y[:, d]
     o = np.lexsort((v_id[at], -score, row))
     row, at, score = row[o], at[o], score[o]
