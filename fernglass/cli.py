@@ -5,52 +5,71 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import threading
 from typing import Any
 
 from fernglass import render
 from fernglass.config import Config
-from fernglass.errors import EngineError, InvalidRequest, UsageError
+from fernglass.errors import EngineError, InvalidRequest, StartupError, UsageError
 from fernglass.operators.filters import Filter
 from fernglass.sources.frontmatter import epoch_ms
 
 
+class Once(argparse.Action):
+    """A flag that takes one value: a second one is a mistake."""
+
+    def __call__(self, parser, namespace, values, option_string=None):
+        seen = namespace.__dict__.setdefault("_seen", set())
+        if self.dest in seen:
+            parser.error(f"{option_string} is given more than once")
+        seen.add(self.dest)
+        setattr(namespace, self.dest, True if self.nargs == 0 else values)
+
+
+class Flag(Once):
+    def __init__(self, option_strings, dest, **more):
+        super().__init__(option_strings, dest, nargs=0, default=False, **more)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="fernglass", allow_abbrev=False)
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name: str, help: str) -> argparse.ArgumentParser:
         c = sub.add_parser(name, help=help, allow_abbrev=False)
-        c.add_argument("--source", required=True)
-        c.add_argument("--target")
+        c.add_argument("--source", required=True, action=Once)
+        c.add_argument("--target", action=Once)
         return c
 
     def filtered(c: argparse.ArgumentParser) -> None:
         c.add_argument("--tag", action="append", default=[])
         c.add_argument("--tag-any", action="append", default=[])
-        c.add_argument("--dir")
-        c.add_argument("--since", help="at or after an ISO date")
-        c.add_argument("--json", action="store_true")
+        c.add_argument("--dir", action=Once)
+        c.add_argument("--since", action=Once, help="at or after an ISO date")
+        c.add_argument("--json", action=Flag)
 
-    command("embed", "bring stored chunks up to date").add_argument("--rechunk", action="store_true")
+    command("embed", "bring stored chunks up to date").add_argument("--rechunk", action=Flag)
     command("check", "name every problem")
     filtered(command("overview", "counts and tags"))
     c = command("search", "ranked chunks")
     c.add_argument("query")
-    c.add_argument("--mode", choices=("hybrid", "semantic", "keyword"))
-    c.add_argument("--limit", type=int)
-    c.add_argument("--expand", type=int)
-    c.add_argument("--min-score", type=float)
+    c.add_argument("--mode", action=Once, choices=("hybrid", "semantic", "keyword"))
+    c.add_argument("--limit", action=Once, type=int)
+    c.add_argument("--expand", action=Once, type=int)
+    c.add_argument("--min-score", action=Once, type=float)
     c.add_argument("--weight", action="append", default=[], metavar="NAME=NUMBER")
     filtered(c)
     c = command("list", "documents")
-    c.add_argument("--sort", choices=("path", "updated_at"), default="path")
-    c.add_argument("--offset", type=int, default=0)
-    c.add_argument("--limit", type=int, default=50)
+    c.add_argument("--sort", action=Once, choices=("path", "updated_at"), default="path")
+    c.add_argument("--offset", action=Once, type=int, default=0)
+    c.add_argument("--limit", action=Once, type=int, default=50)
     filtered(c)
     c = command("get", "a document or a section")
     c.add_argument("ref")
-    c.add_argument("--json", action="store_true")
-    command("serve", "answer over HTTP").add_argument("--port", type=int, default=8080)
+    c.add_argument("--json", action=Flag)
+    c = command("serve", "answer over HTTP")
+    c.add_argument("--port", action=Once, type=int, default=8080)
+    c.add_argument("--host", action=Once, default="127.0.0.1", help="the address to listen on; beyond this machine there is no check of hosts")
     return p
 
 
@@ -110,13 +129,12 @@ def run(argv: list[str], spark=None, out=None, **engine_options: Any) -> int:
         if a.command == "check":
             found = E.check(spark, config.source, config.target)
             say(E.markdown.report(found) or "fresh")
+            if found:
+                say(f"{len({path for path, _ in found})} path(s) with problems")
             return int(bool(found))
-        own = E.create_engine(spark, config.source, config.target, **engine_options)
         if a.command == "serve":
-            from fernglass.http import serve
-
-            serve({"engine": own}, a.port).serve_forever()
-            return 0
+            return _serve(lambda: E.create_engine(spark, config.source, config.target, **engine_options), a.host, a.port, say)
+        own = E.create_engine(spark, config.source, config.target, **engine_options)
         if a.command == "overview":
             result, show = own.overview(filter_of(a)), render.overview
         elif a.command == "list":
@@ -136,5 +154,31 @@ def run(argv: list[str], spark=None, out=None, **engine_options: Any) -> int:
         return 1
 
 
+def _serve(create, host: str, port: int, say) -> int:
+    """Listen first, so a taken port costs nothing; answer "not ready" until the engine is there."""
+    from fernglass.http import own_names, serve
+
+    state: dict[str, Any] = {"engine": None}
+    try:
+        server = serve(state, port, host)
+    except OSError as e:
+        raise StartupError(f"can't listen on {host}:{port}: {e}") from None
+    say(f"listening on {host}:{server.server_address[1]}")
+    if own_names(host) is None:
+        say("others can reach this address; there is no authentication")
+    thread = threading.Thread(target=server.serve_forever, daemon=True)
+    thread.start()
+    try:
+        state["engine"] = create()
+        say("ready")
+        thread.join()
+    except KeyboardInterrupt:
+        pass
+    finally:
+        server.shutdown()
+        server.server_close()
+    return 0
+
+
 if __name__ == "__main__":
     sys.exit(run(sys.argv[1:]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
@@ -15,7 +16,8 @@ from fernglass.errors import InvalidRequest, NotFound, StartupError
 
 from fernglass.models import Embedder, HashEmbedder, Reranker, overlap_reranker
 from fernglass.operators import freshness, listing, ranking, retrieval, writing
-from fernglass.operators.filters import Filter, number, strict, whole
+from fernglass.operators.filters import Filter, strict, whole
+from fernglass.operators.postings import KeywordIndex
 from fernglass.sources import markdown, store
 
 from fernglass.sources.chunker import Chunker, structural
@@ -73,14 +75,21 @@ def embed(spark: SparkSession, source: str, target: str, embedder: Embedder | No
     failed = [(r.path, r.error) for r in rows.filter("error is not null").collect()]
     planned = rows.filter("error is null").drop("error").withColumn("hash", freshness.chunk_hash())
     reused = writing.with_reuse(planned, old.filter(F.col("dims") == embedder.dims), embedder.model)
-    done = writing.completed(reused, embedder.documents).withColumns({"chunker": F.lit(chunker.id), "model": F.lit(embedder.model), "dims": F.lit(embedder.dims)}).cache()
+    new = None
+    if hasattr(embedder, "embed"):
+        new = writing.embedded(writing.pending(reused), embedder.embed, embedder.dims, count=embedder.count_tokens).cache()
+        broken = new.filter("problem is not null").groupBy("path").agg(F.min("problem").alias("problem")).collect()
+        failed += [(r.path, r.problem) for r in broken]
+        reused = reused.filter(~F.col("path").isin([r.path for r in broken])) if broken else reused
+    documents = None if new is not None else embedder.documents
+    done = writing.completed(reused, documents, new).withColumns({"chunker": F.lit(chunker.id), "model": F.lit(embedder.model), "dims": F.lit(embedder.dims)}).cache()
     n = docs.count()
     planned_paths = plan.count()
     counts = writing.report(done, n)
     known = docs.select("path").unionByName(errors.select("path"))
     pruned = old.select("path").distinct().join(known, "path", "left_anti").count()
-    store.write_chunks(writing.replaced(old, done, known), target)
-    for df in (done, rows, parsed):
+    store.write_chunks(writing.replaced(old, done, known), docs.select("path", "title"), target)
+    for df in (done, rows, parsed, *([new] if new is not None else [])):
         df.unpersist()
     return counts | {"up_to_date": n - planned_paths, "pruned": pruned, "failures": failed}
 
@@ -96,7 +105,8 @@ def problems(docs: DataFrame, errors: DataFrame, chunks: DataFrame) -> DataFrame
         out = out.unionByName(freshness.mixed(current, column))
     changed = freshness.altered(chunks).select("path", F.lit("a chunk's text doesn't fit its hash; run embed").alias("reason"))
     odd = freshness.disordered(chunks).select("path", F.lit("chunks out of order").alias("reason"))
-    return out.unionByName(changed).unionByName(odd).distinct()
+    bare = freshness.uncovered(chunks.join(current.select("path"), "path", "left_semi"), docs)
+    return out.unionByName(changed).unionByName(odd).unionByName(bare).distinct()
 
 
 def check(spark: SparkSession, source: str, target: str) -> list[tuple[str, str]]:
@@ -124,6 +134,8 @@ class Engine:
     now_ms: Callable[[], int]
     tags: set[str]
     model: str | None
+    words: KeywordIndex | None = None
+    dims: int | None = None
 
     def overview(self, filter: Mapping[str, Any] | None = None) -> dict[str, Any]:
         own = Filter.parse(filter)
@@ -171,6 +183,8 @@ class Engine:
         began = time.perf_counter()
         vector = None if own.mode == "keyword" else self.embedder.query(query)
         embedded = time.perf_counter()
+        if vector is not None:
+            check_vector(vector, self.dims)
         found = ranking.capped(ranking.top(self.candidates(own, query, vector, filter), own.candidates)).cache()
         found.count()
         searched = time.perf_counter()
@@ -185,8 +199,10 @@ class Engine:
         return {"results": results, "timings": {"embed_ms": ms(began, embedded), "search_ms": ms(embedded, searched), "rerank_ms": ms(searched, done), "total_ms": ms(began, done)}, "index_version": self.version}
 
     def candidates(self, own: retrieval.Options, query: str, vector: list[float] | None, filter: Filter) -> DataFrame:
+        # a term finds the words that it begins, as "webhook" does "webhooks"
         if own.mode != "semantic":
-            text = ranking.keyword(self.chunks, query, filter)
+            allowed = None if filter == Filter() else self.documents.filter(filter.column())
+            text = self.words.keyword(query, allowed=allowed, prefix=True) if self.words else ranking.keyword(self.chunks, query, filter, prefix=True)
             if own.mode == "keyword":
                 return text
         near = ranking.semantic(self.chunks, vector, filter)
@@ -194,6 +210,14 @@ class Engine:
         return near if own.mode == "semantic" or not ranking.query_terms(query) else ranking.hybrid(text, near, *own.hybrid_weights)
 
 
+def check_vector(vector: list[float], dims: int | None) -> None:
+    """A failed embedder may give zeros or no numbers; that must not look like no matches."""
+    if not all(isinstance(x, (int, float)) and math.isfinite(x) for x in vector) or not any(vector):
+        raise InvalidRequest("the query vector must be finite and not all zeros")
+    if dims is not None and len(vector) != dims:
+        raise InvalidRequest(f"the query vector has {len(vector)} numbers, the index holds vectors of {dims}")
+
+
 def create_engine(spark: SparkSession, source: str, target: str, *, embedder: Embedder | None = None, reranker: Reranker | None = overlap_reranker, options: retrieval.Options | None = None, now_ms: Callable[[], int] | None = None) -> Engine:
     """Ready to answer, or an error that names every problem."""
     embedder = embedder or HashEmbedder()
@@ -201,7 +225,8 @@ def create_engine(spark: SparkSession, source: str, target: str, *, embedder: Em
     docs, chunks = markdown.documents(parsed), store.read_chunks(spark, target)
     if found := sorted((r.path, r.reason) for r in problems(_nonblank(docs), markdown.load_errors(parsed), chunks).collect()):
         raise StartupError(markdown.report(found))
-    models = [r.model for r in chunks.select("model").distinct().collect()]
+    heads = chunks.select("model", "dims").distinct().collect()
+    models = sorted({r.model for r in heads})
     if models and models != [embedder.model]:
         raise StartupError(f"the index was built with {models[0]}, the embedder is {embedder.model}")
     options = options or retrieval.Options()
@@ -212,4 +237,4 @@ def create_engine(spark: SparkSession, source: str, target: str, *, embedder: Em
     n = chunks.groupBy("path").agg(F.count("*").alias("n_chunks"))
     documents = docs.join(n, "path", "left").fillna({"n_chunks": 0}).cache()
     tags = {r.tag for r in listing.tag_vocabulary(documents).collect()}
-    return Engine(spark, documents, index, writing.index_version(chunks), embedder, reranker, options.checked(tags), now_ms or (lambda: int(time.time() * 1000)), tags, models[0] if models else None)
+    return Engine(spark, documents, index, writing.index_version(chunks), embedder, reranker, options.checked(tags), now_ms or (lambda: int(time.time() * 1000)), tags, models[0] if models else None, store.read_index(spark, target), heads[0].dims if heads else None)

@@ -7,19 +7,18 @@ passages. Real models can wrap an ONNX session in an Arrow function; none is par
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fernglass.functions.windows import QUERY_TOKENS, WINDOW, check_window, fitted_pair
 from fernglass.operators.retrieval import word_overlap
 
-#: Tokens that a model reads at most; of a pair, the query's share.
-WINDOW = 512
-QUERY_TOKENS = 128
-
+__all__ = ["Embedder", "HashEmbedder", "LengthEmbedder", "QUERY_TOKENS", "Reranker", "TextEmbedder", "WINDOW", "check_window", "constant_reranker", "fitted_pair", "overlap_reranker", "pair_reranker"]
 
 class Embedder(Protocol):
     model: str
@@ -29,6 +28,23 @@ class Embedder(Protocol):
     def query(self, text: str) -> list[float]: ...
 
 
+@dataclass(frozen=True)
+class TextEmbedder:
+    """A model that takes lists of texts. With count_tokens, a text above the model's window is a problem of its
+    document, and of a query an error; prefix is put before queries only."""
+
+    model: str
+    dims: int
+    embed: Callable[[list[str]], list[list[float]]]
+    count_tokens: Callable[[str], int] | None = None
+    prefix: str = ""
+
+    def query(self, text: str) -> list[float]:
+        if self.count_tokens:
+            check_window(self.count_tokens(self.prefix + text), "the query")
+        return list(self.embed([self.prefix + text])[0])
+
+
 class Reranker(Protocol):
     def __call__(self, query: str) -> Callable[[Column], Column]: ...
 
@@ -79,12 +95,19 @@ def constant_reranker(logit: float) -> Reranker:
 overlap_reranker: Reranker = word_overlap
 
 
-def fitted_pair(query: Sequence[int], passage: Sequence[int], window: int = WINDOW, special: int = 3) -> tuple[list[int], list[int]]:
-    """Tokens of a pair cut to a window: the query to a quarter of it, at most QUERY_TOKENS, the passage to the rest."""
-    q = list(query[: min(QUERY_TOKENS, window // 4)])
-    return q, list(passage[: max(0, window - special - len(q))])
+def pair_reranker(tokenize: Callable[[str], list[int]], score: Callable[[list[tuple[list[int], list[int]]]], list[float]], batch: int = 32) -> Reranker:
+    """A reranker over token pairs, each cut to the model's window; score gives logits of a batch of pairs."""
+
+    def of(query: str) -> Callable[[Column], Column]:
+        own = tokenize(query)
+
+        @F.pandas_udf("double")
+        def logits(passages: pd.Series) -> pd.Series:
+            out: list[float] = []
+            for lo in range(0, len(passages), batch):
+                out += score([fitted_pair(own, tokenize(p)) for p in passages.iloc[lo : lo + batch]])
+            return pd.Series(out, dtype="float64")
 
+        return logits
 
-def check_window(count: int, what: str, window: int = WINDOW) -> None:
-    if count > window:
-        raise ValueError(f"{what} has {count} tokens; the model reads {window}")
+    return of

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -42,6 +45,31 @@ def gaps(chunks: DataFrame, bodies: DataFrame) -> DataFrame:
     return between.filter(~is_blank(F.expr("substring(body, at + 1, to - at)"))).select("path", F.col("at").cast("long").alias("at"))
 
 
+def uncovered(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """(path, reason) of documents with stored chunks that run past the body or leave text of it out. chunks: (path,
+    ordinal, start, end) with offsets in UTF-16 units; docs: (path, body)."""
+    ranges = chunks.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "start", "end"))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("ranges"))
+
+    def reason(body: str, spans: list[dict]) -> str | None:
+        wide, at = body.encode("utf-16-le"), 0
+        length = len(wide) // 2
+        for k, s in enumerate(spans):
+            if s["end"] > length:
+                return f"chunk {k} ends at {s['end']}, behind the document's end ({length}); run embed"
+        for start, end in (*((s["start"], s["end"]) for s in spans), (length, length)):
+            if wide[2 * at : 2 * start].decode("utf-16-le", "replace").strip(" \t\n\r\f\v\ufeff\u2028\u2029\xa0"):
+                return f"the text between {at} and {start} is in no chunk; run embed"
+            at = max(at, end)
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(p, reason(b, r)) for p, b, r in zip(*(batch.column(c).to_pylist() for c in ("path", "body", "ranges")), strict=True)]
+            yield pa.RecordBatch.from_pydict({"path": [p for p, r in found if r], "reason": [r for _, r in found if r]}, schema=pa.schema([("path", pa.string()), ("reason", pa.string())]))
+
+    return docs.select("path", "body").join(ranges, "path").select("path", "body", "ranges").mapInArrow(run, "path string, reason string")
+
+
 def disordered(chunks: DataFrame) -> DataFrame:
     """Chunks that start before the one before them ends, or that end where they start."""
     by_path = W.partitionBy("path").orderBy("ordinal")

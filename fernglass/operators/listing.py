@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from fernglass.operators.filters import Filter
 
+#: Of Markdown headings.
+DEPTHS = range(1, 7)
 SUMMARY = ("path", "title", "tags", "updated_at", "meta")
 
 
@@ -37,7 +40,8 @@ def listed(docs: DataFrame, filter: Filter = Filter(), sort: str = "path", offse
 def section_ends(headings: DataFrame) -> DataFrame:
     """headings: (path, ordinal, depth, start, length). Adds section_end: where the next heading starts that is no
     deeper, or the length of the body."""
-    rows = headings.groupBy("path", "length").agg(F.array_sort(F.collect_list(F.struct("ordinal", "depth", "start"))).alias("all"))
-    later = lambda x: F.filter("all", lambda y: (y["ordinal"] > x["ordinal"]) & (y["depth"] <= x["depth"]))
-    ends = F.transform("all", lambda x: F.struct(x["ordinal"].alias("ordinal"), x["depth"].alias("depth"), x["start"].alias("start"), F.coalesce(F.get(later(x), F.lit(0))["start"], F.col("length")).alias("section_end")))
-    return rows.select("path", F.explode(ends).alias("x")).select("path", "x.*")
+    back = W.partitionBy("path").orderBy(F.desc("ordinal")).rowsBetween(W.unboundedPreceding, -1)
+    # for each depth, where the next heading of that depth or above starts: running values of one sort
+    nearest = [F.last(F.when(F.col("depth") <= d, F.col("start")), ignorenulls=True).over(back) for d in DEPTHS]
+    rows = headings.withColumn("_next", F.array(*nearest))
+    return rows.select("path", "ordinal", "depth", "start", F.coalesce(F.get("_next", F.col("depth") - 1), F.col("length")).alias("section_end"))

@@ -2,6 +2,7 @@
 
 Keyword scores are Okapi BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)), summed over the fields title, breadcrumb
 and text, over the whole corpus whatever the filter. Terms match whole tokens; with prefix=True also their beginnings.
+keyword() here reads all chunks, for corpora without an index; operators/postings.py has the same search over one.
 """
 
 from __future__ import annotations
@@ -94,12 +95,11 @@ def semantic(chunks: DataFrame, query: Sequence[float], filter: Filter = Filter(
 
 def hybrid(text: DataFrame, near: DataFrame, text_weight: float = 0.5, near_weight: float = 0.5) -> DataFrame:
     """Both sides as shares of their greatest score, weighted. Of the semantic side only positive scores count."""
-    share = lambda df: df.agg(F.max("score").alias("most"))
-    sides = []
-    for df, w in ((text, text_weight), (near.filter(F.col("score") >= EPSILON), near_weight)):
-        most = share(df).first()["most"]
-        sides.append(df.select(*KEY, (F.lit(w) * (F.col("score") / F.lit(most)) if most else F.lit(0.0)).alias("score")))
-    return sides[0].unionByName(sides[1]).groupBy(*KEY).agg(F.sum("score").alias("score"))
+    sides = text.select(*KEY, "score", F.lit(True).alias("words")).unionByName(near.filter(F.col("score") >= EPSILON).select(*KEY, "score", F.lit(False).alias("words")))
+    most = sides.groupBy("words").agg(F.max("score").alias("most"))  # two rows
+    weight = F.when(F.col("words"), float(text_weight)).otherwise(float(near_weight))
+    share = F.when(F.col("most") != 0, weight * (F.col("score") / F.col("most"))).otherwise(0.0)
+    return sides.join(F.broadcast(most), "words").groupBy(*KEY).agg(F.sum(share).alias("score"))
 
 
 def capped(candidates: DataFrame, most: int = PER_DOCUMENT) -> DataFrame:

@@ -129,13 +129,16 @@ def retrieve(candidates: DataFrame, chunks: DataFrame, options: Options, now_ms:
     """candidates: (path, ordinal, score), capped. chunks: the index with title, tags, updated_at, breadcrumb, anchor,
     text. rerank: logits of passages, as a column. Returns the results in order, with their rank."""
     use = options.rerank and rerank is not None
+    # at most options.candidates rows; the scan of the chunks then reads what it has of their documents
+    rows = candidates.select("path", "ordinal", "score").limit(options.candidates).collect()
+    candidates = chunks.sparkSession.createDataFrame(rows, "path string, ordinal int, score double")
+    chunks = chunks.filter(F.col("path").isin(sorted({r.path for r in rows})))
     found = candidates.join(chunks, ["path", "ordinal"])
     if use:
         passage = F.concat_ws("\n", "breadcrumb", "text")
         found = found.withColumn("logit", F.when(~is_blank(F.col("text")), rerank(passage)))
     scored = with_signals(relevance_of(found, use), options, now_ms).withColumn("reranked", F.col("rerank").isNotNull())
     kept = scored.filter(F.col("relevance") >= options.min_score).select("path", "ordinal", "final", "reranked", "score", "rerank", "relevance", "signals", "breadcrumb", "anchor")
-    # of the documents that have hits only; these are few, so the chunks aren't shuffled for it
     last = chunks.select("path", "ordinal").join(kept.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.max("ordinal").alias("last"))
     order = [F.desc("best.reranked"), F.desc("best.final"), F.col("path"), F.col("first")]
     best = merged(kept, last, options.expand).orderBy(*order).limit(options.limit)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernglass.functions.windows import check_window
+
 
 def to_plan(docs: DataFrame, headers: DataFrame, chunker: str, model: str, dims: int, rechunk: bool = False) -> DataFrame:
     """Documents whose stored chunks don't fit, with keep: whether their recorded ranges stay (only the model changed).
@@ -29,12 +33,47 @@ def pending(planned: DataFrame) -> DataFrame:
     return planned.filter("vector is null").select("path", "hash", "text").dropDuplicates(["path", "hash"])
 
 
-def completed(planned: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
-    """planned with every vector: what is pending is embedded once per document and text."""
-    new = pending(planned).select("path", "hash", embed(F.col("text")).alias("fresh"))
+def completed(planned: DataFrame, embed: Callable[[Column], Column], new: DataFrame | None = None) -> DataFrame:
+    """planned with every vector: what is pending is embedded once per document and text, by a column or before."""
+    if new is None:
+        new = pending(planned).select("path", "hash", embed(F.col("text")).alias("fresh"))
     return planned.join(new, ["path", "hash"], "left").withColumn("embedding", F.coalesce("vector", "fresh")).withColumn("reused", F.col("vector").isNotNull()).drop("vector", "fresh")
 
 
+BATCH = 32
+
+
+def embedded(new: DataFrame, embed: Callable[[list[str]], list[list[float]]], dims: int, batch: int = BATCH, count: Callable[[str], int] | None = None) -> DataFrame:
+    """new: (path, hash, text). Vectors batch by batch: (path, hash, fresh, problem). A batch that fails is tried again
+    document by document, so only the documents that fail themselves have a problem. count: tokens of a text, none of
+    which may have more than a model reads."""
+    schema = pa.schema([("path", pa.string()), ("hash", pa.string()), ("fresh", pa.list_(pa.float32())), ("problem", pa.string())])
+
+    def vectors(texts: list[str]) -> list[list[float]]:
+        for t in texts if count else []:
+            check_window(count(t), "a chunk")
+        out = embed(texts)
+        if len(out) != len(texts) or any(len(v) != dims or not all(math.isfinite(x) for x in v) for v in out):
+            raise ValueError(f"the embedder gave other than {len(texts)} finite vectors of {dims} numbers")
+        return out
+
+    def tried(rows: list[dict]) -> list[dict]:
+        try:
+            return [{"path": r["path"], "hash": r["hash"], "fresh": v, "problem": None} for r, v in zip(rows, vectors([r["text"] for r in rows]), strict=True)]
+        except Exception as e:
+            paths = list(dict.fromkeys(r["path"] for r in rows))
+            if len(paths) == 1:
+                return [{"path": r["path"], "hash": r["hash"], "fresh": None, "problem": f"embedding failed: {e}"} for r in rows]
+            return [x for p in paths for x in tried([r for r in rows if r["path"] == p])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, batch):
+                yield pa.RecordBatch.from_pylist(tried(b.slice(lo, batch).to_pylist()), schema)
+
+    return new.mapInArrow(run, "path string, hash string, fresh array<float>, problem string")
+
+
 def report(done: DataFrame, n_documents: int) -> dict[str, int]:
     r = done.agg(F.count_distinct("path").alias("written"), F.count_if("reused").alias("reused"), F.count_if(~F.col("reused")).alias("embedded")).first()
     return {"written": r.written, "up_to_date": n_documents - r.written, "chunks_embedded": r.embedded, "chunks_reused": r.reused}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window as W
 from fernglass.functions import scores, text
 from fernglass.operators import freshness, listing, ranking, retrieval, writing
 from fernglass.operators.filters import Filter
-from fernglass.plans.kb import CHUNKS_SQL, DAY_MS, KB_SQL, NOW_MS, chunks, documents, table, whole_chunks
+from fernglass.plans.kb import CHUNKS_SQL, DAY_MS, KB_SQL, NOW_MS, documents, index, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,18 +131,23 @@ p AS (SELECT item_id, 1 AS k, 1 AS grp, length(parts[1])::BIGINT AS size, parts
     UNION ALL SELECT item_id, k + 1, CASE WHEN size + length(parts[k + 1]) > 200 THEN grp + 1 ELSE grp END, CASE WHEN size + length(parts[k + 1]) > 200 THEN length(parts[k + 1]) ELSE size + length(parts[k + 1]) END, parts FROM p WHERE k < len(parts))
 SELECT item_id, grp::INT AS grp, count(*) AS sentences, max(size) AS size FROM p GROUP BY item_id, grp""")
 def pack_sentences(spark, sf):
-    """Greedy packing as a fold: a group ends before the sentence that would make it too long."""
-    rows = table(spark, sf, "benchmark").select("item_id", text.sentences(F.col("text")).alias("parts"))
-    start = F.expr("cast(array() as array<struct<grp:int,sentences:bigint,size:bigint>>)")
-
-    def step(groups, s):
-        n, last = F.length(s).cast("long"), F.element_at(groups, -1)
-        fresh = (F.size(groups) == 0) | (last["size"] + n > 200)
-        new = F.struct((F.size(groups) + 1).cast("int").alias("grp"), F.lit(1).cast("long").alias("sentences"), n.alias("size"))
-        grown = F.struct(last["grp"].alias("grp"), (last["sentences"] + 1).alias("sentences"), (last["size"] + n).alias("size"))
-        return F.when(fresh, F.array_append(groups, new)).otherwise(F.array_append(F.slice(groups, F.lit(1), F.size(groups) - 1), grown))
+    """Sentences in the chunker's groups: one ends before the sentence that would make it too long."""
+    from fernglass.sources.blocks import Block
+    from fernglass.sources.chunker import packed
+
+    def groups(batches):
+        for batch in batches:
+            rows = []
+            for item, parts in zip(batch.column("item_id").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                ends = [0]
+                for p in parts:
+                    ends.append(ends[-1] + len(p))
+                blocks = [Block("paragraph", a, z, []) for a, z in zip(ends, ends[1:], strict=False)]
+                rows += [{"item_id": item, "grp": k, "sentences": len(g), "size": g[-1].end - g[0].start} for k, g in enumerate(packed(blocks, lambda a, z: z - a > 200) if blocks else [], 1)]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("item_id", pa.int64()), ("grp", pa.int32()), ("sentences", pa.int64()), ("size", pa.int64())]))
 
-    return rows.select("item_id", F.explode(F.aggregate("parts", start, step)).alias("g")).select("item_id", "g.*")
+    rows = table(spark, sf, "benchmark").select("item_id", text.sentences(F.col("text")).alias("parts"))
+    return rows.mapInArrow(groups, "item_id long, grp int, sentences long, size long")
 
 
 @query("SELECT o_orderkey, (epoch_ms(o_orderdate) // 1000 * 1000)::BIGINT AS ms, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
@@ -150,16 +156,26 @@ def updated_at_parsed(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", text.updated_at_ms(stamp).alias("ms")).withColumn("day", text.day(F.col("ms")))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events")
+@query("SELECT event_id, event_type AS title, epoch_ms(date_trunc('second', ts)) AS updated_at, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events")
 def meta_fields(spark, sf):
-    """Fields beside the fixed ones pass through as JSON."""
-    meta = F.from_json("props", "map<string,string>")
-    return table(spark, sf, "events").select("event_id", F.element_at(meta, F.get(F.json_object_keys("props"), F.lit(0))).alias("first_value"), F.array_join(F.array_sort(F.json_object_keys("props")), ",").alias("keys"))
+    """Fields of the frontmatter beside the fixed ones pass through as JSON."""
+    from fernglass.sources import markdown
+
+    head = F.concat(F.lit("---\ntitle: "), "event_type", F.lit("\nupdated_at: "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("\ntags: [x]\n"))
+    more = F.array_join(F.transform(F.json_object_keys("props"), lambda k: F.concat(k, F.lit(": "), F.element_at(F.from_json("props", "map<string,string>"), k), F.lit("\n"))), "")
+    files = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("path"), F.encode(F.concat(head, more, F.lit("---\n")), "UTF-8").alias("content"))
+    docs = markdown.documents(markdown.parse_rows(files))
+    keys = F.json_object_keys("meta")
+    return docs.select(F.col("path").cast("long").alias("event_id"), "title", "updated_at", F.element_at(F.from_json("meta", "map<string,string>"), F.get(keys, F.lit(0))).alias("first_value"), F.array_join(F.array_sort(keys), ",").alias("keys"))
 
 
-@query("SELECT o_orderkey, printf('%.3f', floor(o_totalprice)) AS score, CASE WHEN regexp_matches(o_orderpriority, '^[0-9]+$') THEN o_orderpriority::DOUBLE END AS plain FROM orders")
+@query("""SELECT o_orderkey, printf('%.3f', o_totalprice / 7.0::DOUBLE) AS score, CASE WHEN regexp_matches(t, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$') THEN t::DOUBLE END AS plain
+FROM (SELECT *, CASE o_orderkey % 5 WHEN 0 THEN '-' || o_orderkey || '.25' WHEN 1 THEN '.' || o_orderkey || 'e-3' WHEN 2 THEN o_orderkey || '.' WHEN 3 THEN '1e' || o_orderkey || 'x' ELSE o_orderpriority END AS t FROM orders)""")
 def formatted_numbers(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", text.three_decimals(F.floor("o_totalprice").cast("double")).alias("score"), text.plain_number(F.col("o_orderpriority")).alias("plain"))
+    key = F.col("o_orderkey").cast("string")
+    kind = F.col("o_orderkey") % 5
+    written = F.when(kind == 0, F.concat(F.lit("-"), key, F.lit(".25"))).when(kind == 1, F.concat(F.lit("."), key, F.lit("e-3"))).when(kind == 2, F.concat(key, F.lit("."))).when(kind == 3, F.concat(F.lit("1e"), key, F.lit("x"))).otherwise(F.col("o_orderpriority"))
+    return table(spark, sf, "orders").select("o_orderkey", text.three_decimals(F.col("o_totalprice") / 7.0).alias("score"), text.plain_number(written).alias("plain"))
 
 
 # -- candidates ------------------------------------------------------------------------------------------------
@@ -189,22 +205,31 @@ hits AS (SELECT path, ordinal, tags, {score} AS score FROM tfs, stats)"""
 
 
 def _top30(hits):
-    return hits.withColumn("score", r6("score")).orderBy(F.desc("score"), "path", "ordinal").limit(30)
+    return ranking.top(hits.withColumn("score", r6("score")), 30)
+
+
+SEARCH = " ".join(WORDS)
 
 
 @query(f"WITH {keyword_sql()} SELECT path, ordinal, round(score, 6) AS score FROM hits WHERE score > 0 ORDER BY round(score, 6) DESC, path, ordinal LIMIT 30")
-def keyword_bm25(spark, sf, chunks=chunks):
-    return _top30(ranking.keyword(chunks(spark, sf), " ".join(WORDS)))
+def keyword_bm25(spark, sf):
+    return _top30(index(spark, sf).words.keyword(SEARCH))
 
 
 @query(f"WITH {keyword_sql()} SELECT path, ordinal, round(score, 6) AS score FROM hits WHERE score > 0 AND list_contains(tags, 'good') ORDER BY round(score, 6) DESC, path, ordinal LIMIT 30")
-def keyword_filtered(spark, sf, chunks=chunks):
-    return _top30(ranking.keyword(chunks(spark, sf), " ".join(WORDS), Filter(tags=("good",))))
+def keyword_filtered(spark, sf):
+    return _top30(index(spark, sf).words.keyword(SEARCH, allowed=documents(spark, sf).filter(Filter(tags=("good",)).column())))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT path, ordinal, 0.0::DOUBLE AS score FROM chunks WHERE false")
 def keyword_without_terms(spark, sf):
-    return ranking.keyword(chunks(spark, sf), "the and of")
+    return index(spark, sf).words.keyword("the and of")
+
+
+@query(f"WITH {keyword_sql()} SELECT path, ordinal, round(score, 6) AS score FROM hits WHERE score > 0 ORDER BY round(score, 6) DESC, path, ordinal LIMIT 30")
+def keyword_scan(spark, sf):
+    """The same search without an index."""
+    return _top30(ranking.keyword(index(spark, sf).chunks, SEARCH))
 
 
 def _vectors(spark, sf) -> DataFrame:
@@ -239,16 +264,16 @@ sides AS (SELECT path, 0.5::DOUBLE * (score / (SELECT max(score) FROM doc)) AS s
 mixed AS (SELECT path, 0 AS ordinal, round(sum(score), 6) AS score FROM sides GROUP BY path)"""
 
 
-def _hybrid(spark, sf, chunks) -> DataFrame:
-    by_line = ranking.keyword(chunks(spark, sf), " ".join(WORDS))
+def _hybrid(spark, sf) -> DataFrame:
+    by_line = index(spark, sf).words.keyword(SEARCH)
     by_doc = by_line.groupBy("path").agg(F.max("score").alias("score")).withColumn("ordinal", F.lit(0)).select("path", "ordinal", "score")
     near = documents(spark, sf).select("path", F.col("doc_id").alias("vec_id")).join(table(spark, sf, "embeddings").filter("embedding is not null"), "vec_id").withColumns({"ordinal": F.lit(0), "tags": F.array().cast("array<string>")})
     return ranking.hybrid(by_doc, ranking.semantic(near, _query_vector(spark, sf)))
 
 
 @query(f"WITH {HYBRID_SQL} SELECT path, ordinal, score FROM mixed ORDER BY score DESC, path LIMIT 30")
-def hybrid_topk(spark, sf, chunks=chunks):
-    return _top30(_hybrid(spark, sf, chunks))
+def hybrid_topk(spark, sf):
+    return _top30(_hybrid(spark, sf))
 
 
 # -- scores ----------------------------------------------------------------------------------------------------
@@ -347,12 +372,12 @@ m AS (SELECT path, min(f) AS first, max(t) AS last, arg_max(ordinal, [final, -or
 ranked AS (SELECT *, row_number() OVER (ORDER BY final DESC, path, first) AS rank FROM m ORDER BY final DESC, path, first LIMIT 10)
 SELECT rank::INT AS rank, ranked.path, path || CASE WHEN best = 0 THEN '' ELSE '#l' || best END AS ref, first::INT AS first, last::INT AS last, round(final, 6) AS final,
     (SELECT string_agg(text, '' ORDER BY c.ordinal) FROM chunks c WHERE c.path = ranked.path AND c.ordinal BETWEEN first AND last) AS text FROM ranked""")
-def search_pipeline(spark, sf, chunks=chunks):
+def search_pipeline(spark, sf):
     """A whole search: candidates, cap, rerank, signals, cutoff, merge, order, limit."""
-    rows = chunks(spark, sf)
-    found = ranking.capped(ranking.top(ranking.keyword(rows, " ".join(WORDS)), 30))
+    own = index(spark, sf)
+    found = ranking.capped(ranking.top(own.words.keyword(SEARCH), 30))
     options = retrieval.Options(mode="keyword", limit=10, expand=1)
-    out = retrieval.retrieve(found, rows, options, NOW_MS, retrieval.word_overlap(" ".join(WORDS)))
+    out = retrieval.retrieve(found, own.chunks, options, NOW_MS, retrieval.word_overlap(SEARCH))
     return out.select("rank", "path", "ref", "first", "last", r6("scores.final").alias("final"), "text")
 
 
@@ -418,51 +443,36 @@ def embed_report(spark, sf):
     return done.agg(F.count_distinct("path").alias("written"), F.count_if("reused").alias("reused"), F.count_if(~F.col("reused")).alias("embedded"))
 
 
-SPANS_SQL = """b AS (SELECT 'd' || doc_id AS path, text AS body FROM documents WHERE length(text) > 300),
-c AS (SELECT path, 0 AS ordinal, 0 AS start, 100 AS "end" FROM b UNION ALL SELECT path, 1, 150, 300 FROM b)"""
+SPANS_SQL = """b AS (SELECT 'd' || doc_id AS path, coalesce(text, '') AS body FROM documents),
+c AS (SELECT path, 0 AS ordinal, 0 AS start, least(100, length(body)) AS "end" FROM b UNION ALL SELECT path, 1, least(150, length(body)), least(300, length(body)) FROM b)"""
 
 
 def _spans(spark, sf) -> tuple[DataFrame, DataFrame]:
-    bodies = table(spark, sf, "documents").filter(F.length("text") > 300).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("body"))
-    spans = bodies.select("path", F.explode(F.array(F.struct(F.lit(0).alias("ordinal"), F.lit(0).alias("start"), F.lit(100).alias("end")), F.struct(F.lit(1).alias("ordinal"), F.lit(150).alias("start"), F.lit(300).alias("end")))).alias("s")).select("path", "s.*")
-    return spans, bodies
-
-
-@query(rf"""WITH {SPANS_SQL}, g AS (SELECT path, coalesce(lag("end") OVER (PARTITION BY path ORDER BY start), 0) AS "at", start AS till FROM c UNION ALL SELECT b.path, 300, length(body) FROM b)
-SELECT g.path, "at"::BIGINT AS "at" FROM g JOIN b USING (path) WHERE till > g."at" AND NOT regexp_full_match(substr(body, (g."at" + 1)::INT, (till - g."at")::INT), '[\s\p{{Z}}\p{{C}}]*')""")
-def coverage_gaps(spark, sf):
-    return freshness.gaps(*_spans(spark, sf))
-
-
-@query(f"""WITH {SPANS_SQL} SELECT path, ordinal, start, coalesce(lead(start) OVER (PARTITION BY path ORDER BY ordinal), length(body))::INT AS "end" FROM c JOIN b USING (path)""")
-def tiling_ends(spark, sf):
-    spans, bodies = _spans(spark, sf)
-    by_path = W.partitionBy("path").orderBy("ordinal")
-    return spans.join(bodies, "path").select("path", "ordinal", "start", F.coalesce(F.lead("start").over(by_path), F.length("body")).alias("end"))
-
-
-def _whole_spans(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """The same spans as far as each body reaches, of every document."""
+    """Two spans of every document, as far as its body reaches."""
     bodies = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("body"))
     till = lambda n: F.least(F.lit(n), F.length("body"))
     spans = F.array(*(F.struct(F.lit(k).alias("ordinal"), till(a).alias("start"), till(z).alias("end")) for k, (a, z) in enumerate(((0, 100), (150, 300)))))
     return bodies.select("path", F.explode(spans).alias("s")).select("path", "s.*"), bodies
 
 
-WHOLE_SPANS_SQL = """b AS (SELECT 'd' || doc_id AS path, coalesce(text, '') AS body FROM documents),
-c AS (SELECT path, 0 AS ordinal, 0 AS start, least(100, length(body)) AS "end" FROM b UNION ALL SELECT path, 1, least(150, length(body)), least(300, length(body)) FROM b)"""
-
+@query(rf"""WITH {SPANS_SQL}, g AS (SELECT path, coalesce(lag("end") OVER (PARTITION BY path ORDER BY start), 0) AS "at", start AS till FROM c UNION ALL SELECT b.path, least(300, length(body)), length(body) FROM b)
+SELECT g.path, "at"::BIGINT AS "at" FROM g JOIN b USING (path) WHERE till > g."at" AND NOT regexp_full_match(substr(body, (g."at" + 1)::INT, (till - g."at")::INT), '[\s\p{{Z}}\p{{C}}]*')""")
+def coverage_gaps(spark, sf):
+    return freshness.gaps(*_spans(spark, sf))
 
-@query(SQL["coverage_gaps"].replace(SPANS_SQL, WHOLE_SPANS_SQL).replace("SELECT b.path, 300, length(body)", "SELECT b.path, least(300, length(body)), length(body)"))
-def coverage_gaps_whole(spark, sf):
-    return freshness.gaps(*_whole_spans(spark, sf))
 
+@query("""WITH s AS (SELECT 'd' || doc_id AS path, text AS body, string_split(text, chr(10) || chr(10)) AS parts FROM documents WHERE trim(text) <> ''),
+t AS (SELECT path, length(body) AS n, unnest(generate_series(0, len(parts) - 1))::INT AS ordinal, unnest(parts) AS part FROM s)
+SELECT path, max(n)::BIGINT AS "end", sum(length(part) + 2)::BIGINT - 2 AS covered FROM t GROUP BY path""")
+def tiling_ends(spark, sf):
+    """Chunks of the structural chunker tile every body: as long together as the text, without a gap or overlap."""
+    from fernglass.engine import chunked
+    from fernglass.sources.chunker import structural
 
-@query(SQL["tiling_ends"].replace(SPANS_SQL, WHOLE_SPANS_SQL))
-def tiling_ends_whole(spark, sf):
-    spans, bodies = _whole_spans(spark, sf)
-    by_path = W.partitionBy("path").orderBy("ordinal")
-    return spans.join(bodies, "path").select("path", "ordinal", "start", F.coalesce(F.lead("start").over(by_path), F.length("body")).alias("end"))
+    docs = table(spark, sf, "documents").filter(F.trim("text") != "").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.lit("").alias("doc_hash"), F.lit("title").alias("title"), F.col("text").alias("body"))
+    rows = chunked(docs, structural()).withColumn("gap", F.coalesce(F.lag("end").over(W.partitionBy("path").orderBy("ordinal")), F.lit(0)) != F.col("start"))
+    # offsets are UTF-16 units, the texts' characters are counted
+    return rows.groupBy("path").agg(F.sum(F.length("text")).alias("end"), F.sum(F.when(F.col("gap"), F.lit(-1)).otherwise(F.length("text"))).alias("covered"))
 
 
 @query("""WITH t AS (SELECT 'c' || conv_id AS path, turn::INT AS ordinal, (turn * 10)::INT AS start, (turn * 10 + 8 + 4 * (turn % 2))::INT AS "end" FROM conversations)
@@ -489,52 +499,47 @@ def blank_chunks(spark, sf):
 # -- Markdown: a conversation as a document with a heading per turn ---------------------------------------------
 
 
-def _pages(spark, sf, whole: bool = False) -> DataFrame:
-    """(path, title, body) with plain one-line paragraphs below second-level headings: of 300 characters at most, as the
-    SQL has them, or whole."""
-    line = text.collapsed(F.col("text"))
-    line = line if whole else F.substring(line, 1, 300)
-    part = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), line, F.lit("\n\n"))
+def _pages(spark, sf) -> DataFrame:
+    """(path, title, body) with one-line paragraphs below second-level headings."""
+    part = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), text.collapsed(F.col("text")), F.lit("\n\n"))
     rows = table(spark, sf, "conversations").filter(F.trim("text") != "").select("conv_id", F.col("turn").cast("int").alias("turn"), part.alias("part"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "")
     return rows.groupBy("conv_id").agg(body.alias("body")).select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"), "body")
 
 
 PAGES_SQL = r"""turns AS (SELECT 'c' || conv_id || '.md' AS path, 'Conversation ' || conv_id AS title, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal, role || ' ' || turn AS heading,
-    '## ' || role || ' ' || turn || chr(10) || chr(10) || substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 300) || chr(10) || chr(10) AS part FROM conversations WHERE trim(text) <> '')"""
+    '## ' || role || ' ' || turn || chr(10) || chr(10) || trim(regexp_replace(text, '\s+', ' ', 'g')) || chr(10) || chr(10) AS part FROM conversations WHERE trim(text) <> '')"""
 
 
-@query(f"WITH {PAGES_SQL} SELECT path, ordinal::INT AS ordinal, title || ' › ' || heading AS breadcrumb, replace(heading, ' ', '-') AS anchor, part AS text, sha256(title || ' › ' || heading || chr(10) || part) AS hash FROM turns")
-def structural_chunks(spark, sf, whole=False):
+@query()
+def structural_chunks(spark, sf):
+    """Chunks of whole turns: long ones are split by sentence, which SQL doesn't say; tests compare with brute force."""
     from fernglass.engine import chunked
     from fernglass.sources.chunker import structural
 
-    rows = chunked(_pages(spark, sf, whole).withColumn("doc_hash", F.lit("")), structural())
+    rows = chunked(_pages(spark, sf).withColumn("doc_hash", F.lit("")), structural())
     return rows.select("path", "ordinal", "breadcrumb", "anchor", "text", freshness.chunk_hash().alias("hash"))
 
 
+@query(f"""WITH {PAGES_SQL} SELECT path, string_agg(part, '' ORDER BY ordinal) AS body, max(length(title || ' › ' || heading)) <= 250 AS short FROM turns GROUP BY path""")
+def chunked_bodies(spark, sf):
+    """The structural chunks of each document put together again: its body."""
+    rows = structural_chunks(spark, sf)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "")
+    return rows.groupBy("path").agg(body.alias("body"), (F.max(F.length("breadcrumb")) <= 250).alias("short"))
+
+
 @query(f"""WITH {PAGES_SQL}, s AS (SELECT *, (1 + coalesce(sum(length(part)) OVER (PARTITION BY path ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM turns)
 SELECT path, replace(heading, ' ', '-') AS anchor, 2 AS depth, start, (start + length(part))::BIGINT AS "end" FROM s""")
-def document_outline(spark, sf, whole=False):
+def document_outline(spark, sf):
     from fernglass.sources import markdown
 
     head = F.concat(F.lit("---\ntitle: "), "title", F.lit("\nupdated_at: 2026-01-01\ntags: [x]\n---\n"))
-    files = _pages(spark, sf, whole).select("path", F.encode(F.concat(head, "body"), "UTF-8").alias("content"))
+    files = _pages(spark, sf).select("path", F.encode(F.concat(head, "body"), "UTF-8").alias("content"))
     docs = markdown.documents(markdown.parse_rows(files))
     return docs.select("path", F.explode("headings").alias("h")).select("path", "h.anchor", "h.depth", "h.start", "h.end")
 
 
-@query()
-def structural_chunks_whole(spark, sf):
-    """Chunks of whole turns: long ones are split by sentence, which SQL doesn't say."""
-    return structural_chunks(spark, sf, whole=True)
-
-
-@query()
-def document_outline_whole(spark, sf):
-    return document_outline(spark, sf, whole=True)
-
-
 @query("""WITH t AS (SELECT 'c' || conv_id AS path, string_agg('"' || sha256(role || chr(10) || text) || '"', ',' ORDER BY turn) AS hashes FROM conversations GROUP BY conv_id)
 SELECT sha256('[' || string_agg('["' || path || '","' || sha256(path) || '","c","m",64,[' || hashes || ']]', ',' ORDER BY path) || ']') AS version FROM t""")
 def index_version(spark, sf):
@@ -542,27 +547,9 @@ def index_version(spark, sf):
     return spark.createDataFrame([(writing.index_version(rows),)], "version string")
 
 
-@query(f"WITH {CHUNKS_SQL} SELECT DISTINCT path FROM chunks WHERE len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda t: starts_with(t, 'thande'))) > 0 OR len(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'), lambda t: starts_with(t, 'thande'))) > 0")
-def keyword_prefix(spark, sf, chunks=chunks):
-    return ranking.keyword(chunks(spark, sf), "thande", prefix=True).select("path").distinct()
-
-
-#: The same searches over whole titles, with SQL of their own.
-CUT_LINES, CUT_CRUMB = "substr(title, 1, 40) AS title", "title AS breadcrumb"
-_COLLAPSED = r"trim(regexp_replace(title, '\s+', ' ', 'g'))"
-WHOLE_CRUMB = f"CASE WHEN length({_COLLAPSED}) <= 250 THEN {_COLLAPSED} ELSE substr({_COLLAPSED}, 1, 125) || '…' || right({_COLLAPSED}, 124) END AS breadcrumb"
-
-
-def _whole(name: str):
-    def whole(spark, sf):
-        return QUERIES[name](spark, sf, chunks=whole_chunks)
-
-    return whole
-
-
-for _name in ("keyword_bm25", "keyword_filtered", "hybrid_topk", "search_pipeline", "keyword_prefix"):
-    QUERIES[f"{_name}_whole"] = _whole(_name)
-    SQL[f"{_name}_whole"] = SQL[_name].replace(CUT_LINES, "title").replace(CUT_CRUMB, WHOLE_CRUMB)
+@query(f"WITH {CHUNKS_SQL} SELECT DISTINCT path FROM chunks WHERE len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda t: starts_with(t, 'tio'))) > 0 OR len(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'), lambda t: starts_with(t, 'tio'))) > 0")
+def keyword_prefix(spark, sf):
+    return index(spark, sf).words.keyword("tio", prefix=True).select("path").distinct()
 
 
 @query(f"WITH {TURNS_SQL} SELECT path, ordinal FROM t WHERE ordinal % 4 = 1")

@@ -6,7 +6,9 @@ Offsets are code points here; chunks store UTF-16 units (see utf16_offsets).
 from __future__ import annotations
 
 import html
+import itertools
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t]*$")
@@ -297,24 +299,19 @@ def collapse(text: str) -> str:
 
 
 class Slugs:
-    """Anchors, unique within a document: a taken one gets the next free number."""
+    """Anchors, unique within a document."""
 
     def __init__(self) -> None:
-        self.used: set[str] = set()
-        self.last: dict[str, int] = {}
+        self.taken: set[str] = set()
 
     def __call__(self, text: str) -> str:
-        import unicodedata
-
-        fine = (c for c in text.lower() if c in "- " or unicodedata.category(c)[0] in "LMN" or unicodedata.category(c) == "Pc")
-        base = "".join(fine).replace(" ", "-") or "section"
-        n, out = self.last.get(base, 0), base
-        while out in self.used:
-            n += 1
-            out = f"{base}-{n}"
-        self.last[base] = n
-        self.used.add(out)
-        return out
+        """The words of a heading joined by hyphens, with the least number that makes them a new name."""
+        kept = [c for c in text.lower() if c in "- " or unicodedata.category(c) == "Pc" or unicodedata.category(c)[0] in "LMN"]
+        name = "".join(kept).replace(" ", "-") or "section"
+        names = itertools.chain((name,), (f"{name}-{k}" for k in itertools.count(1)))
+        anchor = next(x for x in names if x not in self.taken)
+        self.taken.add(anchor)
+        return anchor
 
 
 def blocks_of(body: str) -> list[Block]:
@@ -338,4 +335,8 @@ def blocks_of(body: str) -> list[Block]:
 def outline_of(blocks: list[Block], length: int) -> list[tuple[Heading, int, int]]:
     """Each heading with its section: up to the next heading that is no deeper."""
     found = [(b.headings[-1], b.start) for k, b in enumerate(blocks) if b.type == "heading" and b.headings and not (k and any(b.headings[-1] is h for h in blocks[k - 1].headings))]
-    return [(h, start, next((s for g, s in found[k + 1 :] if g.depth <= h.depth), length)) for k, (h, start) in enumerate(found)]
+    out, next_start = [], {}  # by depth, where the next heading of it starts
+    for h, start in reversed(found):
+        out.append((h, start, min((s for d, s in next_start.items() if d <= h.depth), default=length)))
+        next_start[h.depth] = start
+    return out[::-1]

@@ -104,7 +104,7 @@ def scan(spark: SparkSession, source: str, target: str | None = None, partitions
                     rows.append(dict.fromkeys(schema.names) | {"path": p, "error": str(e)})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    names = spark.createDataFrame([(p,) for p in paths], "path string").repartition(partitions or max(1, min(64, len(paths) // 8)))
+    names = spark.createDataFrame([(p,) for p in paths], "path string").repartition(partitions or max(1, len(paths) // 64))
     return names.mapInArrow(run, SCHEMA)
 
 

@@ -5,18 +5,21 @@ from __future__ import annotations
 import json
 import os
 import re
-import shutil
 import uuid
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fernglass.functions.vectors import decode_vector, encode_vector, encoded_length
+from fernglass.operators.postings import KeywordIndex, write_index
+from fernglass.shared import Files
 
 FORMAT = 1
 COLUMNS = ("path", "ordinal", "start", "end", "breadcrumb", "anchor", "hash", "text", "doc_hash", "chunker", "model", "dims", "embedding")
 SCHEMA = "path string, ordinal int, start long, end long, breadcrumb string, anchor string, hash string, text string, doc_hash string, chunker string, model string, dims int, embedding array<float>"
+TITLES = "path string, title string"
 HEX = re.compile(r"[0-9a-f]{64}")
 
 
@@ -24,44 +27,65 @@ class StoreError(ValueError):
     pass
 
 
-def prepare(target: str) -> None:
+VERSION = re.compile(r"chunks-(\d{9})")
+#: Versions that stay: the newest, and those that a running engine may still read.
+KEPT = 2
+
+
+def prepare(spark: SparkSession, target: str) -> Files:
     """The engine's folder, which version control ignores as a whole."""
-    os.makedirs(target, exist_ok=True)
-    mark = Path(target, ".gitignore")
-    if not mark.exists() or mark.read_text() != "*\n":
-        mark.write_text("*\n")
+    files = Files(spark)
+    if not files.exists(f"{target}/.gitignore"):
+        files.write(f"{target}/.gitignore", "*\n")
+    return files
+
 
+def _numbers(files: Files, target: str) -> list[int]:
+    return [int(m[1]) for m in map(VERSION.fullmatch, files.names(target)) if m]
 
-def table_path(target: str) -> str:
-    return f"{target}/chunks"
+
+def versions(files: Files, target: str) -> list[int]:
+    """Numbers of the versions that were written to the end, in order. A version is its chunks and its index, whose
+    last table Spark marks as complete."""
+    return [n for n in _numbers(files, target) if files.exists(f"{target}/index-{n:09d}/fields/_SUCCESS")]
 
 
 def read_chunks(spark: SparkSession, target: str) -> DataFrame:
-    """The table that CURRENT names; empty if there is none yet."""
-    mark = Path(target, "CURRENT")
-    if not mark.exists():
-        return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA).parquet(f"{target}/{mark.read_text().strip()}")
-
-
-def write_chunks(chunks: DataFrame, target: str) -> None:
-    """Written in full beside the old table, then named by CURRENT in one step; the old one goes last."""
-    prepare(target)
-    mark = Path(target, "CURRENT")
-    old = mark.read_text().strip() if mark.exists() else None
-    name = f"chunks-{uuid.uuid4().hex}"
-    chunks.select(*COLUMNS).write.parquet(f"{target}/{name}")
-    fresh = Path(target, f"CURRENT.{uuid.uuid4().hex}.tmp")
-    fresh.write_text(name + "\n")
-    os.replace(fresh, mark)
-    if old:
-        shutil.rmtree(f"{target}/{old}", ignore_errors=True)
+    """The chunks of the newest version; empty if there is none yet."""
+    found = versions(Files(spark), target)
+    return spark.read.schema(SCHEMA).parquet(f"{target}/chunks-{found[-1]:09d}") if found else spark.createDataFrame([], SCHEMA)
+
+
+def read_index(spark: SparkSession, target: str) -> KeywordIndex | None:
+    found = versions(Files(spark), target)
+    return KeywordIndex.read(spark, f"{target}/index-{found[-1]:09d}") if found else None
+
+
+def read_titles(spark: SparkSession, target: str) -> DataFrame:
+    """(path, title) of the documents of the newest version."""
+    found = versions(Files(spark), target)
+    return spark.read.schema(TITLES).parquet(f"{target}/index-{found[-1]:09d}/titles") if found else spark.createDataFrame([], TITLES)
+
+
+def write_chunks(chunks: DataFrame, titles: DataFrame, target: str) -> None:
+    """A new version beside the old ones, of which all but the last go. titles: (path, title). Two writers can't write
+    the same version: Spark refuses a folder that is there."""
+    spark = chunks.sparkSession
+    files = prepare(spark, target)
+    n = max(_numbers(files, target), default=0) + 1
+    chunks.select(*COLUMNS).repartitionByRange("path", "ordinal").sortWithinPartitions("path", "ordinal").write.parquet(f"{target}/chunks-{n:09d}")
+    stored = spark.read.schema(SCHEMA).parquet(f"{target}/chunks-{n:09d}")
+    titles.select("path", "title").write.parquet(f"{target}/index-{n:09d}/titles")
+    titles = spark.read.schema(TITLES).parquet(f"{target}/index-{n:09d}/titles")
+    write_index(stored.join(titles, "path", "left").withColumn("title", F.coalesce("title", F.lit(""))), f"{target}/index-{n:09d}")
+    least = versions(files, target)[-KEPT:][0]
+    for old in (x for x in _numbers(files, target) if x < least):
+        files.delete(f"{target}/chunks-{old:09d}")
+        files.delete(f"{target}/index-{old:09d}")
 
 
 def headers(chunks: DataFrame) -> DataFrame:
     """One row per document: what its chunks were made from and with."""
-    from pyspark.sql import functions as F
-
     return chunks.groupBy("path").agg(F.min("doc_hash").alias("stored_hash"), F.min("chunker").alias("stored_chunker"), F.min("model").alias("stored_model"), F.min("dims").alias("stored_dims"))
 
 
@@ -155,7 +179,7 @@ def list_sidecars(target: str) -> tuple[list[str], list[str]]:
 
 def export_sidecars(chunks: DataFrame, target: str) -> int:
     """One JSON file per document, document by document."""
-    prepare(target)
+    prepare(chunks.sparkSession, target)
     n, held, path = 0, [], None
 
     def flush() -> None:

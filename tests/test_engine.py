@@ -164,19 +164,26 @@ def test_streamed_ingestion(spark, tmp_path):
     from fernglass.streaming.ingest import ingest
 
     (tmp_path / "in").mkdir()
-    schema = "path string, content binary"
+    schema = "path string, content binary, at long"
 
-    def put(name, body):
-        raw = f"---\ntitle: T\nupdated_at: 2026-01-01\ntags: []\n---\n{body}".encode()
-        spark.createDataFrame([(name, bytearray(raw))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    def put(name, body, at, head="title: T\nupdated_at: 2026-01-01\ntags: []"):
+        raw = f"---\n{head}\n---\n{body}".encode()
+        spark.createDataFrame([(name, bytearray(raw), at)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
 
     def go():
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         ingest(stream, str(tmp_path / "out"), str(tmp_path / "ck"), HashEmbedder(), structural()).awaitTermination()
         return {(r.path, r.text) for r in store.read_chunks(spark, str(tmp_path / "out")).collect()}
 
-    put("a.md", "one")
+    put("a.md", "one", 1)
     assert go() == {("a.md", "\none")}
-    put("b.md", "two")
-    put("a.md", "three")
-    assert go() == {("a.md", "\nthree"), ("b.md", "\ntwo")}
+    put("b.md", "two", 2)
+    put("a.md", "earlier, though greater by its letters", 3)
+    put("a.md", "a later one", 4)
+    put("bad.md", "body", 5, "title: [")
+    assert go() == {("a.md", "\na later one"), ("b.md", "\ntwo")}
+    failed = spark.read.parquet(str(tmp_path / "out" / "failures")).collect()
+    assert [(r.path, "YAML" in r.reason) for r in failed] == [("bad.md", True)]
+    assert sorted(map(tuple, store.read_titles(spark, str(tmp_path / "out")).collect())) == [("a.md", "T"), ("b.md", "T")]
+    with pytest.raises(ValueError, match="at"):
+        ingest(spark.readStream.schema("path string, content binary").parquet(str(tmp_path / "in")), "x", "y", HashEmbedder(), structural())

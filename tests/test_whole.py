@@ -1,4 +1,4 @@
-"""Queries over whole texts, beside those whose SQL cuts them."""
+"""Queries over whole texts."""
 
 import random
 import re
@@ -41,7 +41,7 @@ def brute_chunks(sections, most=1000):
 def test_whole_turns_are_split_by_sentence(spark, turns):
     rows, folder = turns
     got = {}
-    for r in sorted(catalogue.QUERIES["structural_chunks_whole"](spark, folder).collect(), key=lambda r: (r.path, r.ordinal)):
+    for r in sorted(catalogue.QUERIES["structural_chunks"](spark, folder).collect(), key=lambda r: (r.path, r.ordinal)):
         got.setdefault(r.path, []).append(r.text)
     for c in range(12):
         sections = [(f"## {role} {turn}\n\n", " ".join(text.split())) for conv, turn, role, text in rows if conv == c]
@@ -52,7 +52,7 @@ def test_whole_turns_are_split_by_sentence(spark, turns):
 
 def test_whole_outline(spark, turns):
     rows, folder = turns
-    got = {(r.path, r.anchor): (r.start, r.end) for r in catalogue.QUERIES["document_outline_whole"](spark, folder).collect()}
+    got = {(r.path, r.anchor): (r.start, r.end) for r in catalogue.QUERIES["document_outline"](spark, folder).collect()}
     for conv, turn, role, text in rows:
         start, end = got[f"c{conv}.md", f"{role}-{turn}"]
         assert end - start == len(f"## {role} {turn}\n\n{' '.join(text.split())}\n\n")
@@ -63,15 +63,15 @@ def test_searches_find_words_behind_the_fortieth_character_of_a_title(spark, tmp
     docs = [(i, f"{head} thand tion\nbody" if i == 3 else f"{head} other\nbody") for i in range(8)]
     pq.write_table(pa.Table.from_pylist([{"doc_id": i, "text": t, "lang": "en", "source": "s"} for i, t in docs]), tmp_path / "documents.parquet")
     pq.write_table(pa.table({"doc_id": pa.array([3], pa.int64()), "quality": pa.array([1], pa.int32()), "toxic": pa.array([0], pa.int32())}), tmp_path / "labels.parquet")
-    for name in ("keyword_bm25_whole", "keyword_filtered_whole"):  # the second line has the words in its title alone
+    for name in ("keyword_bm25", "keyword_filtered"):  # the second line has the words in its title alone
         assert sorted((r.path, r.ordinal) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()) == [("s/en/3.md", 0), ("s/en/3.md", 1)]
-    assert {r.path for r in catalogue.QUERIES["search_pipeline_whole"](spark, str(tmp_path)).collect()} == {"s/en/3.md"}
+    assert {r.path for r in catalogue.QUERIES["search_pipeline"](spark, str(tmp_path)).collect()} == {"s/en/3.md"}
 
 
 def test_spans_of_every_document(spark, tmp_path):
     texts = [None, "", "x" * 60, "x" * 120, "x" * 200, "x" * 300, "x" * 400]
     pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
-    gaps = {(r[0], r[1]) for r in catalogue.QUERIES["coverage_gaps_whole"](spark, str(tmp_path)).select("path", "at").collect()}
+    gaps = {(r[0], r[1]) for r in catalogue.QUERIES["coverage_gaps"](spark, str(tmp_path)).select("path", "at").collect()}
     assert gaps == {("d3", 100), ("d4", 100), ("d5", 100), ("d6", 100), ("d6", 300)}
-    ends = {(r.path, r.ordinal): (r.start, r.end) for r in catalogue.QUERIES["tiling_ends_whole"](spark, str(tmp_path)).collect()}
-    assert len(ends) == 14 and all(ends[f"d{i}", 1][1] == len(t or "") for i, t in enumerate(texts))
+    ends = {r.path: (r.end, r.covered) for r in catalogue.QUERIES["tiling_ends"](spark, str(tmp_path)).collect()}
+    assert ends == {f"d{i}": (len(t), len(t)) for i, t in enumerate(texts) if t}
