@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernglass.shared import Files, own_dir, shared_dir
+
 #: Bytes of text that a vectorised step handles at once; a longer text is handled alone.
 SLICE_BYTES = 1 << 20
 #: Bytes of text whose tokens or anchors a step gathers before it passes them on.
@@ -33,41 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, whose executors are the
-    driver itself, may go without and gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if "dir" not in _LOCAL:
-            _LOCAL["dir"] = f"file://{tempfile.mkdtemp(prefix='fernglass-')}"
-        found = _LOCAL["dir"]
-    return found
-
-
-_LOCAL: dict[str, str] = {}
-_OWN: dict[str, tuple] = {}
+#: Whether Spark deletes the shuffle files of an execution when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def own_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder; it goes when the driver's process ends."""
-    path = f"{shared_dir(spark)}/fernglass/{spark.sparkContext.applicationId}"
-    if path not in _OWN:
-        sc = spark.sparkContext
-        _OWN[path] = (sc._jvm, sc._jsc.hadoopConfiguration())
-        if len(_OWN) == 1:
-            atexit.register(lambda: [_delete(x) for x in list(_OWN)])
-    return path
-
-
-def _delete(path: str) -> None:
-    jvm, conf = next(v for k, v in _OWN.items() if path.startswith(k))
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).delete(at, True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: cuts lineage, survives lost executors. Spark
     deletes the write's shuffle files when it is done; spent() deletes the table."""
@@ -91,7 +60,7 @@ def spent(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "_fernglass_path", None):
-            _delete(path)
+            Files(df.sparkSession).delete(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
