@@ -565,10 +565,15 @@ def pruned_paths(spark, sf):
     return freshness.statuses(docs, headers).filter("status = 'orphan'").select("path")
 
 
-@query()
+HALF = "CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE round_even(x / power(2.0::DOUBLE, greatest(floor(log2(abs(x))), -14) - 10), 0) * power(2.0::DOUBLE, greatest(floor(log2(abs(x))), -14) - 10) END"
+
+
+@query(f"""WITH v AS (SELECT vec_id, unnest(generate_series(0, len(embedding) - 1))::INT AS place, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE len(embedding) = 64)
+SELECT vec_id, place, {HALF} AS x FROM v""")
 def vector_codec(spark, sf):
-    """Vectors through half precision and base64 and back."""
+    """Vectors through half precision and base64 and back: each number becomes the nearest of half precision."""
     from fernglass.functions.vectors import decode_vectors, encode_vectors
 
     rows = table(spark, sf, "embeddings").filter(F.size("embedding") == 64).select("vec_id", "embedding")
-    return decode_vectors(encode_vectors(rows, "embedding", 64), "embedding", 64)
+    back = decode_vectors(encode_vectors(rows, "embedding", 64), "embedding", 64)
+    return back.select("vec_id", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.col("x").cast("double"))

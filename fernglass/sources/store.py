@@ -143,13 +143,34 @@ def from_json(text: str) -> tuple[dict[str, Any], list[dict[str, Any]]]:
     except ValueError as e:
         raise StoreError(f"invalid JSON: {e}") from None
     raw = checked(raw)
-    chunks = []
-    for c in raw["chunks"]:
+    chunks = [c | {"vector": v} for c, v in zip(raw["chunks"], vectors_of(raw), strict=True)]
+    return {k: raw[k] for k in ("doc_hash", "chunker", "model", "dims")}, chunks
+
+
+def read_sidecar(target: str, path: str) -> tuple[str, str | dict[str, Any] | None]:
+    """What there is of a document's JSON: ("missing", None), ("unreadable", why), ("invalid", why) or ("fine", its
+    content with vectors as they are written); vectors_of decodes them when they are needed."""
+    at = Path(sidecar_path(target, path))
+    try:
+        text = at.read_bytes().decode()
+    except FileNotFoundError:
+        return "missing", None
+    except (OSError, UnicodeDecodeError) as e:
+        return "unreadable", f"{path}: {e}"
+    try:
+        return "fine", checked(json.loads(text))
+    except ValueError as e:  # StoreError is one
+        return "invalid", f"{path}: {e}; run embed"
+
+
+def vectors_of(sidecar: dict[str, Any]) -> list[list[float]]:
+    out = []
+    for c in sidecar["chunks"]:
         try:
-            chunks.append(c | {"vector": decode_vector(c["vector"], raw["dims"])})
+            out.append(decode_vector(c["vector"], sidecar["dims"]))
         except ValueError as e:
             raise StoreError(f"chunk at {c['start']}: {e}") from None
-    return {k: raw[k] for k in ("doc_hash", "chunker", "model", "dims")}, chunks
+    return out
 
 
 def write_sidecar(target: str, path: str, text: str) -> None:

@@ -1,11 +1,12 @@
 import io
 import json
 import threading
+import urllib.error
 import urllib.request
 
 import pytest
 
-from fernglass import cli, engine, http
+from fernglass import cli, engine, http, shapes
 from fernglass.config import Config
 from fernglass.errors import InvalidRequest, NotFound, StartupError, UsageError
 from fernglass.models import HashEmbedder, LengthEmbedder, check_window, fitted_pair
@@ -123,19 +124,57 @@ def http_contract(own):
     assert get("/documents/runbooks%2Fwebhook.md%23timeouts")[1]["text"].startswith("## Timeouts")
     assert get("/search", "POST", b'{"query": "users"}')[0] == 200
     assert [get(t)[0] for t in ("/documents?limit=x", "/documents?limit=1&limit=2", "/overview?nope=1", "/nope", "/documents/nope.md")] == [400, 400, 400, 404, 404]
+    for target, shape in (("/overview", shapes.OVERVIEW), ("/documents", shapes.LISTING), ("/documents/runbooks%2Fwebhook.md", shapes.DOCUMENT), ("/documents/nope.md", shapes.FAILURE)):
+        assert shapes.misfits(get(target)[1], shape) == []
+    for mode in ("hybrid", "semantic", "keyword"):
+        assert shapes.misfits(get("/search", "POST", json.dumps({"query": "users", "mode": mode}).encode())[1], shapes.SEARCH) == []
+    assert shapes.misfits({"documents": "3", "chunks": 1, "tags": [{"name": 1}], "x": 1, "index_version": "v"}, shapes.OVERVIEW) == ["$.embedding_model: missing", "$.documents: no integer", "$.tags[0].documents: missing", "$.tags[0].name: no string", "$.x: unknown"]
+    assert get("/documents/a.md?full=true&full=true")[0] == 400
+    assert [http.own_names(h) is not None for h in ("127.0.0.1", "127.1", "localhost.", "::1", "0:0:0:0:0:0:0:1", "[::1]", "::ffff:127.0.0.1", "127.9.9.9", "0.0.0.0", "example.org", "::")] == [True] * 8 + [False] * 3
+    assert get("/healthz", host="[::1]:80")[0] == get("/healthz", host="127.0.0.1")[0] == get("/healthz", host="LOCALHOST.:1")[0] == 200
+    assert http.answer(own, "GET", "/healthz", host="any.example", names=None)[0] == 200
     assert get("/search")[0] == 405 and get("/search", "POST", b"{")[0] == 400 and get("/healthz", host="evil.example")[0] == 400
     server = http.serve({"engine": own})
     threading.Thread(target=server.serve_forever, daemon=True).start()
     with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/overview") as r:
         assert json.load(r)["documents"] == 3
+    with pytest.raises(urllib.error.HTTPError) as e:  # the body is read, so the answer arrives
+        urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/search", data=b" " * (3 << 20))
+    assert e.value.code == 400 and "bytes at most" in e.value.read().decode()
     server.shutdown()
 
 
+def test_serving_starts_before_the_engine():
+    """The port answers while the engine is made; a failing engine ends the server; a taken port is an error."""
+    said, ports, seen = [], [], []
+
+    def say(line):
+        said.append(line)
+        if line.startswith("listening"):
+            ports.append(int(line.rsplit(":", 1)[1]))
+
+    def failing():
+        try:
+            urllib.request.urlopen(f"http://127.0.0.1:{ports[0]}/readyz")
+        except urllib.error.HTTPError as e:
+            seen.append(e.code)
+        with pytest.raises(StartupError):
+            cli._serve(lambda: None, "127.0.0.1", ports[0], say)
+        raise StartupError("broken index")
+
+    with pytest.raises(StartupError, match="broken index"):
+        cli._serve(failing, "127.0.0.1", 0, say)
+    assert seen == [503] and "ready" not in said
+
+
 def test_commands(spark, folder):
     def run(*argv):
         out = io.StringIO()
         return cli.run([*argv, "--source", str(folder / "docs"), "--target", str(folder / "out")], spark, out), out.getvalue()
 
+    assert run("check")[1].endswith("path(s) with problems\n")
+    for twice in (("--limit", "1", "--limit", "2"), ("--dir", "a", "--dir", "a"), ("--json", "--json")):
+        assert run("list", *twice)[0] == 2
     assert run("check")[0] == 1 and run("embed")[0] == 0 and run("check") == (0, "fresh\n")
     assert "runbook: 2" in run("overview")[1]
     assert "2 of 2" in run("list", "--tag", "runbook")[1]

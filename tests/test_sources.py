@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -142,6 +143,14 @@ def test_sidecar_round_trip(tmp_path):
             store.from_json(json.dumps(raw | change))
     store.write_sidecar(str(tmp_path), "a/b.md", text)
     assert store.list_sidecars(str(tmp_path)) == (["a/b.md"], [])
+    kind, held = store.read_sidecar(str(tmp_path), "a/b.md")
+    assert kind == "fine" and held["chunks"][0]["vector"] == raw["chunks"][0]["vector"] and [v.tolist() for v in store.vectors_of(held)] == [[1.0, 2.0], [0.5, 0.0]]
+    for content, want in ((b"{", "invalid"), (json.dumps(raw | {"dims": 5}).encode(), "invalid"), (b"\xff\xfe", "unreadable")):
+        Path(store.sidecar_path(str(tmp_path), "a/b.md")).write_bytes(content)
+        assert store.read_sidecar(str(tmp_path), "a/b.md")[0] == want
+    assert store.read_sidecar(str(tmp_path), "a/c.md") == ("missing", None)
+    with pytest.raises(store.StoreError):  # as long as three numbers, but isn't: seen when it is decoded
+        store.vectors_of(store.checked(raw | {"dims": 3}))
     store.delete_sidecar(str(tmp_path), "a/b.md")
     assert store.list_sidecars(str(tmp_path)) == ([], []) and (tmp_path / "vectors").is_dir() and not (tmp_path / "vectors/a").exists()
     for path in ("../x.md", "a//b.md", "C:/x.md", "a\\b.md", "./a.md"):
