@@ -12,7 +12,8 @@ it. Trees give the pairs that the bound allows; the sets of those are then compa
 3. In each bucket of a shared first token a tree joins the sets that the bound allows. Only a spanning forest of a
    part's pairs leaves it; its connected components hold every link.
 4. Each such component is joined exactly, again by a tree, where pairs that are connected already are not compared.
-   A component above LIMIT sets is dealt in blocks, every two of which meet in one task.
+   In a component above LIMIT sets all meet a few representatives first; large clusters that these connect aren't
+   compared within, and their blocks meet those of the others.
 
 Only who is connected counts, so no task emits more than a forest. Defined results: null, empty and blank texts have
 an empty set, link with nothing and are their own component; with fewer words than n the whole sequence is one
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernglass.llm.common import LOWER, Rolling, blob_rows, mix, portions, spent, stored, texts, words
+from fernglass.llm.common import LOWER, Rolling, blob_rows, mix, portions, salted_join, spent, stored, texts, words
 from fernglass.llm.components import components
 
 SKETCH = 1 << 18
@@ -481,6 +482,89 @@ def _linked(percent: int):
     return run
 
 
+def _tokens_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """wanted: (k, code, ...). Its rows with the tokens of the set, for each text of id k that has it."""
+    more = [c for c in wanted.columns if c not in ("k", "code")]
+    kinds = dict(wanted.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            want = batch.column("code").to_numpy()
+            for lo, hi, data, off in texts(batch, "text"):
+                s = Sets(data, off, n)
+                own = np.flatnonzero(s.code == want[lo:hi])  # an id may be repeated with another text
+                at = pa.array(lo + own)
+                yield pa.RecordBatch.from_arrays([pa.array(s.code[own]), *(batch.column(c).take(at) for c in more), pa.array([s.token[s.at[i] : s.at[i + 1]].tobytes() for i in own], pa.binary())], ["code", *more, "tokens"])
+
+    schema = ", ".join(["code long", *(f"`{c}` {kinds[c]}" for c in more), "tokens binary"])
+    return rows.join(wanted, "k").select("text", "code", *more).mapInArrow(run, schema)
+
+
+def _joins(rows: DataFrame, dealt: DataFrame, n: int, percent: int) -> DataFrame:
+    """dealt: (label, code, k, x, y, side). The links that tasks (label, x, y) find: among all their sets if x = y, else
+    between the sides."""
+    held = _tokens_of(rows, dealt, n)
+    return held.groupBy("label", "x", "y").applyInArrow(_linked(percent), "a long, b long")
+
+
+def _tied(percent: int):
+    """A block of a component and the component's representatives (side 1): the links between them."""
+
+    def run(group: pa.Table) -> pa.Table:
+        code, side = group.column("code").to_numpy(), group.column("side").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
+        found = []
+        for r in np.flatnonzero(side == 1):
+            for i in np.flatnonzero(side == 0):
+                a, b = len(sets[r]), len(sets[i])
+                if 100 * min(a, b) >= percent * max(a, b) and code[i] != code[r]:
+                    at = np.minimum(np.searchsorted(sets[r], sets[i]), a - 1)
+                    if enough(int((sets[r][at] == sets[i]).sum()), a, b, percent):
+                        found.append((code[r], code[i]))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return run
+
+
+#: Sets of a large component that all others are compared with first, about so many.
+REPRESENTATIVES = 8
+
+
+def _crowd_links(rows: DataFrame, members: DataFrame, n: int, percent: int, limit: int) -> list[DataFrame]:
+    """Links of components that are too large for a task. members: (label, code, k, size, n, all_tokens).
+
+    First every set meets a few representatives. Sets that link with one are connected already, so clusters above
+    `limit` sets needn't be compared within: their blocks meet those of other clusters and of the rest only. A group of
+    near copies of any size is thus joined in steps as many as its blocks; only what links with no representative is
+    met by all blocks.
+    """
+    chance = F.pmod(F.xxhash64("code", F.lit("representative")), F.col("n")) < REPRESENTATIVES
+    blocks = F.greatest(F.ceil(F.col("n") / limit), F.ceil(F.col("all_tokens") / LIMIT_TOKENS)).cast("int")
+    blocked = members.select("label", "code", "k", F.pmod(F.xxhash64("code"), blocks).cast("string").alias("x"), F.lit(0).alias("side"))
+    chosen = members.filter(chance).select("label", "code", "k", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: i.cast("string"))).alias("x"), F.lit(1).alias("side"))
+    met = _tokens_of(rows, blocked.unionByName(chosen), n).groupBy("label", "x").applyInArrow(_tied(percent), "a long, b long")
+    tied = stored(met, "shingle-tied")
+    clusters = components(tied).withColumnRenamed("node", "code").withColumnRenamed("label", "cluster")
+
+    rows_ = members.select("label", "code", "k", "size").join(clusters, "code", "left")
+    sizes = rows_.filter("cluster is not null").groupBy("cluster").agg(F.count("*").alias("of_cluster"))
+    rows_ = rows_.join(sizes, "cluster", "left")
+    # part: a large cluster, or -1 for all the rest; a cluster is named by a set's hash, which may be any number
+    part = F.when(F.col("of_cluster") > limit, F.concat(F.lit("c"), F.col("cluster").cast("string"))).otherwise(F.lit("-"))
+    rows_ = stored(rows_.select("label", "code", "k", "size", part.alias("part")).withColumn("key", F.xxhash64("label", "part")), "shingle-parts")
+    parts = rows_.groupBy("label", "part", "key").agg(F.greatest(F.ceil(F.count("*") / limit), F.ceil(F.sum("size") / LIMIT_TOKENS)).cast("int").alias("blocks"))
+    names = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.concat("part", F.lit(":"), i.cast("string")))
+    every = parts.groupBy("label").agg(F.collect_list(F.struct("part", names.alias("names"))).alias("every"))
+    foreign = F.flatten(F.transform(F.filter("every", lambda p: (p["part"] != F.col("part")) | (F.col("part") == "-")), lambda p: p["names"]))
+    plan = parts.join(every, "label").select("key", F.col("blocks"), foreign.alias("foreign"))
+    dealt = salted_join(rows_, plan, "key", ["code"])
+    own = F.concat("part", F.lit(":"), F.pmod(F.xxhash64("code"), F.col("blocks")).cast("string"))
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode("foreign"))
+    dealt = dealt.select("label", "code", "k", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return [tied, stored(_joins(rows, dealt, n, percent), "shingle-crowd-links")]
+
+
 def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, limit: int = LIMIT, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable over links, its own included), text_hash
     (xxhash64 of the text, to tell rows apart that repeat an id) and component (a number of the component; null for an
@@ -500,26 +584,22 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     pairs = stored(_buckets(chosen, n, percent, parts).groupBy("part").applyInArrow(_joined(percent), "a long, b long"), "shingle-pairs")
     near = components(pairs)
 
-    # exact join of each candidate component; large ones in blocks, each with itself and each two of them
+    # exact join of each candidate component
     members = near.withColumnRenamed("node", "code").join(vertices.select("code", "size", F.col("least").alias("k")), "code")
-    blocks = members.groupBy("label").agg(F.count("*").alias("count"), F.sum("size").alias("tokens"))
-    blocks = blocks.select("label", F.greatest(F.ceil(F.col("count") / limit), F.ceil(F.col("tokens") / LIMIT_TOKENS)).cast("int").alias("blocks"))
-    members = members.join(blocks, "label").drop("size")
-    members = members.withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            want = batch.column("code").to_numpy()
-            for lo, hi, data, off in texts(batch, "text"):
-                s = Sets(data, off, n)
-                own = np.flatnonzero(s.code == want[lo:hi])
-                at = pa.array(lo + own)
-                yield pa.RecordBatch.from_arrays([pa.array(s.code[own]), *(batch.column(c).take(at) for c in ("label", "block", "blocks")), pa.array([s.token[s.at[i] : s.at[i + 1]].tobytes() for i in own], pa.binary())], ["code", "label", "block", "blocks", "tokens"])
-
-    held = rows.join(members, "k").select("text", "code", "label", "block", "blocks").mapInArrow(tokens, "code long, label long, block int, blocks int, tokens binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = held.withColumn("other", other).select("label", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"), "code", "tokens")
-    links = stored(dealt.groupBy("label", "x", "y").applyInArrow(_linked(percent), "a long, b long"), "shingle-links")
+    members = stored(members.select("label", "code", "k", "size"), "shingle-members")
+    of_label = members.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("all_tokens"))
+    crowds = of_label.filter((F.col("n") > limit) | (F.col("all_tokens") > LIMIT_TOKENS))
+    crowds = stored(crowds, "shingle-crowds")
+    parts_ = []
+    if crowds.isEmpty():
+        small = members
+    else:
+        small = members.join(crowds, "label", "left_anti")
+        parts_ += _crowd_links(rows, members.join(crowds, "label"), n, percent, limit)
+    whole = small.select("label", "code", "k", F.lit("").alias("x"), F.lit("").alias("y"), F.lit(0).alias("side"))
+    links = stored(_joins(rows, whole, n, percent), "shingle-links")
+    for other in parts_:
+        links = links.unionByName(other)
     label = components(links).withColumnRenamed("node", "code")
 
     named = vertices.join(label, "code", "left").withColumn("label", F.coalesce("label", "code"))
@@ -527,6 +607,6 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     by_code = named.join(lowest, "label").select("code", "component", "label")
     none = sets.filter("size = 0").withColumn("component", F.col("k")).withColumn("label", F.lit(None).cast("long"))
     out = sets.filter("size > 0").join(by_code, "code").unionByName(none)
-    spent(pairs, links)
+    spent(pairs, members, crowds)
     back = lambda c: F.when(F.col(c) != LAST, F.col(c)).cast(kind)
     return out.select(back("k").alias(id_col), F.col("size").alias("n_shingles"), back("component").alias("component_id"), F.col("t").alias("text_hash"), F.col("label").alias("component"))

@@ -107,6 +107,23 @@ def test_many_holders_of_one_token(spark, make, monkeypatch, crowd, limit):
     assert out == brute(texts, 1)
 
 
+def test_a_large_group_of_near_copies_is_joined_in_few_steps(make, monkeypatch):
+    """400 sets that all link, by tasks of 10: not every two of 40 blocks meet. Sets that only chain to them still do."""
+    steps, joins = [], shingles_module._joins
+
+    def counted(rows, dealt, n, percent):
+        steps.append(dealt.filter("x <> ''").select("label", "x", "y").distinct().count())
+        return joins(rows, dealt, n, percent)
+
+    monkeypatch.setattr(shingles_module, "_joins", counted)
+    base = [f"b{i}" for i in range(60)]
+    texts = [" ".join([*base, f"n{i}"]) for i in range(400)]
+    texts += [" ".join([*base[k:], *(f"s{j}" for j in range(k)), "n0"]) for k in range(4, 24, 4)]  # each like the one before
+    texts = list(enumerate(texts))
+    assert got(link_documents(make(texts).repartition(3), n=1, limit=10)) == brute(texts, 1)
+    assert sum(steps) <= 200, steps  # of 861 pairs of blocks
+
+
 def test_stones_leave_no_gap():
     rng = np.random.default_rng(9)
     for _ in range(50):
