@@ -497,7 +497,8 @@ def _tokens_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(s.code[own]), *(batch.column(c).take(at) for c in more), pa.array([s.token[s.at[i] : s.at[i + 1]].tobytes() for i in own], pa.binary())], ["code", *more, "tokens"])
 
     schema = ", ".join(["code long", *(f"`{c}` {kinds[c]}" for c in more), "tokens binary"])
-    return rows.join(wanted, "k").select("text", "code", *more).mapInArrow(run, schema)
+    # wanted grows with the corpus, whatever the size of its compressed file promises: never broadcast
+    return rows.join(wanted.hint("merge"), "k").select("text", "code", *more).mapInArrow(run, schema)
 
 
 def _joins(rows: DataFrame, dealt: DataFrame, n: int, percent: int) -> DataFrame:

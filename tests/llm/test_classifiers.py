@@ -36,6 +36,55 @@ def test_languages(spark):
     assert L.identify_languages(docs.limit(0), model).count() == 0
 
 
+def brute_counts(text):
+    """Hashed n-grams of 2 and 3 bytes one by one: what is no ASCII letter, nor part of another, is a space."""
+    raw, out = bytes(L.FOLD[b] for b in text.encode()), np.zeros(L.DIMS)
+    word = lambda x: int(x) & 0xFFFFFFFF
+    for p in range(len(raw) - 1):
+        two = int(L.ONE[raw[p]]) ^ int(L.TWO[raw[p + 1]])
+        if raw[p : p + 2] != b"  ":
+            out[word(two * 0x9E3779B1) >> 20] += 1
+            if p + 2 < len(raw):
+                three = two ^ int(L.THREE[raw[p + 2]]) ^ 0x5BD1E995
+                out[word(three * 0x85EBCA6B) >> 20] += 1
+    return out
+
+
+def test_nearest_centroid_by_the_definition(spark):
+    """Each prediction against cosines that are taken one by one, of counts that are counted one by one."""
+    rng = random.Random(21)
+    rows = [(i, sentence(rng, lang, rng.randint(1, 30)), lang) for i, lang in enumerate(list(ALPHABETS) * 30)]
+    rows += [(500, "Mixed der the eau 12", "en"), (501, "x", None), (502, "long " + sentence(rng, "fr", 4000), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit_languages(docs, docs.filter("doc_id % 3 != 1").select("doc_id", "lang"))
+    tf = {i: brute_counts(t) for i, t, _ in rows}
+    train = [i for i, _, lang in rows if lang and i % 3 != 1]
+    idf = np.array([np.log((1 + len(train)) / (1 + sum(tf[i][d] > 0 for i in train))) + 1 for d in range(L.DIMS)])
+    assert np.allclose(model.idf, idf, rtol=1e-5) and (model.owner == np.repeat(range(3), L.CENTROIDS)).all()
+    out = {r.doc_id: r for r in L.identify_languages(docs.repartition(3), model).collect()}
+    for i, _, _ in rows:
+        x = np.log1p(tf[i]) * idf
+        cos = [float(np.dot(x, c) / max(np.sqrt(np.dot(x, x)), 1e-12)) for c in model.centroids]
+        best = int(np.argmax(cos))
+        assert abs(out[i].score - min(max(cos[best], 0), 1)) < 1e-5
+        assert out[i].lang_pred == model.langs[model.owner[best]] or max(c for c, o in zip(cos, model.owner, strict=True) if model.langs[o] == out[i].lang_pred) > cos[best] - 1e-6
+        assert out[i].rejected == (1 - cos[best] > model.reach[model.owner[best]]) or abs(1 - cos[best] - model.reach[model.owner[best]]) < 1e-6
+
+
+def test_long_training_texts_are_learned_from(spark):
+    """A language whose texts are all very long, and one of many classes, are learned; samples keep to their bound."""
+    from fernglass.llm.training import sampled
+
+    rng = random.Random(22)
+    rows = [(i, sentence(rng, "de", 12_000), "de") for i in range(3)] + [(10 + i, sentence(rng, "en", 40), "en") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(t) for i, t, _ in rows if i < 3) > 50_000
+    assert L.fit_languages(docs, docs.select("doc_id", "lang")).langs == ["de", "en"]
+    many = spark.range(6000).selectExpr("id", "case when id < 3000 then 0 else id end as y")
+    kept = sampled(many, "id", "y", 700).groupBy("y").count().collect()
+    assert len(kept) == 3001 and {r["y"]: r["count"] for r in kept}[0] in range(600, 701)
+
+
 def test_counts_do_not_cross_texts():
     data = np.frombuffer("abcabd".encode(), np.uint8)
     both = L.counts(data, np.array([0, 3, 6]))
