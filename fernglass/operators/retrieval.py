@@ -131,18 +131,19 @@ def retrieve(candidates: DataFrame, chunks: DataFrame, options: Options, now_ms:
     use = options.rerank and rerank is not None
     # at most options.candidates rows; the scan of the chunks then reads what it has of their documents
     rows = candidates.select("path", "ordinal", "score").limit(options.candidates).collect()
-    candidates = chunks.sparkSession.createDataFrame(rows, "path string, ordinal int, score double")
+    few = F.broadcast  # what is made of these rows is no longer than they are
+    candidates = few(chunks.sparkSession.createDataFrame(rows, "path string, ordinal int, score double"))
     chunks = chunks.filter(F.col("path").isin(sorted({r.path for r in rows})))
-    found = candidates.join(chunks, ["path", "ordinal"])
+    found = chunks.join(candidates, ["path", "ordinal"])
     if use:
         passage = F.concat_ws("\n", "breadcrumb", "text")
         found = found.withColumn("logit", F.when(~is_blank(F.col("text")), rerank(passage)))
     scored = with_signals(relevance_of(found, use), options, now_ms).withColumn("reranked", F.col("rerank").isNotNull())
     kept = scored.filter(F.col("relevance") >= options.min_score).select("path", "ordinal", "final", "reranked", "score", "rerank", "relevance", "signals", "breadcrumb", "anchor")
-    last = chunks.select("path", "ordinal").join(kept.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.max("ordinal").alias("last"))
+    last = few(chunks.groupBy("path").agg(F.max("ordinal").alias("last")))
     order = [F.desc("best.reranked"), F.desc("best.final"), F.col("path"), F.col("first")]
     best = merged(kept, last, options.expand).orderBy(*order).limit(options.limit)
-    out = joined_text(best.select("path", "first", "last", "best"), chunks)
+    out = joined_text(few(best.select("path", "first", "last", "best")), chunks)
     ref = F.when(F.col("best.anchor") == "", F.col("path")).otherwise(F.concat_ws("#", "path", "best.anchor"))
     scores = F.struct(F.col("best.score").alias("retrieval"), F.col("best.rerank").alias("rerank"), F.col("best.relevance").alias("relevance"), F.col("best.signals").alias("signals"), F.col("best.final").alias("final"))
     ranked = out.withColumn("rank", F.row_number().over(W.orderBy(*order)))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 from fernglass.functions import scores, text
 from fernglass.operators import freshness, listing, ranking, retrieval, writing
 from fernglass.operators.filters import Filter
-from fernglass.plans.kb import CHUNKS_SQL, DAY_MS, KB_SQL, NOW_MS, documents, index, table
+from fernglass.plans.kb import CHUNKS_SQL, DAY_MS, KB_SQL, NOW_MS, documents, index, paths, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -267,7 +267,7 @@ mixed AS (SELECT path, 0 AS ordinal, round(sum(score), 6) AS score FROM sides GR
 def _hybrid(spark, sf) -> DataFrame:
     by_line = index(spark, sf).words.keyword(SEARCH)
     by_doc = by_line.groupBy("path").agg(F.max("score").alias("score")).withColumn("ordinal", F.lit(0)).select("path", "ordinal", "score")
-    near = documents(spark, sf).select("path", F.col("doc_id").alias("vec_id")).join(table(spark, sf, "embeddings").filter("embedding is not null"), "vec_id").withColumns({"ordinal": F.lit(0), "tags": F.array().cast("array<string>")})
+    near = paths(spark, sf).withColumnRenamed("doc_id", "vec_id").join(table(spark, sf, "embeddings").filter("embedding is not null"), "vec_id").withColumns({"ordinal": F.lit(0), "tags": F.array().cast("array<string>")})
     return ranking.hybrid(by_doc, ranking.semantic(near, _query_vector(spark, sf)))
 
 
@@ -547,7 +547,7 @@ def index_version(spark, sf):
     return spark.createDataFrame([(writing.index_version(rows),)], "version string")
 
 
-@query(f"WITH {CHUNKS_SQL} SELECT DISTINCT path FROM chunks WHERE len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda t: starts_with(t, 'tio'))) > 0 OR len(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'), lambda t: starts_with(t, 'tio'))) > 0")
+@query(f"WITH {CHUNKS_SQL} SELECT DISTINCT path FROM chunks WHERE {' OR '.join(f"len(list_filter(regexp_extract_all(lower({f}), '[{chr(92)}p{{L}}{chr(92)}p{{N}}_]+'), lambda t: starts_with(t, 'tio'))) > 0" for f in ranking.BOOSTS)}")
 def keyword_prefix(spark, sf):
     return index(spark, sf).words.keyword("tio", prefix=True).select("path").distinct()
 
