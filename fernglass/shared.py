@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -67,4 +68,5 @@ def own_dir(spark: SparkSession) -> str:
 
 def _forget() -> None:
     for path, files in _OWN.items():
-        files.delete(path)
+        with contextlib.suppress(Exception):  # the JVM may be gone before
+            files.delete(path)
