@@ -10,7 +10,10 @@ it. Trees give the pairs that the bound allows; the sets of those are then compa
    so that a passage which many documents hold seldom brings them together. A first token counts as shared if sets
    of fitting sizes have it; sets without one are done.
 3. In each bucket of a shared first token a tree joins the sets that the bound allows. Only a spanning forest of a
-   part's pairs leaves it; its connected components hold every link.
+   part's pairs leaves it; its connected components hold every link. Large sets go to buckets of tokens that many of
+   them hold only; two that share no such token, of a and b tokens, a <= b, must share percent / (100 + percent) * (a + b)
+   - percent / 100 * b + 1 first tokens (both rounded up), which are counted: up to the smaller of their last first
+   tokens, one set has no others in common with the other.
 4. Each such component is joined exactly, again by a tree, where pairs that are connected already are not compared.
    In a component above LIMIT sets all meet a few representatives first; large clusters that these connect aren't
    compared within, and their blocks meet those of the others.
@@ -22,6 +25,7 @@ token; repeated rows are equal sets; null ids come after all others; an empty ta
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +36,15 @@ from pyspark.sql import functions as F
 from fernglass.llm.common import LOWER, Rolling, blob_rows, mix, portions, salted_join, spent, stored, texts, words
 from fernglass.llm.components import components
 
-SKETCH = 1 << 18
-SEGMENT = 1 << 12
+#: Slots of the sketch: one for so many bytes of text, so that what a slot holds besides a token doesn't hide how often
+#: the token comes; and at least and at most so many, as every task has them all (a byte each). The order need not be
+#: exact: past the most, tokens are told apart less well and more sets are compared.
+SLOT_BYTES = 1 << 10
+SKETCH, SKETCH_MOST = 1 << 18, 1 << 24
+SEGMENT = 1 << 14
+#: Tokens that a task counts before it passes the counts on; bytes of text whose counts one task adds up.
+COUNTED = 1 << 22
+SUMMED_BYTES = 64 << 30
 LEAF = 32
 #: Bytes of text per part of the first tokens; sets of a component, or of a bucket, and their tokens, that one task
 #: joins.
@@ -44,6 +55,12 @@ LIMIT_TOKENS = 1 << 20
 #: candidates of each other, and only a few that step from the least to the greatest size are sent. What else comes with
 #: their token, in sizes without a gap, is joined to them whatever the counts say, as it may link with one not sent.
 CROWD = 256
+#: Sets of so many tokens have first tokens in almost every part, and counts that grow as well: they would be sent about
+#: as often as they have tokens. They are met by counting the first tokens that each two share. A token that more of them
+#: hold than FAR_HOLDERS (FAR_OF_TASK of a task) brings them to a bucket, counts and all.
+FAR = 384
+FAR_HOLDERS = 16
+FAR_OF_TASK = 4
 LAST = 2**63 - 1
 _FACTORS = np.random.default_rng(23).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -93,7 +110,7 @@ class Sets:
 def first_tokens(token: np.ndarray, row: np.ndarray, size: np.ndarray, rarity: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The keys of the first tokens of each set in the common order, and their rows. A key holds a token's rarity,
     then bits of its hash, so keys sort as the order has it."""
-    key = rarity[(token >> np.uint64(46)).astype(np.int64)] << np.uint64(56) | token << np.uint64(18) >> np.uint64(8)
+    key = rarity[slots_of(token, len(rarity))].astype(np.uint64) << np.uint64(56) | token >> np.uint64(8)
     by = np.argsort(key, kind="stable")
     by = by[np.argsort(row[by].astype(np.uint16 if len(size) < 65536 else np.int64), kind="stable")]
     key, row = key[by], row[by]
@@ -102,10 +119,19 @@ def first_tokens(token: np.ndarray, row: np.ndarray, size: np.ndarray, rarity: n
     return key[keep], row[keep]
 
 
-def rarity_of(sketch: np.ndarray) -> np.ndarray:
-    """A class for each slot of the sketch, rarer first: an eighth of a power of two above the median slot."""
-    usual = max(1.0, float(np.median(sketch)))
-    return np.clip(np.round(8 * np.log2(np.maximum(sketch, 1) / usual)), 0, 255).astype(np.uint64)
+def slots_of(token: np.ndarray, slots: int) -> np.ndarray:
+    """A token's place in a sketch of so many slots, a power of two: the first bits of its hash."""
+    return (token >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def classes_of(counts: np.ndarray) -> np.ndarray:
+    """A class for each count, an eighth of a power of two."""
+    return np.clip(np.round(8 * np.log2(np.maximum(counts, 1))), 0, 255).astype(np.uint8)
+
+
+def rarity_of(classes: np.ndarray) -> np.ndarray:
+    """How far each slot's class is above the median slot's; rarer first."""
+    return np.maximum(classes, usual := np.uint8(np.median(classes))) - usual
 
 
 def enough(overlap, a, b, percent: int):
@@ -232,47 +258,66 @@ class Union:
         return a != b
 
 
-def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """(k, t, code, size) of every text (segment null), t a hash of the text; and sums of the sketch by segment of each partition."""
+def _scan(docs: DataFrame, n: int, slots: int) -> DataFrame:
+    """(k, t, code, size) of every text (segment null), t a hash of the text; and counts of the sketch by segment, a
+    byte each (what is above 255 is common anyway), for each COUNTED tokens of a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, any_ = np.zeros(SKETCH, np.int64), False
         names = ["k", "t", "code", "size", "segment", "counts"]
+        met: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            place = np.sort(np.concatenate(met))
+            met.clear()
+            cut = np.searchsorted(place, np.arange(0, slots + 1, SEGMENT))
+            own = np.flatnonzero(np.diff(cut))
+            blobs = [zlib.compress(np.minimum(np.bincount(place[cut[i] : cut[i + 1]] - i * SEGMENT, minlength=SEGMENT), 255).astype(np.uint8), 1) for i in own.tolist()]
+            none = pa.nulls(len(own), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], names)
+
         for batch in batches:
             for lo, hi, data, off in texts(batch, "text"):
                 s = Sets(data, off, n)
-                sketch += np.bincount((s.token >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
-                any_ = True
+                met.append(slots_of(s.token, slots).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column("k").slice(lo, hi - lo), batch.column("t").slice(lo, hi - lo), pa.array(s.code), pa.array(s.size.astype(np.int64)), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names)
-        if any_:
-            m = SKETCH // SEGMENT
-            none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(np.arange(m), pa.int32()), pa.array([x.tobytes() for x in sketch.reshape(m, SEGMENT)], pa.binary())], names)
+                if sum(map(len, met)) >= COUNTED:
+                    yield counted()
+        if met:
+            yield counted()
 
     return docs.withColumn("t", F.xxhash64("text")).mapInArrow(run, "k long, t long, code long, size long, segment int, counts binary")
 
 
-def _summed(group: pa.Table) -> pa.Table:
-    total = np.zeros(SEGMENT, np.int64)
-    for x in group.column("counts"):
-        total += np.frombuffer(x.as_py(), np.int64)
-    return pa.table({"segment": pa.array([group.column("segment")[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+def _added(last: bool):
+    """Counts of a segment added up, or at last their classes."""
+
+    def run(group: pa.Table) -> pa.Table:
+        total = np.zeros(SEGMENT, np.int64)
+        for x, width in zip(group.column("counts"), group.column("width").to_pylist(), strict=True):
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint8 if width == 1 else np.int64)
+        blob = classes_of(total).tobytes() if last else zlib.compress(total, 1)
+        return pa.table({"segment": pa.array([group.column("segment")[0].as_py()], pa.int32()), "width": pa.array([8], pa.int32()), "counts": pa.array([blob], pa.binary())})
+
+    return run
 
 
-def _sketch_of(scan: DataFrame) -> np.ndarray:
-    """The sketch over all documents: SKETCH numbers, whatever the size of the corpus."""
-    schema = "segment int, salt int, counts binary"
-    rows = scan.filter("segment is not null").select("segment", F.pmod(F.xxhash64("counts"), F.lit(64)).cast("int").alias("salt"), "counts")
-    rows = rows.groupBy("segment", "salt").applyInArrow(_summed, schema).groupBy("segment").applyInArrow(_summed, schema)
-    out = np.zeros(SKETCH, np.int64)
-    for r in rows.collect():
-        out[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(bytes(r.counts), np.int64)
+def _sketch_of(scan: DataFrame, slots: int, total: int) -> np.ndarray:
+    """The classes of all slots, a byte each."""
+    schema = "segment int, width int, counts binary"
+    rows = scan.filter("segment is not null").select("segment", F.lit(1).alias("width"), "counts")
+    if total > SUMMED_BYTES:
+        salt = F.pmod(F.xxhash64("counts"), F.lit(-(-total // SUMMED_BYTES)))
+        rows = rows.withColumn("salt", salt).groupBy("segment", "salt").applyInArrow(_added(False), schema)
+    out = np.zeros(slots, np.uint8)
+    for r in rows.groupBy("segment").applyInArrow(_added(True), schema).collect():
+        out[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(bytes(r.counts), np.uint8)
     return out
 
 
-def _first_tokens(docs: DataFrame, n: int, percent: int, rarity: np.ndarray, parts: int) -> DataFrame:
-    """Per task and part: keys with a set that has them, its size, and whether several sets of the task do; and the
-    (key, set) pairs of the latter, dealt by set."""
+def _first_tokens(docs: DataFrame, n: int, percent: int, rarity: np.ndarray, parts: int, far: int) -> DataFrame:
+    """Per task and part: keys with a set below `far` tokens that has them, its size, and whether several sets of the
+    task do; the (key, set, size) of larger sets and of those that fit them, one if too many sets of the task have the
+    key; and the (key, set) pairs of keys that several have, or too many, dealt by set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
@@ -287,47 +332,88 @@ def _first_tokens(docs: DataFrame, n: int, percent: int, rarity: np.ndarray, par
             key, code, size = (np.concatenate(x) for x in found)
             by = np.lexsort((code, key))
             key, code, size = key[by], code[by], size[by]
-            new_key = np.concatenate(([True], key[1:] != key[:-1]))
-            new = new_key | np.concatenate(([True], code[1:] != code[:-1]))
-            key, code, size, new_key = key[new], code[new], size[new], new_key[new]
-            cut = np.flatnonzero(new_key)
-            many = np.diff(np.concatenate((cut, [len(key)]))) > 1
-            met = many[np.cumsum(new_key) - 1]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (code[1:] != code[:-1])))
+            key, code, size = key[new], code[new], size[new]
             parts_of = lambda x: (mix(x) % np.uint64(parts)).astype(np.int64)
-            out = {}
-            for name, part, cols in (("asked", parts_of(key[cut]), (key[cut], code[cut], size[cut].astype(np.int32), many)), ("known", parts_of(code[met].view(np.uint64)), (key[met], code[met]))):
+            out, known = {}, []
+            for name, own, most in (("asked", size < far, 1), ("far", 100 * size >= percent * far, FAR_OF_TASK)):
+                k, c, z = key[own], code[own], size[own].astype(np.int32)
+                new_key = np.concatenate(([True], k[1:] != k[:-1]))[: len(k)]
+                many = np.diff(np.concatenate((np.flatnonzero(new_key), [len(k)]))) > most
+                many = many[np.cumsum(new_key) - 1]
+                known.append((k[many], c[many]))
+                sent = new_key | ~many
+                out[name] = (parts_of(k[sent]), (k[sent], c[sent], z[sent], many[sent]))
+            known = [np.concatenate(x) for x in zip(*known, strict=True)]
+            out["known"] = (parts_of(known[1].view(np.uint64)), known)
+            for name, (part, cols) in out.items():
                 own, blobs = blob_rows(part, *cols)
                 out[name] = dict(zip(own.tolist(), zip(*blobs, strict=True), strict=True))
-            rows = [(p, *out["asked"].get(p, (b"",) * 4), *out["known"].get(p, (b"",) * 2)) for p in sorted(out["asked"].keys() | out["known"].keys())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *(pa.binary(),) * 6), strict=True)], ["part", "key", "code", "size", "many", "known", "holder"])
+            rows = [(p, *out["asked"].get(p, (b"",) * 4), *out["far"].get(p, (b"",) * 4), *out["known"].get(p, (b"",) * 2)) for p in sorted(set().union(*out.values()))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *(pa.binary(),) * 10), strict=True)], ["part", "key", "code", "size", "many", "far_key", "far_code", "far_size", "far_many", "known", "holder"])
+
+    return docs.mapInArrow(run, "part int, key binary, code binary, size binary, many binary, far_key binary, far_code binary, far_size binary, far_many binary, known binary, holder binary")
 
-    return docs.mapInArrow(run, "part int, key binary, code binary, size binary, many binary, known binary, holder binary")
 
+def least_shared(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """How many first tokens sets of a and b tokens share at least if they link."""
+    overlap = -(-percent * (a + b) // (100 + percent))
+    return overlap + 1 - -(-percent * np.maximum(a, b) // 100)
 
-def _met(percent: int):
-    """A part: sets with those of their keys that a set of a fitting size has as well."""
+
+def _met(percent: int, far: int):
+    """A part: sets with those of their keys that a set of a fitting size has as well (other null); and pairs of sets, one
+    of them large, with how many keys of the part they share (n) and must share in all (need)."""
 
     def run(group: pa.Table) -> pa.Table:
         read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()])
-        key, code, size, many = read("key", np.uint64), read("code", np.int64), read("size", np.int32).astype(np.int64), read("many", np.bool_)
-        by = np.lexsort((~many, code, size, key))
-        key, code, size, many = key[by], code[by], size[by], many[by]
-        if len(key):
+
+        def fitting(prefix: str) -> tuple[np.ndarray, ...]:
+            """By key and size: key, set, size, whether a set of the key fits that its task didn't know, how many sets
+            have the key, and whether a task has left some out."""
+            key, code, size, many = read(f"{prefix}key", np.uint64), read(f"{prefix}code", np.int64), read(f"{prefix}size", np.int32).astype(np.int64), read(f"{prefix}many", np.bool_)
+            if not len(key):
+                return key, code, size, many, size, many
+            by = np.lexsort((~many, code, size, key))
+            key, code, size, many = key[by], code[by], size[by], many[by]
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (code[1:] != code[:-1])))
             key, code, size, many = key[new], code[new], size[new], many[new]
             cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             n = np.diff(np.concatenate((cut, [len(key)])))
             # sizes rise within a key, so a set fits one of the others if it fits a neighbour
             near = (key[1:] == key[:-1]) & (100 * size[:-1] >= percent * size[1:])
-            fits = np.concatenate((near, [False])) | np.concatenate(([False], near)) | np.repeat(np.logical_or.reduceat(many, cut) & (n > 1), n)
-            fits &= ~many  # those are known already
-            key, code = key[fits], code[fits]
-        key, code = np.concatenate((key, read("known", np.uint64))), np.concatenate((code, read("holder", np.int64)))
+            left = np.repeat(np.logical_or.reduceat(many, cut), n)
+            n = np.repeat(n, n)
+            fits = np.concatenate((near, [False])) | np.concatenate(([False], near)) | left & (n > 1)
+            return key, code, size, fits & ~many, n, left  # of many sets those are known already
+
+        key, code, _, fits, _, _ = fitting("")
+        keys, codes = [key[fits], read("known", np.uint64)], [code[fits], read("holder", np.int64)]
+        key, code, size, fits, n, left = fitting("far_")
+        crowded = left | (n > FAR_HOLDERS)
+        keys.append(key[fits & crowded])
+        codes.append(code[fits & crowded])
+        key, code, size = key[~crowded], code[~crowded], size[~crowded]
+        pairs = []
+        for d in range(1, min(FAR_HOLDERS, len(key))):
+            i = np.flatnonzero((key[d:] == key[:-d]) & (size[d:] >= far) & (100 * size[:-d] >= percent * size[d:]))
+            pairs.append(np.stack([np.minimum(code[i], code[i + d]), np.maximum(code[i], code[i + d]), least_shared(size[i], size[i + d], percent)]))
+        pairs = np.concatenate(pairs, 1) if pairs else np.zeros((3, 0), np.int64)
+        pairs = pairs[:, np.lexsort(pairs[1::-1])]
+        cut = np.flatnonzero(np.concatenate(([True], (pairs[:2, 1:] != pairs[:2, :-1]).any(0)))) if pairs.shape[1] else np.zeros(0, np.int64)
+        shared, pairs = np.diff(np.concatenate((cut, [pairs.shape[1]]))), pairs[:, cut]
+
+        key, code = np.concatenate(keys), np.concatenate(codes)
         by = np.argsort(code, kind="stable")
         key, code = key[by], code[by]
         cut = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
         blobs = [key[a:z].tobytes() for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(code)], strict=True)] if len(cut) else []
-        return pa.table({"code": pa.array(code[cut], pa.int64()), "keys": pa.array(blobs, pa.binary())})
+        one, two = len(cut), pairs.shape[1]
+        none = lambda m, t: pa.nulls(m, t)
+        return pa.table({
+            "code": pa.array(np.concatenate((code[cut], pairs[0]))), "keys": pa.concat_arrays([pa.array(blobs, pa.binary()), none(two, pa.binary())]),
+            "other": pa.concat_arrays([none(one, pa.int64()), pa.array(pairs[1])]), "n": pa.concat_arrays([none(one, pa.int32()), pa.array(shared, pa.int32())]), "need": pa.concat_arrays([none(one, pa.int32()), pa.array(pairs[2], pa.int32())]),
+        })
 
     return run
 
@@ -349,7 +435,7 @@ def _buckets(rows: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
                 at = np.cumsum(width) - width
                 every = np.bincount(at[s.row] + (s.token & (width[s.row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(width.sum())).astype(np.uint16)
                 counts = [every[at[i] : at[i] + width[i]].tobytes() for i in rows_]
-                own = [np.frombuffer(b"".join(lists[lo + int(i)].as_py()), np.uint64) for i in rows_]
+                own = [np.unique(np.frombuffer(b"".join(lists[lo + int(i)].as_py()), np.uint64)) for i in rows_]
                 for col, v in zip(found, (s.code[rows_], s.size[rows_].astype(np.int64), np.array(counts, object), np.concatenate(own) if own else np.zeros(0, np.uint64), np.repeat(np.arange(seen, seen + len(rows_)), [len(x) for x in own])), strict=True):
                     col.append(v)
                 seen += len(rows_)
@@ -566,23 +652,27 @@ def _crowd_links(rows: DataFrame, members: DataFrame, n: int, percent: int, limi
     return [tied, stored(_joins(rows, dealt, n, percent), "shingle-crowd-links")]
 
 
-def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, limit: int = LIMIT, part_bytes: int = PART_BYTES) -> DataFrame:
+def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, limit: int = LIMIT, part_bytes: int = PART_BYTES, far: int = FAR) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable over links, its own included), text_hash
     (xxhash64 of the text, to tell rows apart that repeat an id) and component (a number of the component; null for an
     empty set). Two rows link if their sets' overlap is percent / 100 of their union or more."""
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k"), F.col(text_col).alias("text"))
-    scan = stored(_scan(rows, n), "shingle-sets")
-    sets = scan.filter("segment is null").select("k", "t", "code", "size")
-    rarity = rarity_of(_sketch_of(scan))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = min(SKETCH_MOST, max(SKETCH, 1 << (total // SLOT_BYTES).bit_length()))
+    scan = stored(_scan(rows, n, slots), "shingle-sets")
+    sets = scan.filter("segment is null").select("k", "t", "code", "size")
+    rarity = rarity_of(_sketch_of(scan, slots, total))
     parts = max(1, -(-total // part_bytes))
 
     vertices = sets.filter("size > 0").groupBy("code", "size").agg(F.min("k").alias("least"))
-    met = _first_tokens(rows, n, percent, rarity, parts).groupBy("part").applyInArrow(_met(percent), "code long, keys binary")
-    open_ = met.groupBy("code").agg(F.collect_list("keys").alias("keys")).join(vertices.select("code", "least"), "code")
-    chosen = rows.join(open_.withColumnRenamed("least", "k"), "k")
-    pairs = stored(_buckets(chosen, n, percent, parts).groupBy("part").applyInArrow(_joined(percent), "a long, b long"), "shingle-pairs")
+    met = _first_tokens(rows, n, percent, rarity, parts, far).groupBy("part").applyInArrow(_met(percent, far), "code long, keys binary, other long, n int, need int")
+    met = stored(met, "shingle-met")  # the shuffles up to here go before the next ones
+    open_ = met.filter("other is null").groupBy("code").agg(F.collect_list("keys").alias("keys")).join(vertices.select("code", F.col("least").alias("k")), "code")
+    crowded = _buckets(rows.join(open_.hint("merge"), "k"), n, percent, parts).groupBy("part").applyInArrow(_joined(percent), "a long, b long")
+    counted = met.filter("other is not null").groupBy("code", "other").agg(F.sum("n").alias("n"), F.min("need").alias("need")).filter("n >= need")
+    pairs = stored(crowded.unionByName(counted.select(F.col("code").alias("a"), F.col("other").alias("b"))), "shingle-pairs")
+    spent(met)
     near = components(pairs)
 
     # exact join of each candidate component

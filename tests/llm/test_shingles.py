@@ -124,6 +124,61 @@ def test_a_large_group_of_near_copies_is_joined_in_few_steps(make, monkeypatch):
     assert sum(steps) <= 200, steps  # of 861 pairs of blocks
 
 
+@pytest.mark.parametrize(("n", "percent", "holders", "of_task"), [(4, 85, 16, 4), (5, 80, 2, 1), (1, 50, 3, 2)])
+def test_large_sets_lose_no_link(spark, make, corpus, monkeypatch, n, percent, holders, of_task):
+    """Sets on both sides of the size from which first tokens are counted, that few and that many others share."""
+    monkeypatch.setattr(shingles_module, "FAR_HOLDERS", holders)
+    monkeypatch.setattr(shingles_module, "FAR_OF_TASK", of_task)
+    rng = random.Random(21)
+    texts = list(corpus)
+    for k in range(120):  # sets of rising size and growing difference, by the least overlap and less
+        words = [f"{k % 8}w{j}" for j in range(rng.randint(30, 60))]
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 9])):
+            words[rng.randrange(len(words))] = f"own{k}x{rng.randrange(99)}"
+        texts.append((10_000 + k, " ".join(words)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = got(link_documents(make(texts).repartition(4), n=n, percent=percent, part_bytes=4000, far=45))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out == brute(texts, n, percent)
+
+
+def test_links_share_the_first_tokens_that_are_counted():
+    rng = np.random.default_rng(8)
+    sizes, met = rng.integers(20, 90, (400, 2)), 0
+    for percent in (50, 80, 85):
+        for a, b in sizes.tolist():
+            common = -(-percent * (a + b) // (100 + percent))
+            if common > min(a, b):
+                continue
+            tokens = rng.permutation(300)[: a + b - common]
+            x, y = np.sort(tokens[:a]), np.sort(tokens[a - common :])
+            first = [s[: len(s) - -(-percent * len(s) // 100) + 1] for s in (x, y)]
+            assert len(np.intersect1d(*first)) >= shingles_module.least_shared(np.array([a]), np.array([b]), percent)[0] >= 1
+            met += 1
+    assert met > 300
+
+
+def test_a_large_set_is_not_sent_once_a_token(make, monkeypatch):
+    """Near copies of 900 words share over 100 first tokens, which go to as many parts: their counts don't."""
+    sent, buckets = [], shingles_module._buckets
+
+    def watched(*args):
+        out = buckets(*args)
+        sent.append(sum(len(r.counts) for r in out.select("counts").collect()))
+        return out
+
+    monkeypatch.setattr(shingles_module, "_buckets", watched)
+    texts = []
+    for i in range(6):
+        words = [f"w{i}x{j}" for j in range(900)]
+        texts += [" ".join(words), " ".join([*words[:-3], f"z{i}"])]
+    texts = list(enumerate(texts))
+    assert got(link_documents(make(texts).repartition(3), part_bytes=200)) == brute(texts)
+    assert sum(sent) <= sum(len(t) for _, t in texts), sent
+
+
 def test_stones_leave_no_gap():
     rng = np.random.default_rng(9)
     for _ in range(50):
