@@ -179,6 +179,30 @@ def test_a_large_set_is_not_sent_once_a_token(make, monkeypatch):
     assert sum(sent) <= sum(len(t) for _, t in texts), sent
 
 
+def test_the_sketch_grows_with_the_text(make, monkeypatch):
+    """So many slots that what comes together by chance doesn't hide which tokens are common, summed over tasks."""
+    seen, sketch = [], shingles_module._sketch_of
+
+    def watched(scan, slots, total):
+        seen.append((slots, sketch(scan, slots, total)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(shingles_module, "_sketch_of", watched)
+    for name, v in (("SLOT_BYTES", 4), ("SKETCH", 1 << 14), ("SKETCH_MOST", 1 << 20), ("COUNTED", 500), ("SUMMED_BYTES", 60_000)):
+        monkeypatch.setattr(shingles_module, name, v)
+    texts = [(i, " ".join(["every", *(f"v{i}x{j}" for j in range(200 if i % 2 else 220))])) for i in range(100)]
+    total = sum(len(t) for _, t in texts)
+    assert got(link_documents(make(texts).repartition(3), n=1)) == brute(texts, 1)
+    (slots, classes), = seen
+    assert total // 4 < slots <= total // 2 and len(classes) == slots
+    counts = np.zeros(slots, int)
+    for _, t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        counts += np.bincount(shingles_module.slots_of(shingles_module.Sets(data, np.array([0, len(data)]), 1).token, slots), minlength=slots)
+    assert (classes == shingles_module.classes_of(counts)).all() and classes.max() >= 8 * np.log2(100) - 1
+    assert (shingles_module.rarity_of(classes) == classes).all()  # most slots are empty
+
+
 def test_stones_leave_no_gap():
     rng = np.random.default_rng(9)
     for _ in range(50):
